@@ -51,3 +51,13 @@ def let(value: Column, body) -> Column:
 def held(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def whole_row(docs: DataFrame, **named: str) -> DataFrame:
+    """A struct `row` of all columns of docs, and the named ones beside it, so that no name clashes."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(F.col(f"`{c}`").alias(k) for k, c in named.items()))
+
+
+def unpacked(rows: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of `like` out of the struct `row`, some of them changed."""
+    return rows.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in like.columns))

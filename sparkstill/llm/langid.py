@@ -211,14 +211,16 @@ def accept(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     """The documents whose language is known with a score of at least `least`, with their own columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
+    mark = "letter" + "_" * max(map(len, columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            found = next(_predict(iter([batch.select(["text", "letter"])]), shared.value))
+            asked = pa.RecordBatch.from_arrays([batch.column("text"), batch.column(mark)], ["text", "letter"])
+            found = next(_predict(iter([asked]), shared.value))
             keep = np.array(found.column("lang_pred").to_pylist()) != UNKNOWN
             keep &= found.column("score").to_numpy() >= least
             yield batch.select(columns).filter(pa.array(keep))
 
-    return docs.withColumn("letter", has_letter(F.col("text"))).mapInArrow(run, docs.schema)
+    return docs.withColumn(mark, has_letter(F.col("text"))).mapInArrow(run, docs.schema)

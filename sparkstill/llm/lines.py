@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let, words
+from .common import cut, let, unpacked, whole_row, words
 
 SHINGLE, THRESHOLD, BUCKETS = 5, 0.8, 8192
 _POSITION = ["doc_id", "line_no"]
@@ -122,26 +122,35 @@ def similar_to_earlier(docs: DataFrame, reps: DataFrame, threshold: float = THRE
     return cut(found.union(_verified(_pairs(rest, "x", "y"), tokens, threshold)).distinct(), "line-similar")
 
 
-def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with later similar lines removed from the text, and n_lines and n_removed in a struct column `lines`."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    tokens = line_tokens(base)
+def _rebuilt(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """row (all columns), doc_id, text as it was, and lines: the text that is left, n_lines and n_removed."""
+    base = whole_row(docs, doc_id=id_col, text=text_col)
+    tokens = line_tokens(base.select("doc_id", "text"))
     scale = rarity(tokens)
     reps = cut(representatives(tokens, scale, threshold), "line-representatives")
-    similar = similar_to_earlier(base, reps, threshold)
+    gone = similar_to_earlier(base.select("doc_id", "text"), reps, threshold).select("x.*")
     firsts = reps.select(*_POSITION)
-    gone = similar.select("x.*")
     kept = firsts.join(gone, firsts["doc_id"].eqNullSafe(gone["doc_id"]) & (firsts["line_no"] == gone["line_no"]), "left_anti")
-    kept = kept.groupBy("doc_id").agg(F.collect_set("line_no").alias("_kept")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left")
+    kept = kept.groupBy("doc_id").agg(F.collect_set("line_no").alias("kept")).withColumnRenamed("doc_id", "id")
+    joined = base.join(kept, base["doc_id"].eqNullSafe(kept["id"]), "left")
     blank = r"^[\x20\x09-\x0D]*$"
 
     def rebuilt(lines: Column) -> Column:
         all_ = F.sequence(F.lit(0), F.size(lines) - 1)
         empty = F.filter(all_, lambda i: F.get(lines, i).rlike(blank))
-        stay = F.array_union(F.array_intersect(all_, F.coalesce("_kept", F.array().cast("array<int>"))), empty)
+        stay = F.array_union(F.array_intersect(all_, F.coalesce("kept", F.array().cast("array<int>"))), empty)
         return let(F.sort_array(stay), lambda s: F.struct(F.array_join(F.transform(s, lambda i: F.get(lines, i)), "\n").alias("text"), F.size(lines).alias("n_lines"), (F.size(lines) - F.size(s)).alias("n_removed")))
 
-    out = joined.withColumn("lines", let(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), rebuilt))
-    text = F.when(F.col(text_col).isNotNull(), F.col("lines.text"))
-    return out.select(*(text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns), F.struct("lines.n_lines", "lines.n_removed").alias("lines"))
+    return joined.select("row", "doc_id", "text", let(F.split(F.coalesce("text", F.lit("")), "\n"), rebuilt).alias("lines"))
+
+
+def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with later similar lines removed from the text."""
+    text = F.when(F.col("text").isNotNull(), F.col("lines.text"))
+    return unpacked(_rebuilt(docs, threshold, id_col, text_col), docs, **{text_col: text})
+
+
+def dedup_counts(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the text that is left, n_lines and n_removed."""
+    rows = _rebuilt(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), threshold, "doc_id", "text")
+    return rows.select("doc_id", F.when(F.col("text").isNotNull(), F.col("lines.text")).alias("text"), "lines.n_lines", "lines.n_removed")

@@ -28,7 +28,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", "lines.n_lines", "lines.n_removed")
+    return lines.dedup_counts(documents(spark, sf_dir))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let, words
+from .common import cut, let, unpacked, whole_row, words
 
 SYMBOLS, MARKS = "#*$%&|<>", "!"
 #: Share of rows that an estimate rests on, the factor that makes its covariance fit normal rows (six dimensions), steps.
@@ -183,4 +183,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def accept(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns; statistics are taken again rather than joined to the texts."""
     rows = cut(with_stats(docs.select("text", "lang", "source")).select("lang", "source", "stats.*"), "rule-stats")
-    return _verdict(with_stats(docs), *estimates(rows), stats="stats.").where("kept").select(*docs.columns)
+    base = with_stats(whole_row(docs, text="text", lang="lang", source="source"))
+    return unpacked(_verdict(base, *estimates(rows), stats="stats.").where("kept"), docs)
