@@ -5,12 +5,14 @@ line is removed if an earlier one (by document id, then line number) has a Jacca
 similarity of THRESHOLD or more with it; lines without words stay.
 
 Lines of equal sets are one class, represented by its first line; all others of the class
-go. Tokens are ordered by rarity (a table of counts by token hash, of fixed size, gives
-the order; any order is exact, rare tokens first make it quick). Similar lines share a
+go. Tokens are ordered by rarity: by the count of their first word, which bounds their own
+(a table of counts by word hash, of fixed size; any order is exact, rare tokens first make
+it quick). Similar lines share a
 token of their prefixes, so representatives are joined over prefix tokens, with the length
 and the positional filter, and candidates are verified by their Jaccard similarity. A line
 is first compared with the first line of each token's list; only lines that this does not
-settle are compared with the others of their lists. All of it is DataFrame operations.
+settle are compared with the others of their lists, after a bound by the number of prefix
+tokens that they share. All of it is DataFrame operations.
 
 Nulls: a null text stays null; a null id counts as the first. Rows that repeat an id share
 its positions, and keep or lose lines alike. An empty table gives no rows.
@@ -23,47 +25,49 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let, unpacked, whole_row, words
+from .common import SPACE, cut, let, unpacked, whole_row, words
 
 SHINGLE, THRESHOLD, BUCKETS = 5, 0.8, 8192
 _POSITION = ["doc_id", "line_no"]
 
 
-def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """The distinct token hashes of a line; empty for a line without words."""
+def shingles(line: Column, scale: Column | None = None, size: int = SHINGLE) -> Column:
+    """The distinct token keys of a line, ascending; empty for a line without words.
+
+    A key is 56 bits of the shingle's hash below the frequency of its first word (0 without
+    a scale): a shingle is at most as frequent as its words, so a small key means a rare token.
+    """
+
+    def key(first: Column, hashed: Column) -> Column:
+        own = hashed.bitwiseAND((1 << 56) - 1)
+        return own if scale is None else F.get(scale, F.xxhash64(first).bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(own)
 
     def made(w: Column) -> Column:
-        long_ = F.transform(F.slice(w, 1, F.size(w) - (size - 1)), lambda x, i: F.xxhash64(x, *(w[i + k] for k in range(1, size))))
-        short = F.array(F.xxhash64(F.array_join(w, " ")))
-        return F.when(F.size(w) >= size, F.array_distinct(long_)).when(F.size(w) > 0, short).otherwise(F.array().cast("array<bigint>"))
+        long_ = F.transform(F.slice(w, 1, F.size(w) - (size - 1)), lambda x, i: key(x, F.xxhash64(x, *(w[i + k] for k in range(1, size)))))
+        short = F.array(key(w[0], F.xxhash64(F.array_join(w, " "))))
+        return F.when(F.size(w) >= size, F.sort_array(F.array_distinct(long_))).when(F.size(w) > 0, short).otherwise(F.array().cast("array<bigint>"))
 
     return let(words(line), made)
 
 
-def line_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no and tokens of every line of docs (doc_id, text)."""
+def line_keys(docs: DataFrame, scale: Column | None = None) -> DataFrame:
+    """doc_id, line_no and keys of every line of docs (doc_id, text) that has a word."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", shingles(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    return lines.select("doc_id", "line_no", shingles(F.col("line"), scale).alias("keys")).where(F.size("keys") > 0)
 
 
-def rarity(tokens: DataFrame, buckets: int = BUCKETS) -> Column:
-    """How frequent the tokens of each hash bucket are, on a log scale, as a constant array."""
-    counts = tokens.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(buckets - 1).alias("b")).agg(F.count("*").alias("n"))
+def rarity(docs: DataFrame, buckets: int = BUCKETS) -> Column:
+    """How frequent the words of each hash bucket are, on a log scale in the high bits of a long, as a constant array."""
+    word = docs.select(F.explode(F.split("text", SPACE)).alias("w"))
+    counts = word.groupBy(F.xxhash64("w").bitwiseAND(buckets - 1).alias("b")).agg(F.count("*").alias("n"))
     scale = [0] * buckets
     for x in counts.collect():  # buckets rows at most
-        scale[x["b"]] = min(120, int(3 * math.log2(1 + x["n"])))
-    return F.split(F.lit(",".join(map(str, scale))), ",").cast("array<int>")
-
-
-def by_rarity(tokens: Column, scale: Column, buckets: int = BUCKETS) -> Column:
-    """Token keys, rare ones first: the bucket's frequency above 56 bits of the token's hash."""
-    key = lambda t: F.shiftleft(F.get(scale, t.bitwiseAND(buckets - 1).cast("int")).cast("long"), 56).bitwiseOR(t.bitwiseAND((1 << 56) - 1))
-    return F.sort_array(F.transform(tokens, key))
+        scale[x["b"]] = min(120, int(3 * math.log2(1 + x["n"]))) << 56
+    return F.split(F.lit(",".join(map(str, scale))), ",").cast("array<bigint>")
 
 
-def representatives(tokens: DataFrame, scale: Column, threshold: float = THRESHOLD) -> DataFrame:
+def representatives(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line_no, size and prefix of the first line of each class of equal sets."""
-    keyed = tokens.select(*_POSITION, by_rarity(F.col("tokens"), scale).alias("keys"))
     size = F.size("keys")
     prefix = F.slice("keys", 1, size - F.ceil(threshold * size - 1e-9).cast("int") + 1)
     rows = keyed.select(*_POSITION, F.xxhash64("keys").alias("a"), F.hash("keys").alias("b"), size.alias("size"), prefix.alias("prefix"))
@@ -118,16 +122,20 @@ def similar_to_earlier(docs: DataFrame, reps: DataFrame, threshold: float = THRE
     open_ = shared.where(~_same("x", "first")).join(settled, unsettled, "left_anti")
     others = shared.where(~_same("x", "first")).select("token", F.col("x").alias("y"))
     earlier = F.struct(F.col("y.doc_id"), F.col("y.line_no")) < F.struct(F.col("x.doc_id"), F.col("x.line_no"))
-    rest = open_.select("token", "x").join(others, "token").where(earlier & _may_match("x", "y", threshold))
-    return cut(found.union(_verified(_pairs(rest, "x", "y"), tokens, threshold)).distinct(), "line-similar")
+    rest = open_.select("token", "x").join(others, "token").where(earlier)
+    p = lambda v: F.struct(F.col(f"{v}.doc_id"), F.col(f"{v}.line_no")).alias(v)
+    met = rest.groupBy(p("x"), p("y")).agg(F.count("*").alias("c"), F.bool_and(_may_match("x", "y", threshold)).alias("may"), F.first("x.size").alias("sx"), F.first("y.size").alias("sy"))
+    # common tokens beyond the prefixes are beyond the one that ends first: at most as many as the longer rest has
+    beyond = lambda n: F.ceil(threshold * F.col(n) - 1e-9) - 1
+    enough = F.col("c") + F.greatest(beyond("sx"), beyond("sy")) >= F.ceil(threshold / (1 + threshold) * (F.col("sx") + F.col("sy")) - 1e-9)
+    return cut(found.union(_verified(met.where(F.col("may") & enough).select("x", "y"), tokens, threshold)).distinct(), "line-similar")
 
 
 def _rebuilt(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """row (all columns), doc_id, text as it was, and lines: the text that is left, n_lines and n_removed."""
     base = whole_row(docs, doc_id=id_col, text=text_col)
-    tokens = line_tokens(base.select("doc_id", "text"))
-    scale = rarity(tokens)
-    reps = cut(representatives(tokens, scale, threshold), "line-representatives")
+    texts = base.select("doc_id", "text")
+    reps = cut(representatives(line_keys(texts, rarity(texts)), threshold), "line-representatives")
     gone = similar_to_earlier(base.select("doc_id", "text"), reps, threshold).select("x.*")
     firsts = reps.select(*_POSITION)
     kept = firsts.join(gone, firsts["doc_id"].eqNullSafe(gone["doc_id"]) & (firsts["line_no"] == gone["line_no"]), "left_anti")
