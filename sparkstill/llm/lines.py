@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from .common import SPACE, cut, let, unpacked, whole_row, words
 
 SHINGLE, THRESHOLD, BUCKETS = 5, 0.8, 8192
+WORD = r"[^\x20\x09-\x0D]"
 _POSITION = ["doc_id", "line_no"]
 
 
-def shingles(line: Column, scale: Column | None = None, size: int = SHINGLE) -> Column:
-    """The distinct token keys of a line, ascending; empty for a line without words.
+def shingles(w: Column, scale: Column | None = None, size: int = SHINGLE) -> Column:
+    """The distinct token keys, ascending, of a line given as the column of its words (one or more).
 
     A key is 56 bits of the shingle's hash below the frequency of its first word (0 without
     a scale): a shingle is at most as frequent as its words, so a small key means a rare token.
@@ -42,18 +43,18 @@ def shingles(line: Column, scale: Column | None = None, size: int = SHINGLE) ->
         own = hashed.bitwiseAND((1 << 56) - 1)
         return own if scale is None else F.get(scale, F.xxhash64(first).bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(own)
 
-    def made(w: Column) -> Column:
-        long_ = F.transform(F.slice(w, 1, F.size(w) - (size - 1)), lambda x, i: key(x, F.xxhash64(x, *(w[i + k] for k in range(1, size)))))
-        short = F.array(key(w[0], F.xxhash64(F.array_join(w, " "))))
-        return F.when(F.size(w) >= size, F.sort_array(F.array_distinct(long_))).when(F.size(w) > 0, short).otherwise(F.array().cast("array<bigint>"))
-
-    return let(words(line), made)
+    long_ = F.transform(F.slice(w, 1, F.size(w) - (size - 1)), lambda x, i: key(x, F.xxhash64(x, *(F.get(w, i + k) for k in range(1, size)))))
+    short = F.array(key(F.get(w, F.lit(0)), F.xxhash64(F.array_join(w, " "))))
+    return F.when(F.size(w) >= size, F.sort_array(F.array_distinct(long_))).otherwise(short)
 
 
 def line_keys(docs: DataFrame, scale: Column | None = None) -> DataFrame:
-    """doc_id, line_no and keys of every line of docs (doc_id, text) that has a word."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", shingles(F.col("line"), scale).alias("keys")).where(F.size("keys") > 0)
+    """doc_id, line_no and keys of every line of docs (doc_id, text) that has a word.
+
+    Lines are chosen by their text, since a filter on the keys would be pushed below and compute them twice.
+    """
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD))
+    return lines.select("doc_id", "line_no", words(F.col("line")).alias("w")).select("doc_id", "line_no", shingles(F.col("w"), scale).alias("keys"))
 
 
 def rarity(docs: DataFrame, buckets: int = BUCKETS) -> Column:
@@ -112,7 +113,8 @@ def similar_to_earlier(docs: DataFrame, reps: DataFrame, threshold: float = THRE
     shared = cut(shared_postings(reps), "line-postings")
     wanted = shared.select("x.doc_id", "x.line_no").distinct().groupBy("doc_id").agg(F.collect_set("line_no").alias("n")).withColumnRenamed("doc_id", "_id")
     some = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select("doc_id", F.split("text", "\n").alias("l"), F.explode("n").alias("line_no"))
-    tokens = some.select(F.struct("doc_id", "line_no").alias("p"), shingles(F.get("l", F.col("line_no"))).alias("tokens")).dropDuplicates(["p"])
+    split_ = some.select(F.struct("doc_id", "line_no").alias("p"), words(F.get("l", F.col("line_no"))).alias("w"))
+    tokens = split_.select("p", shingles(F.col("w")).alias("tokens")).dropDuplicates(["p"])
     tokens = cut(tokens, "line-tokens")
     quick = _pairs(shared.where(~_same("x", "first") & _may_match("x", "first", threshold)), "x", "first")
     found = cut(_verified(quick, tokens, threshold), "line-found")
