@@ -42,20 +42,21 @@ def repeat_words(w: Column) -> Column:
     different windows of one text to agree in (64 - log2 of the words) bits.
     """
 
-    def dup(w: Column) -> Column:
-        bits = F.length(F.bin(F.size(w).cast("long"))).cast("int")
-        low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+    def dup(w: Column, bits: Column, low: Column) -> Column:
         hashed = F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, w[i + 1], w[i + 2]).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
+        same = lambda x, y: F.call_function("shiftright", x, bits) == F.call_function("shiftright", y, bits)
 
         def found(s: Column) -> Column:
-            same = lambda x, y: F.call_function("shiftright", x, bits) == F.call_function("shiftright", y, bits)
-            again = F.filter(s, lambda x, i: F.coalesce((i > 0) & same(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)))
+            again = F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)))
             at = F.transform(again, lambda x: x.bitwiseAND(low))
             return let(at, lambda a: F.size(F.array_distinct(F.concat(a, F.transform(a, lambda x: x + 1), F.transform(a, lambda x: x + 2)))))
 
         return let(F.sort_array(hashed), found)
 
-    return F.when(F.size(w) < 4, 0).otherwise(dup(w))
+    def sized(bits: Column) -> Column:
+        return let(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1, lambda low: dup(w, bits, low))
+
+    return F.when(F.size(w) < 4, 0).otherwise(let(F.length(F.bin(F.size(w).cast("long"))).cast("int"), sized))
 
 
 def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
