@@ -53,6 +53,11 @@ def held(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def small(table: DataFrame, rows: int = 500_000) -> DataFrame:
+    """table, marked for broadcast if it has at most so many rows (it should be cut: it is counted); else it is joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def whole_row(docs: DataFrame, **named: str) -> DataFrame:
     """A struct `row` of all columns of docs, and the named ones beside it, so that no name clashes."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(F.col(f"`{c}`").alias(k) for k, c in named.items()))

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, let, unpacked, whole_row, words
+from .common import SPACE, cut, let, small, unpacked, whole_row, words
 
 SHINGLE, THRESHOLD, BUCKETS = 5, 0.8, 8192
 WORD = r"[^\x20\x09-\x0D]"
@@ -111,8 +111,9 @@ def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFram
 def similar_to_earlier(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """x: positions of the representatives that have an earlier similar line."""
     shared = cut(shared_postings(reps), "line-postings")
-    wanted = shared.select("x.doc_id", "x.line_no").distinct().groupBy("doc_id").agg(F.collect_set("line_no").alias("n")).withColumnRenamed("doc_id", "_id")
-    some = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select("doc_id", F.split("text", "\n").alias("l"), F.explode("n").alias("line_no"))
+    wanted = cut(shared.groupBy(F.col("x.doc_id").alias("id")).agg(F.collect_set("x.line_no").alias("n")), "line-wanted")
+    wanted = small(wanted)
+    some = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"])).select("doc_id", F.split("text", "\n").alias("l"), F.explode("n").alias("line_no"))
     split_ = some.select(F.struct("doc_id", "line_no").alias("p"), words(F.get("l", F.col("line_no"))).alias("w"))
     tokens = split_.select("p", shingles(F.col("w")).alias("tokens")).dropDuplicates(["p"])
     tokens = cut(tokens, "line-tokens")
@@ -141,7 +142,7 @@ def _rebuilt(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> D
     gone = similar_to_earlier(base.select("doc_id", "text"), reps, threshold).select("x.*")
     firsts = reps.select(*_POSITION)
     kept = firsts.join(gone, firsts["doc_id"].eqNullSafe(gone["doc_id"]) & (firsts["line_no"] == gone["line_no"]), "left_anti")
-    kept = kept.groupBy("doc_id").agg(F.collect_set("line_no").alias("kept")).withColumnRenamed("doc_id", "id")
+    kept = small(cut(kept.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("line_no").alias("kept")), "line-kept"))
     joined = base.join(kept, base["doc_id"].eqNullSafe(kept["id"]), "left")
     blank = r"^[\x20\x09-\x0D]*$"
 
