@@ -36,7 +36,8 @@ def main(argv: list[str] | None = None) -> None:
 
     from .plans import workflow
     from .plans.artifact import Artifact
-    from .sources.tables import read_library, write_json
+    from .sources.reports import write_report
+    from .sources.tables import read_library
 
     spark = SparkSession.builder.appName("sparkstill").getOrCreate()
     if a.command == "fit":
@@ -44,7 +45,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "predict":
         workflow.predict(spark, Artifact.load(spark, a.model), a.input, a.output, a.key_column)
     elif a.command == "validate":
-        write_json(a.output, workflow.validate(spark, Artifact.load(spark, a.model), a.soft_labels, a.hard_labels, a.library))
+        write_report(workflow.validate(spark, Artifact.load(spark, a.model), a.soft_labels, a.hard_labels, a.library), a.output)
     else:
         read_library(spark, a.library).orderBy("row_id").select("text").write.csv(a.output, header=True)
 

@@ -489,3 +489,53 @@ def gate_mlp(spark, sf_dir):
     rows = split.hold_out(fp.join(near.withColumnRenamed("id", "row_id"), "row_id"), "row_id")
     gate = fit_gate(rows, "sim", 256, (16, 8), epochs=4)
     return rows.select("row_id", "sim", gate.predict(F.col("features")).alias("estimate"))
+
+
+@query("select is_val, count(*) n from (select c_custkey, c_custkey % 10 = 0 is_val from customer) group by is_val")
+def sample_below_limit(spark, sf_dir):
+    """A sample with a limit above the table's size is the table."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), (F.col("c_custkey") % 10 == 0).alias("is_val"))
+    return split.proportional_sample(rows, "is_val", "row_id", 10**9).groupBy("is_val").agg(F.count("*").alias("n"))
+
+
+@query("""with a as (select ps.p_partkey id, cast(p_retailprice as double) v from part ps), q as (select quantile_cont(v,0.25) q25, quantile_cont(v,0.75) q75, quantile_cont(v,0.9) q90, quantile_cont(v,0.99) q99 from a)
+select round(q25,6) q25, round(q75,6) q75, round(q90,6) q90, round(q99,6) q99 from q""")
+def quantiles(spark, sf_dir):
+    q = table(spark, sf_dir, "part").agg(F.percentile("p_retailprice", [0.25, 0.75, 0.9, 0.99]).alias("q"))
+    return rounded(q.select(*(F.col("q")[k].alias(c) for k, c in enumerate(("q25", "q75", "q90", "q99")))))
+
+
+@query("""select l_returnflag, l_linestatus, count(*) n, round(avg(abs(l_quantity - l_extendedprice/1500e0)),6) mae, round(sqrt(avg(pow(l_quantity - l_extendedprice/1500e0,2))),6) rmse from lineitem group by 1, 2""")
+def bulk_errors(spark, sf_dir):
+    """Order-free errors of the largest table by two columns: one partial and one final aggregate."""
+    e = F.col("l_quantity") - F.col("l_extendedprice") / F.lit(1500.0)
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus")
+    return rounded(rows.agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")))
+
+
+@query(f"with {SCORED}, t as (select s, y, row_number() over(order by s desc, row_id) rn, row_id from b) select row_id, round(s,9) s, y from t where rn <= 25")
+def top_k_by_score(spark, sf_dir):
+    """The 25 best scores; ties by row id."""
+    return rounded(scored(spark, sf_dir).orderBy(F.desc("s"), "row_id").limit(25).select("row_id", "s", "y"), 9)
+
+
+@query(f"with {SCORED}, q as (select lang, s, y from b) select lang, count(*) n, cast(sum(y) as bigint) positive, round(avg(s),6) mean_score from q group by cube(lang)")
+def class_profile_cube(spark, sf_dir):
+    return rounded(scored(spark, sf_dir).cube("lang").agg(F.count("*").alias("n"), F.sum("y").alias("positive"), F.avg("s").alias("mean_score")))
+
+
+@query()
+def artifact_roundtrip(spark, sf_dir):
+    """Predictions of a small artifact, saved, loaded and compared with those before."""
+    from ..sources.tables import shared_folder
+    from .artifact import Artifact, Column, check_parity
+
+    rows = library(spark, sf_dir)
+    fitted = student.fit_student(rows, "y", rounds=3, maxDepth=3)
+    made = Artifact([Column("chars", fitted.model, fitted.isotonic)], 256)
+    folder = shared_folder(spark, "artifact")
+    made.save(spark, folder)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("key"))
+    loaded = Artifact.load(spark, folder)
+    check_parity(made.transform(docs), loaded.transform(docs), ["chars"])
+    return loaded.transform(docs).select("row_id", "chars")

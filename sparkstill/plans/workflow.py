@@ -143,7 +143,7 @@ def export(spark: SparkSession, run: Run, columns: list[Column], folder: str, te
     if any(c["status"] == "prepared" for c in run.manifest["columns"]):
         raise ValueError("some columns are not trained")
     made = Artifact(columns, run.manifest["library"]["width"])
-    made.save(folder)
+    made.save(spark, folder)
     loaded = Artifact.load(spark, folder)
     probe = read_library(spark, run.manifest["library"]["path"], 16).select("row_id", F.col(text).alias("key"))
     check_parity(made.transform(probe), loaded.transform(probe), [c.name for c in columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +77,24 @@ def write_json(path: str, value: dict) -> None:
     os.replace(temp, path)
 
 
+def save_json(spark: SparkSession, path: str, value: dict) -> None:
+    """Strict JSON as a one-row text table, so that it can be kept wherever Spark writes."""
+    text = json.dumps(json_safe(value), allow_nan=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
+
+
 def json_safe(x):
     if isinstance(x, dict):
         return {str(k): json_safe(v) for k, v in x.items()}

@@ -131,3 +131,39 @@ def test_thinned_maps_stay_close(spark):
     df = spark.range(500).select((F.col("id") / 100).alias("x"))
     assert df.agg(F.max(F.abs(found.apply(F.col("x")) - small.apply(F.col("x"))))).first()[0] < 1.1e-3
     assert calibrate.IsotonicMap.from_json(small.to_json()) == small
+
+
+def test_report_files(tmp_path):
+    from sparkstill.sources.reports import write_report
+
+    write_report({"soft": {"a": {"n": 3, "mae": float("nan"), "r2": 0.5}}, "hard": {"a": {"n": 3, "auroc": 1.0, "ef_top_0.1": 2.0}}, "notes": ["<b>"]}, str(tmp_path))
+    rows = list(csv.DictReader(open(tmp_path / "performance_table.csv")))
+    assert [r["labels"] for r in rows] == ["soft", "hard"] and rows[0]["mae"] == "" and rows[1]["ef_top_0.1"] == "2.0"
+    assert "&lt;b&gt;" in (tmp_path / "report.html").read_text()
+
+
+def test_samples_keep_their_shares(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("row_id"), (F.col("id") % 10 == 0).alias("is_val"))
+    found = {r["is_val"]: r["n"] for r in split.proportional_sample(rows, "is_val", "row_id", 5000).groupBy("is_val").agg(F.count("*").alias("n")).collect()}
+    assert abs(found[True] - 500) < 100 and abs(found[False] - 4500) < 250
+    assert abs(split.hold_out(rows, "row_id").where("is_val").count() - 2000) < 200
+
+
+def test_tuning_finds_settings(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from sparkstill.operators.tune import tune
+
+    rows = spark.createDataFrame([(k, Vectors.dense([float(k % 7), float(k % 3)]), float(k % 7), k % 5 == 0) for k in range(200)], ["row_id", "features", "y", "is_val"])
+    best = tune(rows, "y", n=2, rounds=3, maxDepth=3)
+    assert best["rmse"] < 2.5 and {"stepSize", "minInfoGain"} <= set(best)
+
+
+@pytest.mark.parametrize(("mode", "want"), [("off", "none"), ("kde", "kde"), ("bins", "bins"), ("on", "bins"), ("auto", "none")])
+def test_weighting_modes(spark, mode, want):
+    from sparkstill.operators import weights
+
+    flat = spark.range(200).select((F.col("id") % 200).cast("double").alias("y"))
+    assert weights.strategy(flat, "y", mode)["strategy"] == want
+    with pytest.raises(ValueError):
+        weights.strategy(flat, "y", "other")
