@@ -85,11 +85,15 @@ def _may_match(x: str, y: str, threshold: float) -> Column:
 
 def shared_postings(reps: DataFrame) -> DataFrame:
     """token, x (a line's position, size and place of the token) and first (of the token's first line), for tokens of two lines or more."""
-    postings = reps.select(*_POSITION, "size", F.posexplode("prefix").alias("i", "token"))
+    # size and place travel as one number: fewer fields make a smaller shuffle of all postings
+    one = F.col("size").cast("long") * F.lit(1 << 32)
+    postings = reps.select(*_POSITION, one.alias("one"), F.posexplode("prefix").alias("i", "token")).select("token", *_POSITION, (F.col("one") + F.col("i")).alias("one"))
     order = Window.partitionBy("token").orderBy(F.col("doc_id").asc_nulls_first(), "line_no")
-    x = F.struct(*_POSITION, "size", "i")
-    listed = postings.select("token", x.alias("x"), F.first(x).over(order).alias("first"), F.lead("token").over(order).alias("next"))
-    return listed.where(F.col("next").isNotNull() | ~_same("x", "first")).drop("next")
+    first = F.first(F.struct(*_POSITION, "one")).over(order)
+    listed = postings.select("*", first.alias("f"), F.lead("token").over(order).alias("next"))
+    alone = F.col("next").isNull() & F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("line_no") == F.col("f.line_no"))
+    place = lambda v: F.struct(F.col(f"{v}doc_id"), F.col(f"{v}line_no"), F.shiftright(f"{v}one", 32).cast("int").alias("size"), F.col(f"{v}one").bitwiseAND((1 << 32) - 1).cast("int").alias("i"))
+    return listed.where(~alone).select("token", place("").alias("x"), place("f.").alias("first"))
 
 
 def _same(x: str, y: str) -> Column:
@@ -100,38 +104,39 @@ def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.select(F.struct(F.col(f"{x}.doc_id"), F.col(f"{x}.line_no")).alias("x"), F.struct(F.col(f"{y}.doc_id"), F.col(f"{y}.line_no")).alias("y")).distinct()
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
-    """x of the pairs whose Jaccard similarity is at least the threshold; tokens has p (a position) and tokens."""
+def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """x of the pairs whose Jaccard similarity is at least the threshold; tokens are made for the lines in pairs only."""
+    pairs = cut(pairs, "line-pairs")
+    lines = pairs.select("x.*").union(pairs.select("y.*"))
+    wanted = small(cut(lines.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("line_no").alias("n")), "line-wanted"))
+    some = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"])).select("doc_id", F.split("text", "\n").alias("l"), F.explode("n").alias("line_no"))
+    split_ = some.select(F.struct("doc_id", "line_no").alias("p"), words(F.get("l", F.col("line_no"))).alias("w"))
+    tokens = cut(split_.select("p", shingles(F.col("w")).alias("tokens")), "line-tokens")
     left = pairs.join(tokens.select(F.col("p").alias("x"), F.col("tokens").alias("tx")), "x")
     both = left.join(tokens.select(F.col("p").alias("y"), F.col("tokens").alias("ty")), "y")
     common = F.size(F.array_intersect("tx", "ty"))
-    return both.where(common >= threshold * (F.size("tx") + F.size("ty") - common) - 1e-9).select("x").distinct()
+    found = both.where(common >= threshold * (F.size("tx") + F.size("ty") - common) - 1e-9).select("x").distinct()
+    return cut(found, "line-found")
 
 
 def similar_to_earlier(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """x: positions of the representatives that have an earlier similar line."""
     shared = cut(shared_postings(reps), "line-postings")
-    wanted = cut(shared.groupBy(F.col("x.doc_id").alias("id")).agg(F.collect_set("x.line_no").alias("n")), "line-wanted")
-    wanted = small(wanted)
-    some = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"])).select("doc_id", F.split("text", "\n").alias("l"), F.explode("n").alias("line_no"))
-    split_ = some.select(F.struct("doc_id", "line_no").alias("p"), words(F.get("l", F.col("line_no"))).alias("w"))
-    tokens = split_.select("p", shingles(F.col("w")).alias("tokens")).dropDuplicates(["p"])
-    tokens = cut(tokens, "line-tokens")
-    quick = _pairs(shared.where(~_same("x", "first") & _may_match("x", "first", threshold)), "x", "first")
-    found = cut(_verified(quick, tokens, threshold), "line-found")
+    found = _verified(docs, _pairs(shared.where(~_same("x", "first") & _may_match("x", "first", threshold)), "x", "first").withColumnRenamed("first", "y"), threshold)
     # lines not settled by the first of a list, against the others before them
     settled = found.select("x.*")
     unsettled = shared["x.doc_id"].eqNullSafe(settled["doc_id"]) & (shared["x.line_no"] == settled["line_no"])
     open_ = shared.where(~_same("x", "first")).join(settled, unsettled, "left_anti")
     others = shared.where(~_same("x", "first")).select("token", F.col("x").alias("y"))
     earlier = F.struct(F.col("y.doc_id"), F.col("y.line_no")) < F.struct(F.col("x.doc_id"), F.col("x.line_no"))
-    rest = open_.select("token", "x").join(others, "token").where(earlier)
+    near = F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size") - 1e-9
+    rest = open_.select("token", "x").join(others, "token").where(earlier & near)
     p = lambda v: F.struct(F.col(f"{v}.doc_id"), F.col(f"{v}.line_no")).alias(v)
-    met = rest.groupBy(p("x"), p("y")).agg(F.count("*").alias("c"), F.bool_and(_may_match("x", "y", threshold)).alias("may"), F.first("x.size").alias("sx"), F.first("y.size").alias("sy"))
+    met = rest.groupBy(p("x"), p("y")).agg(F.count("*").alias("c"), F.bool_and(_may_match("x", "y", threshold)).alias("may"), F.max("x.size").alias("sx"), F.max("y.size").alias("sy"))
     # common tokens beyond the prefixes are beyond the one that ends first: at most as many as the longer rest has
     beyond = lambda n: F.ceil(threshold * F.col(n) - 1e-9) - 1
     enough = F.col("c") + F.greatest(beyond("sx"), beyond("sy")) >= F.ceil(threshold / (1 + threshold) * (F.col("sx") + F.col("sy")) - 1e-9)
-    return cut(found.union(_verified(met.where(F.col("may") & enough).select("x", "y"), tokens, threshold)).distinct(), "line-similar")
+    return found.union(_verified(docs, met.where(F.col("may") & enough).select("x", "y"), threshold)).distinct()
 
 
 def _rebuilt(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
