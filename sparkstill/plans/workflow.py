@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features
+from ..functions.inputs import assert_library
 from ..functions.schema import match_columns, match_tasks, resolve
 from ..functions.scalars import blend_ceiling, finite
 from ..operators import labels, metrics, similarity, split, student, weights
@@ -83,6 +84,7 @@ def prepare(spark: SparkSession, folder: str, library_path: str, soft_path: str,
 
 def _rows(spark: SparkSession, run: Run, c: dict) -> DataFrame:
     library = spark.read.parquet(f"{run.folder}/library")
+    assert_library(library, run.manifest["library"]["n_rows"], run.manifest["library"]["width"], run.manifest["split"]["limit"])
     y = spark.read.parquet(f"{run.folder}/targets").select("row_id", F.col(c["name"]).cast("double").alias("y"))
     return library.join(y, "row_id").join(spark.read.parquet(f"{run.folder}/splits/{c['id']}"), "row_id")
 

@@ -167,3 +167,22 @@ def test_weighting_modes(spark, mode, want):
     assert weights.strategy(flat, "y", mode)["strategy"] == want
     with pytest.raises(ValueError):
         weights.strategy(flat, "y", "other")
+
+
+def test_inputs_of_a_prediction(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from sparkstill.functions.inputs import as_queries, assert_library
+
+    for bad in ("CCO", b"CCO", {"a": 1}, {"a"}, 3):
+        with pytest.raises(TypeError):
+            as_queries(spark, bad)
+    rows = as_queries(spark, (x for x in ["b", None, "a"])).orderBy("row_id").collect()
+    assert [tuple(r) for r in rows] == [(0, "b"), (1, None), (2, "a")]
+    assert as_queries(spark, spark.createDataFrame([("x",)], ["t"])).first()["key"] == "x"
+    lib = spark.createDataFrame([(k, Vectors.sparse(4, [k], [1.0])) for k in range(3)], ["row_id", "features"])
+    assert_library(lib, 3, 4)
+    assert_library(lib.where("row_id < 2"), 3, 4, 2)
+    for n, w in ((4, 4), (3, 5)):
+        with pytest.raises(ValueError):
+            assert_library(lib, n, w)
