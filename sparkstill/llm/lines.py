@@ -11,8 +11,8 @@ it quick). Similar lines share a
 token of their prefixes, so representatives are joined over prefix tokens, with the length
 and the positional filter, and candidates are verified by their Jaccard similarity. A line
 is first compared with the first line of each token's list; only lines that this does not
-settle are compared with the others of their lists, after a bound by the number of prefix
-tokens that they share. All of it is DataFrame operations.
+settle are compared with the others of their lists, after two bounds: bitmaps of the sets
+differ in few bits, and enough prefix tokens are shared. All of it is DataFrame operations.
 
 Nulls: a null text stays null; a null id counts as the first. Rows that repeat an id share
 its positions, and keep or lose lines alike. An empty table gives no rows.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, cut, let, small, unpacked, whole_row, words
 
-SHINGLE, THRESHOLD, BUCKETS = 5, 0.8, 8192
+SHINGLE, THRESHOLD, BUCKETS, BITMAP = 5, 0.8, 8192, 256
 WORD = r"[^\x20\x09-\x0D]"
 _POSITION = ["doc_id", "line_no"]
 
@@ -104,14 +104,27 @@ def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.select(F.struct(F.col(f"{x}.doc_id"), F.col(f"{x}.line_no")).alias("x"), F.struct(F.col(f"{y}.doc_id"), F.col(f"{y}.line_no")).alias("y")).distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """x of the pairs whose Jaccard similarity is at least the threshold; tokens are made for the lines in pairs only."""
-    pairs = cut(pairs, "line-pairs")
-    lines = pairs.select("x.*").union(pairs.select("y.*"))
-    wanted = small(cut(lines.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("line_no").alias("n")), "line-wanted"))
+def bitmap(tokens: Column) -> Column:
+    """BITMAP bits in longs: bit h of a token's hash is set. Sets that differ in n tokens differ in n bits at most."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
+    word = lambda t: F.shiftright(t, 6).bitwiseAND(BITMAP // 64 - 1)
+
+    def part(k: int) -> Column:
+        return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: F.when(word(t) == k, acc.bitwiseOR(bit(t))).otherwise(acc))
+
+    return F.array(*(part(k) for k in range(BITMAP // 64)))
+
+
+def tokens_of(docs: DataFrame, positions: DataFrame) -> DataFrame:
+    """p (a position), tokens and bits of the lines at some positions."""
+    wanted = small(cut(positions.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("line_no").alias("n")), "line-wanted"))
     some = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"])).select("doc_id", F.split("text", "\n").alias("l"), F.explode("n").alias("line_no"))
     split_ = some.select(F.struct("doc_id", "line_no").alias("p"), words(F.get("l", F.col("line_no"))).alias("w"))
-    tokens = cut(split_.select("p", shingles(F.col("w")).alias("tokens")), "line-tokens")
+    return split_.select("p", shingles(F.col("w")).alias("tokens")).select("p", "tokens", bitmap(F.col("tokens")).alias("bits"))
+
+
+def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
+    """x of the pairs whose Jaccard similarity is at least the threshold."""
     left = pairs.join(tokens.select(F.col("p").alias("x"), F.col("tokens").alias("tx")), "x")
     both = left.join(tokens.select(F.col("p").alias("y"), F.col("tokens").alias("ty")), "y")
     common = F.size(F.array_intersect("tx", "ty"))
@@ -122,21 +135,22 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 def similar_to_earlier(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """x: positions of the representatives that have an earlier similar line."""
     shared = cut(shared_postings(reps), "line-postings")
-    found = _verified(docs, _pairs(shared.where(~_same("x", "first") & _may_match("x", "first", threshold)), "x", "first").withColumnRenamed("first", "y"), threshold)
+    tokens = cut(tokens_of(docs, shared.select("x.doc_id", "x.line_no")), "line-tokens")
+    found = _verified(_pairs(shared.where(~_same("x", "first") & _may_match("x", "first", threshold)), "x", "first").withColumnRenamed("first", "y"), tokens, threshold)
     # lines not settled by the first of a list, against the others before them
-    settled = found.select("x.*")
-    unsettled = shared["x.doc_id"].eqNullSafe(settled["doc_id"]) & (shared["x.line_no"] == settled["line_no"])
-    open_ = shared.where(~_same("x", "first")).join(settled, unsettled, "left_anti")
-    others = shared.where(~_same("x", "first")).select("token", F.col("x").alias("y"))
-    earlier = F.struct(F.col("y.doc_id"), F.col("y.line_no")) < F.struct(F.col("x.doc_id"), F.col("x.line_no"))
+    p = lambda v: F.struct(F.col(f"{v}.doc_id"), F.col(f"{v}.line_no"))
+    others = shared.where(~_same("x", "first")).select("token", "x", p("x").alias("p")).join(tokens.select("p", "bits"), "p")
+    others = cut(others.join(found.select(F.col("x").alias("p"), F.lit(True).alias("settled")), "p", "left"), "line-others")
+    open_, before = others.where("settled is null").select("token", "x", F.col("bits").alias("bx")), others.select("token", F.col("x").alias("y"), F.col("bits").alias("by"))
+    differ = sum((F.bit_count(F.get("bx", F.lit(k)).bitwiseXOR(F.get("by", F.lit(k)))) for k in range(BITMAP // 64)), F.lit(0))
+    most = (1 - threshold) / (1 + threshold) * (F.col("x.size") + F.col("y.size")) + 1e-9
     near = F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size") - 1e-9
-    rest = open_.select("token", "x").join(others, "token").where(earlier & near)
-    p = lambda v: F.struct(F.col(f"{v}.doc_id"), F.col(f"{v}.line_no")).alias(v)
-    met = rest.groupBy(p("x"), p("y")).agg(F.count("*").alias("c"), F.bool_and(_may_match("x", "y", threshold)).alias("may"), F.max("x.size").alias("sx"), F.max("y.size").alias("sy"))
+    rest = open_.join(before, "token").where((p("y") < p("x")) & near & (differ <= most))
+    met = rest.groupBy(p("x").alias("x"), p("y").alias("y")).agg(F.count("*").alias("c"), F.bool_and(_may_match("x", "y", threshold)).alias("may"), F.max("x.size").alias("sx"), F.max("y.size").alias("sy"))
     # common tokens beyond the prefixes are beyond the one that ends first: at most as many as the longer rest has
     beyond = lambda n: F.ceil(threshold * F.col(n) - 1e-9) - 1
     enough = F.col("c") + F.greatest(beyond("sx"), beyond("sy")) >= F.ceil(threshold / (1 + threshold) * (F.col("sx") + F.col("sy")) - 1e-9)
-    return found.union(_verified(docs, met.where(F.col("may") & enough).select("x", "y"), threshold)).distinct()
+    return found.union(_verified(met.where(F.col("may") & enough).select("x", "y"), tokens, threshold)).distinct()
 
 
 def _rebuilt(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
