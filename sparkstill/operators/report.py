@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import digitize, equal_width_bin, normal_quantile
-from .order import average_ranks, row_numbers
+from .order import average_ranks, quantiles, row_numbers
 
 
 def calibration_bins(df: DataFrame, y: str, p: str, n_bins: int = 20) -> DataFrame:
     """bin, n, mean_p, mean_y between distinct quantiles of the prediction; empty with under three edges."""
-    edges = sorted(set(df.agg(F.percentile(p, [k / n_bins for k in range(n_bins + 1)]).alias("q")).first()["q"] or []))
+    edges = sorted({q for q in quantiles(df, p, [k / n_bins for k in range(n_bins + 1)]) if q is not None})
     rows = df if len(edges) >= 3 else df.where("false")
     return rows.groupBy(digitize(F.col(p), edges[1:-1]).alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"))
 

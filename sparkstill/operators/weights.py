@@ -8,15 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import equal_width_bin
+from .order import quantiles
 
 #: Bins, the cap of a weight, cells of the density grid, and what counts as imbalanced, small or discrete.
 BINS, MAX_WEIGHT, GRID = 20, 10.0, 512
 CV_LIMIT, EMPTY_LIMIT, FEW_ROWS, FEW_VALUES = 0.5, 0.3, 1000, 20
 
 
-def value_bins(df: DataFrame, y: str, n_bins: int = BINS) -> DataFrame:
+def ends(df: DataFrame, y: str) -> tuple[float, float]:
+    """The 1st and 99th percentile; zeros for an empty table."""
+    lo, hi = quantiles(df, y, [0.01, 0.99])
+    return (lo, hi) if lo is not None else (0.0, 0.0)
+
+
+def value_bins(df: DataFrame, y: str, n_bins: int = BINS, bounds: tuple[float, float] | None = None) -> DataFrame:
     """bin, count over equal widths between the 1st and 99th percentile; all bins, the empty ones too."""
-    lo, hi = df.agg(F.percentile(y, [0.01, 0.99]).alias("q")).first()["q"] or (0.0, 0.0)
+    lo, hi = bounds or ends(df, y)
     found = df.groupBy(equal_width_bin(F.col(y), lo, hi, n_bins).alias("bin")).agg(F.count("*").alias("count")) if hi > lo else df.groupBy(F.lit(0).alias("bin")).agg(F.count("*").alias("count"))
     every = df.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(found, "bin", "left").select("bin", F.coalesce("count", F.lit(0)).alias("count"))
@@ -31,9 +38,9 @@ def imbalance(df: DataFrame, y: str, n_bins: int = BINS) -> DataFrame:
     return found.select("cv", "empty_share", (((F.col("cv") > CV_LIMIT) | (F.col("empty_share") > EMPTY_LIMIT)) & F.lit(varied)).alias("imbalanced"))
 
 
-def bin_weights(df: DataFrame, y: str, n_bins: int = BINS, cap: float = MAX_WEIGHT) -> DataFrame:
+def bin_weights(df: DataFrame, y: str, n_bins: int = BINS, cap: float = MAX_WEIGHT, bounds: tuple[float, float] | None = None) -> DataFrame:
     """bin, count, weight: rows per bin if even, over the bin's rows, between 1 and the cap; 1 for an empty bin."""
-    bins = value_bins(df, y, n_bins)
+    bins = value_bins(df, y, n_bins, bounds)
     n = df.count()
     even = F.lit(float(n)) / (F.lit(float(n_bins)) * F.col("count"))
     return bins.select("bin", "count", F.when(F.col("count") > 0, F.least(F.greatest(even, F.lit(1.0)), F.lit(cap))).otherwise(F.lit(1.0)).alias("weight"))
@@ -41,8 +48,8 @@ def bin_weights(df: DataFrame, y: str, n_bins: int = BINS, cap: float = MAX_WEIG
 
 def apply_bin_weights(df: DataFrame, y: str, n_bins: int = BINS) -> DataFrame:
     """df with bin and weight; the table of weights has n_bins rows."""
-    lo, hi = df.agg(F.percentile(y, [0.01, 0.99]).alias("q")).first()["q"]
-    table = bin_weights(df, y, n_bins).select("bin", "weight")
+    lo, hi = ends(df, y)
+    table = bin_weights(df, y, n_bins, bounds=(lo, hi)).select("bin", "weight")
     return df.withColumn("bin", equal_width_bin(F.col(y), lo, hi, n_bins)).join(F.broadcast(table), "bin", "left")
 
 
@@ -53,10 +60,11 @@ def density_weights(df: DataFrame, y: str, alpha: float = 1.0, cap: float = MAX_
     a weight is what a typical row's density is to the cell's.
     """
     v = F.col(y).cast("double")
-    s = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.stddev_pop(v).alias("sd"), F.percentile(v, [0.25, 0.75]).alias("q"), F.count("*").alias("n")).first()
+    s = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.stddev_pop(v).alias("sd"), F.count("*").alias("n")).first()
     if s["lo"] is None or s["hi"] - s["lo"] < 1e-12:
         return df.agg(F.lit(0).alias("cell"), F.count("*").alias("count"), F.lit(1.0).alias("density"), F.lit(1.0).alias("weight"))
-    dx, iqr = (s["hi"] - s["lo"]) / cells, s["q"][1] - s["q"][0]
+    quarter, three = quantiles(df, y, [0.25, 0.75])
+    dx, iqr = (s["hi"] - s["lo"]) / cells, three - quarter
     scale = min(s["sd"], iqr / 1.349) if iqr > 0 else s["sd"]
     width = max(0.9 * scale * s["n"] ** -0.2, dx)
     half = max(int(3 * width / dx), 1)

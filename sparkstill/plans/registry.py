@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features, scalars, schema
-from ..operators import calibrate, labels, metrics, report, similarity, split, student, weights
+from ..operators import calibrate, labels, metrics, order, report, similarity, split, student, weights
 from ..operators.gate import fit_gate
 from ..operators.order import average_ranks
 
@@ -501,8 +501,8 @@ def sample_below_limit(spark, sf_dir):
 @query("""with a as (select ps.p_partkey id, cast(p_retailprice as double) v from part ps), q as (select quantile_cont(v,0.25) q25, quantile_cont(v,0.75) q75, quantile_cont(v,0.9) q90, quantile_cont(v,0.99) q99 from a)
 select round(q25,6) q25, round(q75,6) q75, round(q90,6) q90, round(q99,6) q99 from q""")
 def quantiles(spark, sf_dir):
-    q = table(spark, sf_dir, "part").agg(F.percentile("p_retailprice", [0.25, 0.75, 0.9, 0.99]).alias("q"))
-    return rounded(q.select(*(F.col("q")[k].alias(c) for k, c in enumerate(("q25", "q75", "q90", "q99")))))
+    found = order.quantiles(table(spark, sf_dir, "part"), "p_retailprice", [0.25, 0.75, 0.9, 0.99])
+    return rounded(spark.createDataFrame([tuple(found)], "q25 double, q75 double, q90 double, q99 double"))
 
 
 @query("""select l_returnflag, l_linestatus, count(*) n, round(avg(abs(l_quantity - l_extendedprice/1500e0)),6) mae, round(sqrt(avg(pow(l_quantity - l_extendedprice/1500e0,2))),6) rmse from lineitem group by 1, 2""")
