@@ -11,8 +11,8 @@ it quick). Similar lines share a
 token of their prefixes, so representatives are joined over prefix tokens, with the length
 and the positional filter, and candidates are verified by their Jaccard similarity. A line
 is first compared with the first line of each token's list; only lines that this does not
-settle are compared with the others of their lists, after two bounds: bitmaps of the sets
-differ in few bits, and enough prefix tokens are shared. All of it is DataFrame operations.
+settle are compared with the others of their lists, a pair once, at its first common token,
+and after one more bound: bitmaps of the sets differ in few bits. All of it is DataFrame operations.
 
 Nulls: a null text stays null; a null id counts as the first. Rows that repeat an id share
 its positions, and keep or lose lines alike. An empty table gives no rows.
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, cut, let, small, unpacked, whole_row, words
@@ -76,32 +76,26 @@ def representatives(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     return rows.groupBy("a", "b", "size").agg(first, F.first("prefix").alias("prefix")).select("p.*", "size", "prefix")
 
 
-def _may_match(x: str, y: str, threshold: float) -> Column:
-    """Length and positional filter for two lines that share the token at place i (from 0) of each."""
-    a, b, i, j = F.col(f"{x}.size"), F.col(f"{y}.size"), F.col(f"{x}.i"), F.col(f"{y}.i")
+def _may_match(x: Column, y: Column, before: Column, threshold: float) -> Column:
+    """Length and positional filter for two lines that share a token (x, y: size << 32 | place), with at most `before` common tokens before it."""
+    size, place = (lambda v: F.shiftright(v, 32)), (lambda v: v.bitwiseAND((1 << 32) - 1))
+    a, b = size(x), size(y)
     overlap = F.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
-    return (F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9) & (1 + F.least(a - i - 1, b - j - 1) + F.least(i, j) >= overlap)
+    return (F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9) & (before + 1 + F.least(a - place(x) - 1, b - place(y) - 1) >= overlap)
 
 
 def shared_postings(reps: DataFrame) -> DataFrame:
-    """token, x (a line's position, size and place of the token) and first (of the token's first line), for tokens of two lines or more."""
-    # size and place travel as one number: fewer fields make a smaller shuffle of all postings
-    one = F.col("size").cast("long") * F.lit(1 << 32)
-    postings = reps.select(*_POSITION, one.alias("one"), F.posexplode("prefix").alias("i", "token")).select("token", *_POSITION, (F.col("one") + F.col("i")).alias("one"))
-    order = Window.partitionBy("token").orderBy(F.col("doc_id").asc_nulls_first(), "line_no")
-    first = F.first(F.struct(*_POSITION, "one")).over(order)
-    listed = postings.select("*", first.alias("f"), F.lead("token").over(order).alias("next"))
-    alone = F.col("next").isNull() & F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("line_no") == F.col("f.line_no"))
-    place = lambda v: F.struct(F.col(f"{v}doc_id"), F.col(f"{v}line_no"), F.shiftright(f"{v}one", 32).cast("int").alias("size"), F.col(f"{v}one").bitwiseAND((1 << 32) - 1).cast("int").alias("i"))
-    return listed.where(~alone).select("token", place("").alias("x"), place("f.").alias("first"))
-
-
-def _same(x: str, y: str) -> Column:
-    return F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.line_no") == F.col(f"{y}.line_no"))
+    """token, p (a line's position), one (its size and the token's place, as size << 32 | place) and first (p and one of the token's first line), for tokens of two lines or more.
 
-
-def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
-    return rows.select(F.struct(F.col(f"{x}.doc_id"), F.col(f"{x}.line_no")).alias("x"), F.struct(F.col(f"{y}.doc_id"), F.col(f"{y}.line_no")).alias("y")).distinct()
+    Tokens are counted first, with partial sums, so that no list meets in one task and only
+    the postings of shared tokens are looked at again.
+    """
+    one = F.col("size").cast("long") * F.lit(1 << 32)
+    postings = reps.select(F.struct(*_POSITION).alias("p"), one.alias("one"), F.posexplode("prefix").alias("i", "token")).select("token", "p", (F.col("one") + F.col("i")).alias("one"))
+    shared = small(cut(postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "line-shared"))
+    listed = cut(postings.join(shared, "token"), "line-listed")
+    first = listed.groupBy("token").agg(F.min(F.struct("p", "one")).alias("first"))
+    return listed.join(first, "token")
 
 
 def bitmap(tokens: Column) -> Column:
@@ -135,22 +129,23 @@ def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFram
 def similar_to_earlier(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """x: positions of the representatives that have an earlier similar line."""
     shared = cut(shared_postings(reps), "line-postings")
-    tokens = cut(tokens_of(docs, shared.select("x.doc_id", "x.line_no")), "line-tokens")
-    found = _verified(_pairs(shared.where(~_same("x", "first") & _may_match("x", "first", threshold)), "x", "first").withColumnRenamed("first", "y"), tokens, threshold)
-    # lines not settled by the first of a list, against the others before them
-    p = lambda v: F.struct(F.col(f"{v}.doc_id"), F.col(f"{v}.line_no"))
-    others = shared.where(~_same("x", "first")).select("token", "x", p("x").alias("p")).join(tokens.select("p", "bits"), "p")
-    others = cut(others.join(found.select(F.col("x").alias("p"), F.lit(True).alias("settled")), "p", "left"), "line-others")
-    open_, before = others.where("settled is null").select("token", "x", F.col("bits").alias("bx")), others.select("token", F.col("x").alias("y"), F.col("bits").alias("by"))
-    differ = sum((F.bit_count(F.get("bx", F.lit(k)).bitwiseXOR(F.get("by", F.lit(k)))) for k in range(BITMAP // 64)), F.lit(0))
-    most = (1 - threshold) / (1 + threshold) * (F.col("x.size") + F.col("y.size")) + 1e-9
-    near = F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size") - 1e-9
-    rest = open_.join(before, "token").where((p("y") < p("x")) & near & (differ <= most))
-    met = rest.groupBy(p("x").alias("x"), p("y").alias("y")).agg(F.count("*").alias("c"), F.bool_and(_may_match("x", "y", threshold)).alias("may"), F.max("x.size").alias("sx"), F.max("y.size").alias("sy"))
-    # common tokens beyond the prefixes are beyond the one that ends first: at most as many as the longer rest has
-    beyond = lambda n: F.ceil(threshold * F.col(n) - 1e-9) - 1
-    enough = F.col("c") + F.greatest(beyond("sx"), beyond("sy")) >= F.ceil(threshold / (1 + threshold) * (F.col("sx") + F.col("sy")) - 1e-9)
-    return found.union(_verified(met.where(F.col("may") & enough).select("x", "y"), tokens, threshold)).distinct()
+    tokens = cut(tokens_of(docs, shared.select("p.doc_id", "p.line_no")), "line-tokens")
+    place = lambda v: v.bitwiseAND((1 << 32) - 1)
+    at_most = F.least(place(F.col("one")), place(F.col("first.one")))
+    star = shared.where((F.col("p") != F.col("first.p")) & _may_match(F.col("one"), F.col("first.one"), at_most, threshold))
+    found = _verified(star.select(F.col("p").alias("x"), F.col("first.p").alias("y")).distinct(), tokens, threshold)
+    # lines not settled by the first of a list, against the others before them; a pair meets in the list of
+    # each shared token, and counts in that of the first one only, before which the two have none in common
+    lists = shared.groupBy("p").agg(F.sort_array(F.collect_list("token")).alias("mine")).join(tokens.select("p", "bits"), "p")
+    lists = lists.join(found.select(F.col("x").alias("p"), F.lit(True).alias("settled")), "p", "left")
+    others = cut(shared.where(F.col("p") != F.col("first.p")).select("token", "p", "one").join(lists, "p"), "line-others")
+    x, y = (others.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("p", "one", "bits", "mine", "settled"))) for k in "xy")
+    differ = sum((F.bit_count(F.get("x_bits", F.lit(k)).bitwiseXOR(F.get("y_bits", F.lit(k)))) for k in range(BITMAP // 64)), F.lit(0))
+    most = (1 - threshold) / (1 + threshold) * (F.shiftright("x_one", 32) + F.shiftright("y_one", 32)) + 1e-9
+    may = (F.col("y_p") < F.col("x_p")) & _may_match(F.col("x_one"), F.col("y_one"), F.lit(0), threshold) & (differ <= most)
+    once = F.array_min(F.array_intersect("x_mine", "y_mine")) == F.col("token")
+    rest = x.where("x_settled is null").join(y, "token").where(may & once).select(F.col("x_p").alias("x"), F.col("y_p").alias("y"))
+    return found.union(_verified(cut(rest, "line-pairs"), tokens, threshold)).distinct()
 
 
 def _rebuilt(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
