@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: White space as the operators' word rule has it: `[^\x20\x09-\x0D]+` is a word.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -53,9 +54,26 @@ def held(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def small(table: DataFrame, rows: int = 500_000) -> DataFrame:
-    """table, marked for broadcast if it has at most so many rows (it should be cut: it is counted); else it is joined by a shuffle."""
-    return F.broadcast(table) if table.count() <= rows else table
+def _bytes(column: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.size(column) * 8, F.lit(0)) + 24
+    return F.coalesce(F.octet_length(column), F.lit(0)) + 16 if isinstance(kind, (StringType, BinaryType)) else F.lit(8 * len(kind) if isinstance(kind, StructType) else 8)
+
+
+def small(table: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """table, marked for broadcast if its values take at most so many bytes (it should be cut: they are added up); else it is joined by a shuffle."""
+    size = sum((_bytes(F.col(f.name), f.dataType) for f in table.schema.fields), F.lit(8))
+    return F.broadcast(table) if (table.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete cut tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def whole_row(docs: DataFrame, **named: str) -> DataFrame:

@@ -1,0 +1,181 @@
+"""Lines as sets of hashed shingles, block by block with numpy, for Arrow tasks.
+
+The bytes of some texts are looked at together: white space (an ASCII class, so that bytes
+are as good as characters) gives the words, which are hashed eight bytes at a time without a
+loop over words. A shingle's token mixes the hashes of its words; a line of fewer words than
+a shingle has one token, of all of them. Of a token's hash 56 bits are kept, so two shingles
+are taken for one with a chance of 2 ** -56 a pair.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from xxhash import xxh64_intdigest
+
+#: Bytes of texts that are looked at together (a longer text is a block of its own), and of a word that is not long.
+BLOCK, LONG, SEED = 1 << 18, 64, 42
+GOLDEN = 0x9E3779B97F4A7C15
+#: The first k bytes of eight, and the odd factors of a shingle's words.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+ODD = np.array([pow(GOLDEN, 2 * k + 1, 1 << 64) for k in range(64)], np.uint64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """x with its bits spread (in place)."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(33)
+    return x
+
+
+def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts: the first's number, their bytes with a line end after each text (null: empty), and where these line ends are."""
+    texts = pc.fill_null(texts, "")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK, "right")) - 1)
+        ends = at[first + 1 : last + 1] - at[first]
+        yield first, np.insert(raw[at[first] : at[last]], ends, 10), ends + np.arange(last - first)
+        first = last
+
+
+def words(blob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word, eight bytes at a time."""
+    space = (blob == 0x20) | (blob - np.uint8(9) < 5)  # 0x09 to 0x0D: lower ones wrap around
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.append(0, edges)
+    starts, sizes = edges[0::2], edges[1::2] - edges[0::2]
+    padded = np.append(blob, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(blob) + 1,), "<u8", padded, strides=(1,))
+    hashes = mix(eight[starts] & FIRST[np.minimum(sizes, 8)]) + sizes.astype(np.uint64)
+    some = np.flatnonzero(sizes > 8)
+    at = 8
+    while len(some) and at < LONG:
+        part = eight[starts[some] + at] & FIRST[np.minimum(sizes[some] - at, 8)]
+        hashes[some] = mix((hashes[some] ^ part) * np.uint64(GOLDEN))
+        at += 8
+        some = some[sizes[some] > at]
+    for k in some.tolist():
+        hashes[k] = xxh64_intdigest(blob[starts[k] : starts[k] + sizes[k]].tobytes(), SEED)
+    return mix(hashes), starts
+
+
+def word_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """b, n: how many words each hash bucket has."""
+    n = np.zeros(buckets, np.int64)
+    for batch in batches:
+        for _, blob, _ in blocks(batch.column("text")):
+            n += np.bincount((words(blob)[0] & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    met = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(n[met])], ["b", "n"])
+
+
+def tokens(hashes: np.ndarray, line: np.ndarray, size: int, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens of each line, by line and token, and their lines.
+
+    A token is 56 bits of the shingle's hash below the least frequency of its words' buckets,
+    which bounds its own: a small token is a rare one.
+    """
+    rank = scale[(hashes & np.uint64(len(scale) - 1)).astype(np.int64)]
+    n = max(0, len(hashes) - size + 1)
+    sums, least = hashes[:n] * ODD[0], rank[:n].copy()
+    for k in range(1, size):
+        sums += hashes[k : n + k] * ODD[k]
+        np.minimum(least, rank[k : n + k], out=least)
+    full = np.flatnonzero(line[:n] == line[size - 1 : size - 1 + n])
+    # lines of fewer words
+    first = np.flatnonzero(np.diff(line, prepend=np.int32(-1)))
+    count = np.diff(np.append(first, len(line)))
+    first, count = first[count < size], count[count < size]
+    short, rare = count.astype(np.uint64) * ODD[size], np.full(len(first), 127, np.uint8)
+    for k in range(size - 1):
+        on = count > k
+        short[on] += hashes[first[on] + k] * ODD[k]
+        rare[on] = np.minimum(rare[on], rank[first[on] + k])
+    token, least = mix(np.concatenate([sums[full], short])), np.concatenate([least[full], rare])
+    token >>= np.uint64(8)
+    token |= least.astype(np.uint64) << np.uint64(56)
+    of = np.concatenate([line[full], line[first]])
+    # the line above the token's first 48 bits gives the order, unless two tokens agree in them or lines are too many
+    key = (of.astype(np.uint64) << np.uint64(48)) | (token >> np.uint64(16))
+    order = np.argsort(key)
+    key = key[order]
+    if len(of) and (int(of.max()) >= 1 << 16 or ((key[1:] == key[:-1]) & (token[order][1:] != token[order][:-1])).any()):
+        order = np.lexsort((token, of))
+    token, of = token[order], of[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (token[1:] != token[:-1]) | (of[1:] != of[:-1])
+    return token[new].view(np.int64), of[new]
+
+
+def _lines(texts: pa.Array, size: int, scale: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each block: the text and the number of each line with a word, where its tokens start, and the tokens."""
+    for first, blob, ends in blocks(texts):
+        hashes, starts = words(blob)
+        if not len(hashes):
+            continue
+        feeds = np.flatnonzero(blob == 10)
+        line = np.repeat(np.arange(len(feeds), dtype=np.int32), np.diff(np.searchsorted(starts, feeds), prepend=0))
+        through = np.searchsorted(feeds, ends, "right")
+        token, of = tokens(hashes, line, size, scale)
+        begins = np.flatnonzero(np.diff(of, prepend=np.int32(-1)))
+        text = np.searchsorted(through, of[begins], "right")
+        yield first + text, (of[begins] - np.append(0, through)[text]).astype(np.int32), begins, token
+
+
+def _listed(values: np.ndarray, begins: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(begins, len(values)).astype(np.int32)), pa.array(values))
+
+
+def prefixes(batches: Iterator[pa.RecordBatch], keep: list[str], size: int, threshold: float, scale: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The columns `keep`, line_no, a, b (hashes of the set), size and prefix (the rarest tokens) of each line with a word."""
+    for batch in batches:
+        for text, number, begins, token in _lines(batch.column("text"), size, scale):
+            sizes = np.diff(np.append(begins, len(token)))
+            spread = mix(token.view(np.uint64).copy())
+            a = np.add.reduceat(spread, begins).view(np.int64)
+            b = np.add.reduceat(mix(spread), begins).view(np.int64)
+            n = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+            place = np.arange(len(token)) - np.repeat(begins, sizes)
+            prefix = _listed(token[place < np.repeat(n, sizes)], np.cumsum(n) - n)
+            kept = [batch.column(c).take(pa.array(text)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(number), pa.array(a), pa.array(b), pa.array(sizes.astype(np.int32)), prefix], [*keep, "line_no", "a", "b", "size", "prefix"])
+
+
+def parities(batches: Iterator[pa.RecordBatch], size: int, n_bits: int) -> Iterator[pa.RecordBatch]:
+    """The rows (one line with a word each, in the column text) with bits: for each of n_bits hash values whether an odd number of tokens has it."""
+    for batch in batches:
+        for text, _, begins, token in _lines(batch.column("text"), size, np.zeros(1, np.uint8)):
+            cell = np.repeat(np.arange(len(text)), np.diff(np.append(begins, len(token)))) * n_bits + (token & (n_bits - 1))
+            odd = np.bincount(cell, minlength=len(text) * n_bits) & 1
+            bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            rows = batch.slice(int(text[0]), len(text))
+            yield pa.RecordBatch.from_arrays([*rows.columns, _listed(bits, np.arange(len(text)) * (n_bits // 64))], [*rows.schema.names, "bits"])
+
+
+def _row_tokens(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    found = [(np.repeat(text, np.diff(np.append(begins, len(token)))), token) for text, _, begins, token in _lines(texts, size, np.zeros(1, np.uint8))]
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def similar(batches: Iterator[pa.RecordBatch], size: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """x of the rows (x, tx, ty: two lines with words) whose sets have a Jaccard similarity of at least the threshold."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        (row_x, x), (row_y, y) = _row_tokens(batch.column("tx"), size), _row_tokens(batch.column("ty"), size)
+        row, token = np.concatenate([row_x, row_y]), np.concatenate([x, y])
+        order = np.lexsort((token, row))
+        row, token = row[order], token[order]
+        both = np.bincount(row[1:][(row[1:] == row[:-1]) & (token[1:] == token[:-1])], minlength=batch.num_rows)
+        every = np.bincount(row, minlength=batch.num_rows) - both
+        yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(both >= threshold * every - 1e-9))], ["x"])
