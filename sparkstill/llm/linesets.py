@@ -155,11 +155,14 @@ def parities(batches: Iterator[pa.RecordBatch], size: int, n_bits: int) -> Itera
     """The rows (one line with a word each, in the column text) with bits: for each of n_bits hash values whether an odd number of tokens has it."""
     for batch in batches:
         for text, _, begins, token in _lines(batch.column("text"), size, np.zeros(1, np.uint8)):
-            cell = np.repeat(np.arange(len(text)), np.diff(np.append(begins, len(token)))) * n_bits + (token & (n_bits - 1))
-            odd = np.bincount(cell, minlength=len(text) * n_bits) & 1
-            bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            n_words = n_bits // 64
+            cell = np.repeat(np.arange(len(text)), np.diff(np.append(begins, len(token)))) * n_words + (token >> 6 & (n_words - 1))
+            order = np.argsort(cell, kind="stable")
+            first = np.flatnonzero(np.diff(cell[order], prepend=-1))
+            bits = np.zeros(len(text) * n_words, np.uint64)
+            bits[cell[order][first]] = np.bitwise_xor.reduceat(np.uint64(1) << (token[order] & 63).astype(np.uint64), first)
             rows = batch.slice(int(text[0]), len(text))
-            yield pa.RecordBatch.from_arrays([*rows.columns, _listed(bits, np.arange(len(text)) * (n_bits // 64))], [*rows.schema.names, "bits"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, _listed(bits.view(np.int64), np.arange(len(text)) * n_words)], [*rows.schema.names, "bits"])
 
 
 def _row_tokens(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
