@@ -5,7 +5,7 @@ line is removed if an earlier one (by document id, then line number) has a Jacca
 similarity of THRESHOLD or more with it; lines without words stay.
 
 Lines of equal sets are one class, represented by its first line; all others of the class
-go. Tokens are ordered by rarity: by the least count of their words, which bounds their own
+go. Tokens are ordered by rarity: by the count of their first word, which bounds their own
 (a table of counts by word hash, of fixed size; any order is exact, rare tokens first make
 it quick). Similar lines share a
 token of their prefixes, so representatives are joined over prefix tokens, with the length
@@ -13,9 +13,7 @@ and the positional filter, and candidates are verified by their Jaccard similari
 is first compared with the first line of each token's list; only lines that this does not
 settle are compared with the others of their lists, a pair once, at its first common token,
 and after one more bound: a token of one set only changes one bit of the sets' parities.
-
-Tokens are made by numpy in Arrow tasks (`linesets`): array functions of the JVM take 0.8
-of the time limit for that alone. All joins, counts and filters are DataFrame operations.
+All of it is DataFrame operations.
 
 Nulls: a null text stays null; a null id counts as the first. Rows that repeat an id share
 its positions, and keep or lose lines alike. An empty table gives no rows.
@@ -23,31 +21,62 @@ its positions, and keep or lose lines alike. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import linesets
-from .common import cut, drop, let, small, unpacked, whole_row
+from .common import SPACE, cut, drop, let, small, unpacked, whole_row
 
-SHINGLE, THRESHOLD, BUCKETS, PARITY = 5, 0.8, 1 << 16, 512
+SHINGLE, THRESHOLD, BUCKETS = 5, 0.8, 8192
+WORD = r"[^\x20\x09-\x0D]"
 _POSITION = ["doc_id", "line_no"]
 
 
-def rarity(docs: DataFrame, buckets: int = BUCKETS):
-    """How frequent the words of each hash bucket are, on a log scale: `buckets` numbers of 0 to 126, whatever the input."""
-    import numpy as np
+def line_words(line: Column) -> Column:
+    """The words of a line; only one with other white space than spaces needs a regular expression."""
+    return F.array_remove(F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, SPACE)).otherwise(F.split(line, " ")), "")
+
+
+def shingles(w: Column, scale: Column | None = None, size: int = SHINGLE) -> Column:
+    """The distinct token keys, ascending, of a line given as the column of its words (one or more).
 
-    counts = docs.select("text").mapInArrow(lambda x: linesets.word_counts(x, buckets), "b int, n long")
-    n = np.zeros(buckets)
-    for x in counts.groupBy("b").agg(F.sum("n").alias("n")).collect():  # buckets rows at most
-        n[x["b"]] = x["n"]
-    return np.minimum(126, 3 * np.log2(1 + n)).astype(np.uint8)
+    A key is 56 bits of the shingle's hash below the frequency of its first word (0 without
+    a scale): a shingle is at most as frequent as its words, so a small key means a rare token.
+    """
+
+    def key(first: Column, hashed: Column) -> Column:
+        own = hashed.bitwiseAND((1 << 56) - 1)
+        return own if scale is None else F.get(scale, F.xxhash64(first).bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(own)
 
+    long_ = F.transform(F.slice(w, 1, F.size(w) - (size - 1)), lambda x, i: key(x, F.xxhash64(x, *(F.get(w, i + k) for k in range(1, size)))))
+    short = F.array(key(F.get(w, F.lit(0)), F.xxhash64(F.array_join(w, " "))))
+    return F.when(F.size(w) >= size, F.sort_array(F.array_distinct(long_))).otherwise(short)
 
-def line_sets(docs: DataFrame, scale, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """doc_id, line_no, a, b, size and prefix of every line of docs (doc_id, text) that has a word."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(lambda x: linesets.prefixes(x, ["doc_id"], size, threshold, scale), f"doc_id {kind}, line_no int, a long, b long, size int, prefix array<long>")
+
+def rarity(docs: DataFrame, buckets: int = BUCKETS) -> Column:
+    """How frequent the words of each hash bucket are, on a log scale in the high bits of a long, as a constant array.
+
+    Words are counted between spaces; that one beside a line end is counted with it only makes the order a little worse.
+    """
+    word = docs.select(F.explode(F.split("text", " ")).alias("w"))
+    counts = word.groupBy(F.xxhash64("w").bitwiseAND(buckets - 1).alias("b")).agg(F.count("*").alias("n"))
+    scale = [0] * buckets
+    for x in counts.collect():  # buckets rows at most
+        scale[x["b"]] = min(120, int(3 * math.log2(1 + x["n"]))) << 56
+    return F.split(F.lit(",".join(map(str, scale))), ",").cast("array<bigint>")
+
+
+def line_sets(docs: DataFrame, scale: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, line_no, a, b (hashes of the set), size and prefix of every line of docs (doc_id, text) that has a word.
+
+    Lines are chosen by their text, since a filter on the keys would be pushed below and compute them twice.
+    """
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD))
+    keyed = lines.select("doc_id", "line_no", line_words(F.col("line")).alias("w")).select("doc_id", "line_no", shingles(F.col("w"), scale).alias("keys"))
+    size = F.size("keys")
+    prefix = F.slice("keys", 1, size - F.ceil(threshold * size - 1e-9).cast("int") + 1)
+    return keyed.select(*_POSITION, F.xxhash64("keys").alias("a"), F.hash("keys").alias("b"), size.alias("size"), prefix.alias("prefix"))
 
 
 def representatives(rows: DataFrame) -> DataFrame:
@@ -81,45 +110,53 @@ def shared_postings(reps: DataFrame) -> DataFrame:
     return found
 
 
-def lines_at(docs: DataFrame, positions: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """p (a position), text and bits of the lines at some positions."""
+def parity(tokens: Column, shift: int) -> Column:
+    """64 bits: whether an odd number of tokens has each value of six bits of the hash. A token of one set only changes one bit."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, shift).bitwiseAND(63).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(bit(t)))
+
+
+def tokens_of(docs: DataFrame, positions: DataFrame) -> DataFrame:
+    """p (a position), tokens and two parities of the lines at some positions."""
     wanted = cut(positions.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("line_no").alias("n")), "line-wanted")
     some = docs.join(small(wanted), docs["doc_id"].eqNullSafe(wanted["id"])).select("doc_id", F.split("text", "\n").alias("l"), F.explode("n").alias("line_no"))
-    some = some.select(F.struct("doc_id", "line_no").alias("p"), F.get("l", F.col("line_no")).alias("text"))
-    found = cut(some.mapInArrow(lambda x: linesets.parities(x, size, PARITY), f"p {some.schema['p'].dataType.simpleString()}, text string, bits array<long>"), "line-texts")
+    split_ = some.select(F.struct("doc_id", "line_no").alias("p"), line_words(F.get("l", F.col("line_no"))).alias("w"))
+    with_parity = let(shingles(F.col("w")), lambda t: F.struct(t.alias("tokens"), parity(t, 0).alias("even"), parity(t, 8).alias("odd")))
+    found = cut(split_.select("p", with_parity.alias("t")).select("p", "t.*"), "line-tokens")
     drop(wanted)
     return found
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: float, size: int = SHINGLE) -> DataFrame:
+def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
     """x of the pairs whose Jaccard similarity is at least the threshold."""
-    left = pairs.join(lines.select(F.col("p").alias("x"), F.col("text").alias("tx")), "x")
-    both = left.join(lines.select(F.col("p").alias("y"), F.col("text").alias("ty")), "y").select("x", "tx", "ty")
-    found = both.mapInArrow(lambda x: linesets.similar(x, size, threshold), f"x {both.schema['x'].dataType.simpleString()}")
-    return cut(found.distinct(), "line-found")
+    left = pairs.join(tokens.select(F.col("p").alias("x"), F.col("tokens").alias("tx")), "x")
+    both = left.join(tokens.select(F.col("p").alias("y"), F.col("tokens").alias("ty")), "y")
+    common = F.size(F.array_intersect("tx", "ty"))
+    found = both.where(common >= threshold * (F.size("tx") + F.size("ty") - common) - 1e-9).select("x").distinct()
+    return cut(found, "line-found")
 
 
 def similar_to_earlier(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """x: positions of the representatives that have an earlier similar line."""
     shared = shared_postings(reps)
-    lines = lines_at(docs, shared.select("p.doc_id", "p.line_no"))
+    tokens = tokens_of(docs, shared.select("p.doc_id", "p.line_no"))
     place = lambda v: v.bitwiseAND((1 << 32) - 1)
     at_most = F.least(place(F.col("one")), place(F.col("first_one")))
     star = shared.where((F.col("p") != F.col("first")) & _may_match(F.col("one"), F.col("first_one"), at_most, threshold))
-    found = _verified(star.select(F.col("p").alias("x"), F.col("first").alias("y")).distinct(), lines, threshold)
+    found = _verified(star.select(F.col("p").alias("x"), F.col("first").alias("y")).distinct(), tokens, threshold)
     # lines not settled by the first of a list, against the others before them; a pair meets in the list of
     # each shared token, and counts in that of the first one only, before which the two have none in common
-    lists = shared.groupBy("p").agg(F.sort_array(F.collect_list("token")).alias("mine")).join(lines.select("p", "bits"), "p")
+    lists = shared.groupBy("p").agg(F.sort_array(F.collect_list("token")).alias("mine")).join(tokens.select("p", "even", "odd"), "p")
     lists = lists.join(found.select(F.col("x").alias("p"), F.lit(True).alias("settled")), "p", "left")
     others = cut(shared.where(F.col("p") != F.col("first")).select("token", "p", "one").join(lists, "p"), "line-others")
-    x, y = (others.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("p", "one", "bits", "mine", "settled"))) for k in "xy")
-    differ = sum((F.bit_count(F.get("x_bits", F.lit(k)).bitwiseXOR(F.get("y_bits", F.lit(k)))) for k in range(PARITY // 64)), F.lit(0))
+    x, y = (others.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("p", "one", "even", "odd", "mine", "settled"))) for k in "xy")
+    differ = F.greatest(*(F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in ("even", "odd")))
     most = (1 - threshold) / (1 + threshold) * (F.shiftright("x_one", 32) + F.shiftright("y_one", 32)) + 1e-9
     may = (F.col("y_p") < F.col("x_p")) & _may_match(F.col("x_one"), F.col("y_one"), F.lit(0), threshold) & (differ <= most)
     once = F.array_min(F.array_intersect("x_mine", "y_mine")) == F.col("token")
     rest = x.where("x_settled is null").join(y, "token").where(may & once).select(F.col("x_p").alias("x"), F.col("y_p").alias("y"))
-    more = _verified(cut(rest, "line-pairs"), lines, threshold)
-    drop(shared, lines, others)
+    more = _verified(cut(rest, "line-pairs"), tokens, threshold)
+    drop(shared, tokens, others)
     return found.union(more).distinct()
 
 
