@@ -1,4 +1,9 @@
-"""Connected components by alternating large-star and small-star steps, as joins and groups."""
+"""Connected components by alternating large-star and small-star steps, as joins and groups.
+
+Nodes may be of any type that has an order. Edges may repeat, in both directions, and link a
+node with itself; such loops alone give no node. Null ends link nothing. Without edges there
+are no rows.
+"""
 
 from __future__ import annotations
 

@@ -7,7 +7,7 @@ alike. Statistics are frozen after learning, so the code length of a text is a s
 costs, one for each byte; the language with the shortest code is predicted.
 
 Learning takes a bounded sample of labelled documents per language (`per_lang`, chosen by
-a hash of id and text so that every document may be in it); scoring covers every whole text.
+a hash of id and language so that every document may be in it); scoring covers every whole text.
 
 Nulls and texts without a letter are `und` with score 0; rows without a language do not
 teach; repeated rows count each. An empty table gives no rows. Only the named columns are
@@ -22,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import cut, held
 
 ORDER, PER_LANG, UNKNOWN = 3, 1500, "und"
+#: Of a stage's cut-offs: share of the median rate, quartile distances, share of the median lead.
+SLACK, SPREAD, LEAD = 0.35, 6.0, 0.1
+FOUND = "lang_pred string, score double, rate double, lead double"
 
 
 def grams(raw, size: int):
@@ -156,20 +159,24 @@ def _batch_lengths(model: dict, texts: list[str]):
     return out
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: dict, chars: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: dict, text_col: str = "text", letter_col: str = "letter", drop: tuple = ("text", "letter"), chars: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The columns that are not dropped with lang_pred, score, rate (bits a byte under that language) and lead (bits a byte over it under the second one, null for one language)."""
     import numpy as np
 
     langs = model["langs"]
     for batch in batches:
-        texts, letters = batch.column("text"), batch.column("letter").to_pylist()
+        texts, letters = batch.column(text_col), batch.column(letter_col).to_pylist()
         pred: list = [UNKNOWN] * len(texts)
-        score = [0.0] * len(texts)
+        score, rate, lead = [0.0] * len(texts), [None] * len(texts), [None] * len(texts)
 
-        def finish(run: list, lengths, pred=pred, score=score) -> None:
+        def finish(run: list, lengths, pred=pred, score=score, rate=rate, lead=lead) -> None:
             best = lengths.argmin(1)
             share = np.exp2(np.maximum(lengths.min(1)[:, None] - lengths, -1000)).sum(1)
-            for (i, _), b, s in zip(run, best.tolist(), share.tolist(), strict=True):
-                pred[i], score[i] = langs[b], 1 / s
+            two = np.sort(lengths, 1)[:, :2]
+            for (i, text), b, s, bits in zip(run, best.tolist(), share.tolist(), two.tolist(), strict=True):
+                n = len(text.encode("utf-8", "surrogatepass"))
+                pred[i], score[i], rate[i] = langs[b], 1 / s, bits[0] / n
+                lead[i] = (bits[1] - bits[0]) / n if len(bits) > 1 else None
 
         run, size = [], 0
         for i, letter in enumerate(letters):
@@ -185,8 +192,9 @@ def _predict(batches: Iterator[pa.RecordBatch], model: dict, chars: int = 1 << 1
                     run, size = [], 0
         if run:
             finish(run, _batch_lengths(model, [t for _, t in run]))
-        keep = [c for c in batch.schema.names if c not in ("text", "letter")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+        keep = [c for c in batch.schema.names if c not in drop]
+        found = [pa.array(pred, pa.string()), *(pa.array(x, pa.float64()) for x in (score, rate, lead))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], [*keep, "lang_pred", "score", "rate", "lead"])
 
 
 def has_letter(text: Column) -> Column:
@@ -200,27 +208,43 @@ def train(docs: DataFrame, order: int = ORDER, per_lang: int = PER_LANG, id_col:
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score of every document."""
+    """doc_id, lang_pred, score, rate and lead of every document."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), has_letter(F.col(text_col)).alias("letter"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(lambda b: _predict(b, shared.value), f"doc_id {kind}, lang_pred string, score double")
+    return base.mapInArrow(lambda b: _predict(b, shared.value), f"doc_id {kind}, {FOUND}")
 
 
-def accept(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
-    """The documents whose language is known with a score of at least `least`, with their own columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
-    mark = "letter" + "_" * max(map(len, columns))
+def cutoffs(found: DataFrame) -> DataFrame:
+    """known, most (rate) and least (lead) that a document of a language may have, from its labelled documents (lang_pred, rate, lead).
+
+    A text that the language explains costs about what its documents cost: most is the median
+    rate and the larger of SLACK of it and SPREAD times the distance to the upper quartile. A
+    text of one language leads clearly: least is a share of the median lead. Medians hold
+    while junk fills less than half of a language.
+    """
+    one = found.groupBy(F.col("lang_pred").alias("known")).agg(F.percentile_approx("rate", [0.5, 0.75], 10_000).alias("r"), F.percentile_approx("lead", 0.5, 10_000).alias("l"))
+    r = F.col("r")
+    return one.select("known", (r[0] + F.greatest(SLACK * r[0], SPREAD * (r[1] - r[0]))).alias("most"), (LEAD * F.col("l")).alias("least"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
 
-        for batch in batches:
-            asked = pa.RecordBatch.from_arrays([batch.column("text"), batch.column(mark)], ["text", "letter"])
-            found = next(_predict(iter([asked]), shared.value))
-            keep = np.array(found.column("lang_pred").to_pylist()) != UNKNOWN
-            keep &= found.column("score").to_numpy() >= least
-            yield batch.select(columns).filter(pa.array(keep))
+def accept(docs: DataFrame, model: dict, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents in a learned language, with their own columns.
 
-    return docs.withColumn(mark, has_letter(F.col("text"))).mapInArrow(run, docs.schema)
+    A document stays if its language has a score of at least `least`, its bits a byte are
+    within what the documents that taught this language have, and so is its lead over the
+    second language. A language that no kept fold labels has no cut-offs. Texts are scored
+    once and written with what was found.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    text = f"c{docs.columns.index(text_col)}"
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, own, strict=True)), has_letter(F.col(f"`{text_col}`")).alias("letter"))
+    schema = ", ".join(f"{k} {f.dataType.simpleString()}" for k, f in zip(own, docs.schema.fields, strict=True))
+    scored = cut(rows.mapInArrow(lambda b: _predict(b, shared.value, text, "letter", ("letter",)), f"{schema}, {FOUND}"), "language-scored")
+    lang, doc_id = (F.col(f"c{docs.columns.index(c)}") for c in (lang_col, id_col))
+    bounds = F.broadcast(cutoffs(scored.where((lang == F.col("lang_pred")) & (held(doc_id, 5) != 0))))  # a row a language
+    judged = scored.join(bounds, F.col("lang_pred") == F.col("known"), "left")
+    fits = (F.col("rate") <= F.coalesce("most", F.lit(float("inf")))) & (F.coalesce("lead", F.lit(float("inf"))) >= F.coalesce("least", F.lit(0.0)))
+    kept = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least) & fits)
+    return kept.select(*(F.col(k).alias(c) for c, k in zip(docs.columns, own, strict=True)))

@@ -147,14 +147,15 @@ def similar_to_earlier(docs: DataFrame, reps: DataFrame, threshold: float = THRE
     # lines not settled by the first of a list, against the others before them; a pair meets in the list of
     # each shared token, and counts in that of the first one only, before which the two have none in common
     lists = shared.groupBy("p").agg(F.sort_array(F.collect_list("token")).alias("mine")).join(tokens.select("p", "even", "odd"), "p")
-    lists = lists.join(found.select(F.col("x").alias("p"), F.lit(True).alias("settled")), "p", "left")
+    lists = lists.join(found.select(F.col("x").alias("p"), F.lit(1).alias("settled")), "p", "left").fillna(0, ["settled"])
     others = cut(shared.where(F.col("p") != F.col("first")).select("token", "p", "one").join(lists, "p"), "line-others")
-    x, y = (others.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("p", "one", "even", "odd", "mine", "settled"))) for k in "xy")
-    differ = F.greatest(*(F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in ("even", "odd")))
-    most = (1 - threshold) / (1 + threshold) * (F.shiftright("x_one", 32) + F.shiftright("y_one", 32)) + 1e-9
-    may = (F.col("y_p") < F.col("x_p")) & _may_match(F.col("x_one"), F.col("y_one"), F.lit(0), threshold) & (differ <= most)
-    once = F.array_min(F.array_intersect("x_mine", "y_mine")) == F.col("token")
-    rest = x.where("x_settled is null").join(y, "token").where(may & once).select(F.col("x_p").alias("x"), F.col("y_p").alias("y"))
+    # both sides have the same columns and no filter of their own, so that they share a shuffle; only unsettled lines count as x
+    x, y = others.alias("x"), others.alias("y")
+    differ = F.greatest(*(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("even", "odd")))
+    most = (1 - threshold) / (1 + threshold) * (F.shiftright("x.one", 32) + F.shiftright("y.one", 32)) + 1e-9
+    may = (F.col("y.p") < F.col("x.p")) & (2 * F.col("x.settled") + F.col("y.settled") < 2) & _may_match(F.col("x.one"), F.col("y.one"), F.lit(0), threshold) & (differ <= most)
+    once = F.array_min(F.array_intersect("x.mine", "y.mine")) == F.col("x.token")
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & may & once).select(F.col("x.p").alias("x"), F.col("y.p").alias("y"))
     more = _verified(cut(rest, "line-pairs"), tokens, threshold)
     drop(shared, tokens, others)
     return found.union(more).distinct()

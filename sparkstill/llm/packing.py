@@ -4,12 +4,16 @@ A configuration is a multiset of piece lengths that fits a sequence. The linear
 (as few configurations as cover the length histogram) is solved by multiplicative weights:
 each length has a price; knapsack dynamic programming over the sequence's capacity gives
 the configurations of (nearly) the highest value; the prices of the lengths that they
-cover fall. The counts are scaled and rounded so that no length is covered more often
-than it occurs, and what is left is packed best-fit decreasing on the histogram.
+cover fall. Any prices bound the number of sequences from below (their sum over the
+pieces, divided by the most that a sequence can hold), so the program also tells how far
+a plan can be from the best. The counts are rounded so that no length is covered more often
+than it occurs; the program is solved again for the pieces that rounding left, and what the
+last one leaves is packed best-fit decreasing on the histogram.
 
 The histogram has at most `capacity` entries, whatever the input; it and the plan are all
-that the driver holds. Pieces find their place in the plan by their rank among the pieces
-of their length, which comes from counts per length and salt.
+that the driver holds. Pieces that fill a sequence are one each; others find their place in
+the plan by their rank among the pieces of their length, which comes from counts per length
+and salt, as many salts as a length's count asks for.
 
 Nulls: a null text is empty (its end id alone). Repeated rows are packed each. An empty
 table gives no rows. Only the named columns are read.
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import cut
 from .tokens import encoded
 
-CAPACITY, SALTS = 2048, 64
+#: SALTED: pieces of one length that are ranked together, about.
+CAPACITY, SALTED = 2048, 100_000
 PIECE_TYPE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -55,36 +60,49 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
     return base.mapInArrow(lambda batches: _pieces(batches, vocabulary, capacity), PIECE_TYPE)
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 24, rate: float = 0.1, near: float = 0.1, full: float = 0.999) -> list[tuple[dict[int, int], int]]:
-    """Configurations (length: how often) and how many sequences use each; together they hold every piece once.
+def program(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 64, stride: int = 8, rate: float = 0.1, near: float = 0.1) -> tuple[dict[tuple, float], float]:
+    """Configurations (lengths and how often each, as one tuple) with how often the program uses them, and a lower bound on the number of sequences.
 
-    rounds, rate, near: of the multiplicative weights: a round takes, for each length, the best configuration that holds
-    it, if its value is within `near` of the best of all; a length's price is its length times exp(-rate * its coverage
-    over the mean coverage). Rounding goes through the configurations that fill at least `full` of a sequence in a fixed
-    order and carries the fraction of each on to the next. The work depends on `capacity`, not on the number of pieces.
+    rounds, stride, rate, near: of the multiplicative weights: a round takes, for every stride-th length in turn, the best
+    configuration that holds it, if its value is within `near` of the best of all; a length's price is its length times
+    exp(-rate * its coverage over the mean coverage). Where full sequences are worth as much as others, only they are
+    taken. The work depends on `capacity`, not on the number of pieces.
     """
     import numpy as np
 
-    left = {k: n for k, n in histogram.items() if n > 0}
-    plan: list[tuple[dict[int, int], int]] = []
-    if n := left.pop(capacity, 0):
-        plan.append(({capacity: 1}, n))
-    if not left:
-        return plan
-    lengths = np.array(sorted(left))
-    need = np.array([left[k] for k in lengths.tolist()], float)
-    weight, covered = np.ones(len(lengths)), np.zeros(len(lengths))
+    lengths = np.array(sorted(histogram))
+    need = np.array([histogram[k] for k in lengths.tolist()], float)
+    weight, covered, bound = np.ones(len(lengths)), np.zeros(len(lengths)), 0.0
     used: dict[tuple, float] = {}
-    for _ in range(rounds):
-        price = weight * lengths
-        best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+
+    def knapsack(price, exact: bool):
+        """The highest value of each room, and the length taken last (-1: none); exact: the room must be filled."""
+        best, last = np.full(capacity + 1, -np.inf if exact else 0.0), np.full(capacity + 1, -1)
+        best[0] = 0.0
         for c in range(int(lengths[0]), capacity + 1):
             n_fit = int(np.searchsorted(lengths, c, "right"))
             value = price[:n_fit] + best[c - lengths[:n_fit]]
             k = int(value.argmax())
-            best[c], last[c] = (value[k], k) if value[k] > best[c - 1] else (best[c - 1], -1)
+            if exact or value[k] > best[c - 1]:
+                best[c], last[c] = value[k], k
+            else:
+                best[c] = best[c - 1]
+        return best, last
+
+    tight = True
+    for turn in range(rounds):
+        price = weight * lengths
+        if not turn % stride or not tight:
+            best, last = knapsack(price, False)
+            bound = max(bound, float(price @ need) / best[capacity])
+        if not turn % stride or tight:
+            full = knapsack(price, True)
+            tight = bool(full[0][capacity] >= (1 - near) * best[capacity]) if not turn % stride else tight
+            best, last = full if tight else (best, last)
         holds = price + best[capacity - lengths]
-        for first in np.flatnonzero(holds >= (1 - near) * best[capacity]).tolist():
+        for first in range(turn % stride, len(lengths), stride):
+            if holds[first] < (1 - near) * best[capacity]:
+                continue
             found, c = [first], capacity - int(lengths[first])
             while c > 0:
                 if last[c] < 0:
@@ -93,26 +111,59 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 24,
                     found.append(int(last[c]))
                     c -= int(lengths[found[-1]])
             key, count = np.unique(found, return_counts=True)
-            share = float((need[key] / count).min()) / rounds
-            at = (*key.tolist(), *count.tolist())
+            share = float((need[key] / count).min())
+            at = (*lengths[key].tolist(), *count.tolist())
             used[at] = used.get(at, 0.0) + share
             covered[key] += count * share
         excess = covered / need
-        weight = np.exp(-rate * excess / max(1e-12, float(np.average(excess, weights=need * lengths))))
+        mean = max(1e-12, float(np.average(excess, weights=need * lengths)))
+        weight = np.exp(-rate * excess / mean)
         weight /= weight.max()
-    scale = 1 / max(1e-12, float(np.average(covered / need, weights=need * lengths)))
-    rest = need.astype(np.int64)
-    fill = {at: sum(int(lengths[k]) * n for k, n in zip(at[: len(at) // 2], at[len(at) // 2 :], strict=True)) for at in used}
-    carry = 0.0
-    for at in sorted((x for x in used if fill[x] >= full * capacity), reverse=True):
-        key, count = list(at[: len(at) // 2]), np.array(at[len(at) // 2 :])
-        carry += used[at] * scale
-        n = min(int(carry), int((rest[key] // count).min()))
-        carry -= int(carry)
-        if n > 0:
-            rest[key] -= count * n
-            plan.append(({int(lengths[k]): int(x) for k, x in zip(key, count.tolist(), strict=True)}, n))
-    return plan + _best_fit({int(k): int(n) for k, n in zip(lengths, rest, strict=True) if n}, capacity)
+    return {at: n / mean for at, n in used.items()}, bound
+
+
+def _rounded(used: dict[tuple, float], left: dict[int, int], least: int) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers of the configurations that hold at least so many ids, taken out of `left`: the whole part of each use, then one more where the pieces are there."""
+    plan: dict[tuple, int] = {}
+    parts = {at: dict(zip(at[: len(at) // 2], at[len(at) // 2 :], strict=True)) for at in used}
+    held = {at: sum(k * c for k, c in x.items()) for at, x in parts.items()}
+    order = sorted((x for x in used if held[x] >= least), key=lambda x: (held[x], used[x] % 1, x), reverse=True)
+    for more in (0, 1):
+        for at in order:
+            n = min(1 if more else int(used[at]), *(left[k] // c for k, c in parts[at].items()))
+            if n > 0:
+                plan[at] = plan.get(at, 0) + n
+                for k, c in parts[at].items():
+                    left[k] -= c * n
+    return [(parts[at], n) for at, n in plan.items()]
+
+
+#: Least fill of the configurations that are rounded, for each time that the program is solved.
+FILLS = (0.999, 0.999, 0.999, 0.998)
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], list[tuple[dict[int, int], int]], int]:
+    """The plan in two parts, and a lower bound on the number of sequences.
+
+    Both parts are lists of a configuration (length: how often) and how many sequences use it; together they hold every
+    piece once. The first part comes from the program, the second from best fit over what rounding leaves.
+    """
+    import math
+
+    left = {k: n for k, n in histogram.items() if n > 0}
+    plan: list[tuple[dict[int, int], int]] = []
+    full = left.pop(capacity, 0)
+    if full:
+        plan.append(({capacity: 1}, full))
+    bound = 0.0
+    for fill in FILLS:
+        left = {k: n for k, n in left.items() if n}
+        if not left:
+            break
+        used, least = program(left, capacity)
+        bound = bound or least
+        plan += _rounded(used, left, math.ceil(fill * capacity))
+    return plan, _best_fit({k: n for k, n in left.items() if n}, capacity), full + math.ceil(bound - 1e-6)
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -167,16 +218,27 @@ def _place(frames: Iterator[pd.DataFrame], runs: pd.DataFrame) -> Iterator[pd.Da
         )
 
 
+def _salts(histogram: dict[int, int]) -> dict[int, int]:
+    return {k: -(-n // SALTED) for k, n in histogram.items()}
+
+
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, **columns: str) -> DataFrame:
     """The pieces of docs with sequence_id and offset (gapless from 0 in each sequence)."""
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
-    rows = cut(pieces(docs, vocabulary, capacity, **columns).withColumn("salt", salt), "pieces")
+    rows = cut(pieces(docs, vocabulary, capacity, **columns).withColumn("draw", F.xxhash64(F.rand(42))), "pieces")
+    histogram = {x["length"]: x["n"] for x in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    alone = rows.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32")
+    alone = alone.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    histogram.pop(capacity, None)
+    if not histogram:
+        return alone
+    first, second, _ = solve(histogram, capacity)
+    runs = places(first + second)
+    salts = F.create_map(*(F.lit(v) for k, n in _salts(histogram).items() for v in (k, n)))
+    rows = rows.where(F.col("length") < capacity).withColumn("salt", F.pmod("draw", F.element_at(salts, F.col("length"))).cast("int"))
     cells = cut(rows.groupBy("length", "salt").agg(F.count("*").alias("n")), "piece-counts")
-    histogram = {x["length"]: x["n"] for x in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = places(solve(histogram, capacity))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = rows.withColumn("own", own).join(F.broadcast(cells), ["length", "salt"])  # capacity * SALTS rows at most
+    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "draw")) - 1
+    ranked = rows.withColumn("own", own).join(F.broadcast(cells), ["length", "salt"])  # a row for SALTED pieces and one a length
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("own")).alias("rank"))
-    return ranked.mapInPandas(lambda frames: _place(frames, runs), PIECE_TYPE + ", sequence_id long, offset long")
+    return alone.unionByName(ranked.mapInPandas(lambda frames: _place(frames, runs), PIECE_TYPE + ", sequence_id long, offset long"))

@@ -2,38 +2,62 @@
 
 Base rules reject short texts and texts in which most words repeat. The statistics of the
 others are transformed and each language and source gets a minimum-covariance-determinant
-estimate: from medians and quartile ranges, concentration steps keep the `KEEP` share of
-rows with the smallest Mahalanobis distances and take their mean and covariance. A row is
-rejected if its distance to its group's estimate exceeds `CUTOFF`.
-
-A step sums counts, vectors and products per group and distance bin, so that the choice of
-the nearest rows and their moments come from one pass and no group meets in one task.
-Groups of under MIN_ROWS rows are pooled per language, small pools over all languages.
+estimate: from several starts, concentration steps keep the half of the rows with the
+smallest Mahalanobis distances and take their mean and covariance; the estimate with the
+least determinant stays, and one more step takes the rows that fit it. A row is rejected if
+its distance to its group's estimate exceeds `CUTOFF`. Since half of a group decides, junk
+that fills a third of it does not hide.
+
+A step sums counts, vectors and products per group, start and distance bin, so that the
+choice of the nearest rows and their moments come from one pass and no group meets in one
+task. Groups of under MIN_ROWS rows use the estimate over all rows of their language, small
+languages that over all rows; where these are under LEAST rows, the base rules alone decide.
 All of it is DataFrame operations.
 
 Nulls: a null text has no words and fails; null languages and sources are groups of their
-own. Repeated rows count each. An empty table gives no rows. Only the named columns are
-read for the statistics; other columns pass through `accept`.
+own. Repeated rows count each, ties fall alike. An empty table gives no rows. Only the named
+columns are read for the statistics; other columns pass through `accept`, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, let, unpacked, whole_row, words
 
 SYMBOLS, MARKS = "#*$%&|<>", "!"
-#: Share of rows that an estimate rests on, the factor that makes its covariance fit normal rows (six dimensions), steps.
-KEEP, CONSISTENT, STEPS = 0.75, 1.36, 3
+#: Share of rows that an estimate rests on, concentration steps, and the share that fits in the last one.
+KEEP, STEPS, FITS = 0.5, 6, 0.975
 #: Squared distance beyond which a row is rejected; it is far beyond the normal quantiles since statistics have long tails.
 CUTOFF = 45.0
-MIN_ROWS, MANY_GROUPS = 200, 20_000
+MIN_ROWS, LEAST, MANY_GROUPS = 200, 30, 20_000
 #: Standard deviations that are added to each estimate: no statistic counts as exact.
 FLOOR = {"x0": 0.08, "x1": 0.35, "x2": 0.5, "x3": 0.12, "x4": 0.6, "x5": 0.35}
 X = list(FLOOR)
 
 
+def chi_square_below(x: float, freedom: int) -> float:
+    """Share of a chi-square distribution of even freedom below x."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(freedom // 2))
+
+
+def chi_square_at(share: float, freedom: int) -> float:
+    """The value below which that share lies."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square_below(mid, freedom) < share else (low, mid)
+    return low
+
+
+def consistent(share: float) -> float:
+    """The factor that makes the covariance of the nearest share of normal rows that of all."""
+    return share / chi_square_below(chi_square_at(share, len(X)), len(X) + 2)
+
+
 def repeat_words(w: Column) -> Column:
     """Words inside 3-word windows that the text has twice or more.
 
@@ -92,21 +116,32 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _attach(rows: DataFrame, table: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """rows with table's columns; the table is broadcast if it has at most MANY_GROUPS rows."""
-    return rows.join(F.broadcast(table) if n <= MANY_GROUPS else table, keys, "left")
+    """rows with table's columns; the table is broadcast if there are at most MANY_GROUPS groups."""
+    return rows.join(F.broadcast(table) if n <= MANY_GROUPS else table, keys)
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """lang, source and the group whose estimate they use: their own, their language's pool or the pool of all."""
+    """lang, source and the group whose estimate they use: their own, their language's or that of all."""
     one = rows.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = F.sum(F.when(F.col("n") < MIN_ROWS, F.col("n")).otherwise(0)).over(Window.partitionBy("lang"))
-    own = F.concat_ws("\x1f", F.lit("own"), "lang", "source")
-    pool = F.concat_ws("\x1f", F.lit("lang"), "lang")
-    return one.select("lang", "source", F.when(F.col("n") >= MIN_ROWS, own).when(small >= MIN_ROWS, pool).otherwise("all").alias("key"))
+    whole = F.sum("n").over(Window.partitionBy("lang"))
+    own = F.concat_ws("\x1f", F.lit("own"), "lang", F.col("lang").isNull(), "source", F.col("source").isNull())
+    pool = F.concat_ws("\x1f", F.lit("lang"), "lang", F.col("lang").isNull())
+    return one.select("lang", "source", F.when(F.col("n") >= MIN_ROWS, own).when(whole >= MIN_ROWS, pool).otherwise("all").alias("key"))
+
 
+def members(rows: DataFrame, table: DataFrame, n_groups: int) -> DataFrame:
+    """rows with the key of each estimate that they enter: their group's own, and those of their language and of all where some group uses them."""
+    good = rows.where("not base_failed")
+    own = _keyed(good, table.where("key like 'own%'"), n_groups).where("key is not null")
+    by_lang = table.where("key like 'lang%'").select(F.col("lang").alias("_lang"), "key").distinct()
+    by_lang = F.broadcast(by_lang) if n_groups <= MANY_GROUPS else by_lang
+    of_lang = good.join(by_lang, good["lang"].eqNullSafe(by_lang["_lang"])).drop("_lang")
+    out = own.unionByName(of_lang)
+    return out.unionByName(good.withColumn("key", F.lit("all"))) if table.where("key = 'all'").limit(1).count() else out
 
-def inverse(matrix: Column) -> Column:
-    """Inverse of a symmetric positive matrix (array of rows) by sweeping each row."""
+
+def swept(matrix: Column) -> Column:
+    """inverse and log_det of a symmetric positive matrix (array of rows) by sweeping each row."""
 
     def sweep(a: Column, k: Column) -> Column:
         def entry(v: Column, i: Column, j: Column) -> Column:
@@ -115,16 +150,38 @@ def inverse(matrix: Column) -> Column:
 
         return F.transform(a, lambda row, i: F.transform(row, lambda v, j: entry(v, i, j)))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(X) - 1)), matrix, sweep)
+    start = F.struct(matrix.alias("inverse"), F.lit(0.0).alias("log_det"))
+    step = lambda acc, k: F.struct(sweep(acc["inverse"], k).alias("inverse"), (acc["log_det"] + F.log(acc["inverse"][k][k])).alias("log_det"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(X) - 1)), start, step)
+
+
+D = range(len(X))
+_SUMS = ["n", *(f"s{i}" for i in D), *(f"p{i}_{j}" for i in D for j in range(i, len(X)))]
+
+
+def _moments() -> list[Column]:
+    """n, sums s_i and products p_i_j of the statistics."""
+    return [F.count("*").alias("n"), *(F.sum(X[i]).alias(f"s{i}") for i in D), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p{i}_{j}") for i in D for j in range(i, len(X)))]
 
 
-def _estimate(sums: DataFrame) -> DataFrame:
-    """key, mu, inv from n, sums s_i and products p_i_j."""
-    mean = {i: F.col(f"s{i}") / F.col("n") for i in range(len(X))}
-    cov = lambda i, j: CONSISTENT * (F.col(f"p{min(i, j)}_{max(i, j)}") / F.col("n") - mean[i] * mean[j]) + (FLOOR[X[i]] ** 2 if i == j else 0.0)
-    d = range(len(X))
-    full = sums.select("key", F.array(*(mean[i] for i in d)).alias("mu"), F.array(*(F.array(*(cov(i, j) for j in d)) for i in d)).alias("cov"))
-    return full.select("key", "mu", inverse(F.col("cov")).alias("inv"))
+def _estimate(sums: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """keys, mu, inv and log_det of the covariance times factor, with the floor."""
+    mean = {i: F.col(f"s{i}") / F.col("n") for i in D}
+    cov = lambda i, j: factor * (F.col(f"p{min(i, j)}_{max(i, j)}") / F.col("n") - mean[i] * mean[j]) + (FLOOR[X[i]] ** 2 if i == j else 0.0)
+    full = sums.select(*keys, F.array(*(mean[i] for i in D)).alias("mu"), F.array(*(F.array(*(cov(i, j) for j in D)) for i in D)).alias("cov"))
+    return full.select(*keys, "mu", swept(F.col("cov")).alias("s")).select(*keys, "mu", F.col("s.inverse").alias("inv"), F.col("s.log_det").alias("log_det"))
+
+
+def _starts(keyed: DataFrame) -> DataFrame:
+    """key, start, mu, inv: medians with quartile ranges (0) or with the floor alone (1), and the mean and covariance of all rows (2)."""
+    parts = [F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(x) for x in X]
+    sums = cut(keyed.groupBy("key").agg(*parts, *_moments()).where(F.col("n") >= LEAST), "rule-starts")
+    median = F.array(*(F.col(x)[1].cast("double") for x in X))
+    diagonal = lambda of: F.array(*(F.array(*(1 / of(i) if i == j else F.lit(0.0) for j in D)) for i in D))
+    ranges = diagonal(lambda i: F.pow((F.col(X[i])[2] - F.col(X[i])[0]) / 1.349, 2) + FLOOR[X[i]] ** 2)
+    plain = diagonal(lambda i: F.lit(FLOOR[X[i]] ** 2))
+    two = [sums.select("key", F.lit(k).alias("start"), median.alias("mu"), inv.alias("inv")) for k, inv in enumerate((ranges, plain))]
+    return two[0].union(two[1]).union(_estimate(sums.withColumn("start", F.lit(2)), ["key", "start"], 1.0).select("key", "start", "mu", "inv"))
 
 
 def distance(mu: Column, inv: Column, x: list[Column]) -> Column:
@@ -134,27 +191,24 @@ def distance(mu: Column, inv: Column, x: list[Column]) -> Column:
 
 
 def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
-    """lang, source, mu, inv for every group of rows (lang, source, base_failed, x0..x5), and how many groups there are."""
+    """lang, source, mu, inv for every group of rows (lang, source, base_failed, x0..x5) that has one, and how many groups there are."""
     table = cut(groups(rows), "rule-groups")
     n_groups = table.count()
-    keyed = _keyed(rows.where("not base_failed"), table, n_groups)
-    parts = [F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(x) for x in X]
-    start = keyed.groupBy("key").agg(*parts)
-    spread = [F.pow((F.col(x)[2] - F.col(x)[0]) / 1.349, 2) + FLOOR[x] ** 2 for x in X]
-    zero = F.lit(0.0)
-    now = start.select("key", F.array(*(F.col(x)[1].cast("double") for x in X)).alias("mu"), F.array(*(F.array(*(1 / spread[i] if i == j else zero for j in range(len(X)))) for i in range(len(X)))).alias("inv"))
-    d = range(len(X))
+    keyed = members(rows, table, n_groups)
+    far = distance(F.col("mu"), F.col("inv"), [F.col(x) for x in X])
+    now = _starts(keyed)
+    by = ["key", "start"]
     for _ in range(STEPS):
         now = cut(now, "rule-estimate")
-        near = _attach(keyed, now, ["key"], n_groups)
-        bins = near.withColumn("bin", F.floor(16 * F.log2(1 + distance(F.col("mu"), F.col("inv"), [F.col(x) for x in X]))))
-        moments = [F.sum(X[i]).alias(f"s{i}") for i in d] + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p{i}_{j}") for i in d for j in range(i, len(X))]
-        binned = bins.groupBy("key", "bin").agg(F.count("*").alias("n"), *moments)
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        kept = binned.withColumn("before", before).withColumn("all", F.sum("n").over(Window.partitionBy("key"))).where(F.col("before") < KEEP * F.col("all"))
-        names = ["n", *(f"s{i}" for i in d), *(f"p{i}_{j}" for i in d for j in range(i, len(X)))]
-        now = _estimate(kept.groupBy("key").agg(*(F.sum(c).alias(c) for c in names)))
-    return cut(table.join(now, "key").select("lang", "source", "mu", "inv"), "rule-estimates"), n_groups
+        bins = _attach(keyed, now, ["key"], n_groups).withColumn("bin", F.floor(16 * F.log2(1 + far)))
+        binned = bins.groupBy(*by, "bin").agg(*_moments())
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        kept = binned.withColumn("before", before).withColumn("all", F.sum("n").over(Window.partitionBy(*by))).where(F.col("before") < KEEP * F.col("all"))
+        now = _estimate(kept.groupBy(*by).agg(*(F.sum(c).alias(c) for c in _SUMS)), by, consistent(KEEP))
+    best = cut(now.groupBy("key").agg(F.min_by(F.struct("mu", "inv"), F.struct("log_det", "start")).alias("e")).select("key", "e.*"), "rule-least")
+    fits = _attach(keyed, best, ["key"], n_groups).where(far <= chi_square_at(FITS, len(X)))
+    last = _estimate(fits.groupBy("key").agg(*_moments()), ["key"], consistent(FITS))
+    return cut(table.join(last, "key").select("lang", "source", "mu", "inv"), "rule-estimates"), n_groups
 
 
 def _keyed(rows: DataFrame, table: DataFrame, n_groups: int) -> DataFrame:
@@ -182,7 +236,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def accept(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns; statistics are taken again rather than joined to the texts."""
-    rows = cut(with_stats(docs.select("text", "lang", "source")).select("lang", "source", "stats.*"), "rule-stats")
-    base = with_stats(whole_row(docs, text="text", lang="lang", source="source"))
-    return unpacked(_verdict(base, *estimates(rows), stats="stats.").where("kept"), docs)
+    """The documents that pass, with their own columns: texts are read once, and written with their statistics."""
+    rows = cut(with_stats(whole_row(docs, text="text", lang="lang", source="source")).drop("text"), "rule-rows")
+    found = estimates(rows.select("lang", "source", "stats.*"))
+    return unpacked(_verdict(rows, *found, stats="stats.").where("kept"), docs)

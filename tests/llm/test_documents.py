@@ -52,8 +52,57 @@ def test_rules_inverse(spark):
 
     a = np.random.default_rng(0).normal(size=(6, 6))
     a = a @ a.T + np.eye(6)
-    got = spark.range(1).select(rules.inverse(F.array(*(F.array(*(F.lit(float(v)) for v in r)) for r in a))).alias("i")).first()["i"]
-    assert np.allclose(np.array(got), np.linalg.inv(a))
+    got = spark.range(1).select(rules.swept(F.array(*(F.array(*(F.lit(float(v)) for v in r)) for r in a))).alias("i")).first()["i"]
+    assert np.allclose(np.array(got["inverse"]), np.linalg.inv(a)) and got["log_det"] == pytest.approx(np.linalg.slogdet(a)[1])
+
+
+def _plain_estimate(x):
+    """The estimate of one group in plain NumPy: mean and inverse of the covariance."""
+    import numpy as np
+
+    floor = np.diag(np.array(list(rules.FLOOR.values())) ** 2)
+    far = lambda x, mu, inv: np.einsum("ni,ij,nj->n", x - mu, inv, x - mu)
+    quartiles = np.sort(x, 0)[[int(np.ceil(q * len(x))) - 1 for q in (0.25, 0.5, 0.75)]]
+    spread = np.diag(((quartiles[2] - quartiles[0]) / 1.349) ** 2)
+    best = None
+    for mu, cov in ((quartiles[1], spread + floor), (quartiles[1], floor), (x.mean(0), np.cov(x.T, bias=True) + floor)):
+        for _ in range(rules.STEPS):
+            bins = np.floor(16 * np.log2(1 + far(x, mu, np.linalg.inv(cov))))
+            kept = x[[np.sum(bins < v) < rules.KEEP * len(x) for v in bins]]
+            mu, cov = kept.mean(0), rules.consistent(rules.KEEP) * np.cov(kept.T, bias=True) + floor
+        if best is None or np.linalg.slogdet(cov)[1] < best[0] - 1e-9:
+            best = np.linalg.slogdet(cov)[1], mu, cov
+    fits = x[far(x, best[1], np.linalg.inv(best[2])) <= rules.chi_square_at(rules.FITS, 6)]
+    return fits.mean(0), np.linalg.inv(rules.consistent(rules.FITS) * np.cov(fits.T, bias=True) + floor)
+
+
+def test_rules_estimates_against_numpy(spark):
+    """A group of its own with a third of far rows, one that uses its language's estimate, and one that uses that of all."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(560, 6)) @ r.normal(size=(6, 6)) + 2
+    x[:100] = r.normal(size=(100, 6)) * 0.1 + 40
+    of = [("en", "a")] * 300 + [("en", "b")] * 90 + [("fr", "a")] * 150 + [(None, "a")] * 20
+    schema = "lang string, source string, base_failed boolean, " + ", ".join(f"{k} double" for k in rules.X)
+    rows = spark.createDataFrame([(*k, False, *map(float, v)) for k, v in zip(of, x, strict=True)] + [("en", "a", True, *[9.0] * 6)], schema)
+    got = {(e["lang"], e["source"]): (e["mu"], e["inv"]) for e in rules.estimates(rows.repartition(3))[0].collect()}
+    lang = np.array([k[0] or "" for k in of])
+    want = {("en", "a"): x[:300], ("en", "b"): x[lang == "en"], ("fr", "a"): x, (None, "a"): x}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        mu, inv = _plain_estimate(v)
+        assert np.allclose(got[k][0], mu) and np.allclose(np.array(got[k][1]), inv)
+    assert all(np.linalg.norm(got["en", "a"][0] - y) > 20 for y in x[:100])
+
+
+def test_rules_reject_junk_that_fills_a_third_of_a_group_or_is_a_language_of_its_own(spark):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text", "lang", "source")
+    junk = "BUY $$$ NOW!!! " + " ".join(f"#win{k} *free*" for k in range(60)) + " !!!"
+    many = [(100_000 + k, junk, "en", "src0") for k in range(docs.where("lang = 'en' and source = 'src0'").count() // 2)]
+    more = spark.createDataFrame([*many, (99_999, junk, "xx", "src1")], docs.schema)
+    kept = {r["doc_id"]: r["kept"] for r in rules.judge(docs.union(more)).collect()}
+    assert not any(v for k, v in kept.items() if k >= 99_999) and sum(kept.values()) > 800
 
 
 def test_quality_on_held_out_labels(spark):
@@ -217,6 +266,20 @@ def test_language_edges(docs, texts, nothing):
     assert langid.accept(docs, model).columns == docs.columns and langid.accept(docs, model).where("doc_id in (1000, 1005)").count() == 0
 
 
+def test_language_accepts_only_what_it_knows(spark):
+    import random
+
+    r = random.Random(6)
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").where("n_chars > 400 and lang in ('en', 'fr')")
+    model = langid.train(docs)
+    one = {x["lang"]: x["text"] for x in docs.where("doc_id % 5 = 2").collect()}
+    half = min(len(one["en"].encode()), len(one["fr"].encode())) // 2
+    odd = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(800)), "Съешь ещё этих мягких французских булок да выпей чаю. " * 15, one["en"][:half] + " " + one["fr"][:half]]
+    rows = spark.createDataFrame([(900_000 + k, x, "en", "s", len(x)) for k, x in enumerate(odd)], docs.schema)
+    kept = {x["doc_id"] for x in langid.accept(docs.union(rows), model).collect()}
+    assert not kept & {900_000, 900_001, 900_002} and len(kept) >= 0.99 * docs.count()
+
+
 def test_code_lengths_are_those_of_the_trees():
     """Against a slow walk through dictionaries of counts."""
     import math
@@ -270,6 +333,30 @@ def test_sharding(docs, texts):
     assert slot_map.count() == 256
 
 
+def test_forty_shards_of_heavy_and_repeated_records(spark):
+    """Sizes near equal by the production parameters, with a third of the rows alike, and a few heavy ones."""
+    rows = [(k, "x" * (k * 7919 % 3000)) for k in range(9000)] + [(5, "y" * 900)] * 4500 + [(20_000 + k, "z" * 60_000) for k in range(6)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"))[0].groupBy("shard").agg({"size": "sum", "slot": "max", "*": "count"}).collect()
+    load = [r["sum(size)"] for r in found]
+    assert len(found) == 40 and sum(load) == sum(len(x) + 16 for _, x in rows)
+    assert max(load) <= 1.02 * min(load) and all(r["max(slot)"] == r["count(1)"] - 1 for r in found)
+
+
+def test_maps_are_kept_by_version(spark, docs, tmp_path):
+    folder = str(tmp_path / "map")
+    rows, first = sharding.shard(docs, 5, 256, folder=folder)
+    slots = sharding.slot_bytes(sharding.records(docs, 256), 256)
+    sharding.save_map(sharding.grow(first, slots, 5, 1), folder)
+    sharding.save_map(sharding.move(sharding.load_map(spark, folder), {3: 0, 9: 0}, 2), folder)
+    latest = {r["vslot"]: (r["version"], r["shard"]) for r in sharding.load_map(spark, folder).collect()}
+    assert latest[3] == latest[9] == (2, 0) and {v for v, _ in latest.values()} == {2}
+    assert {tuple(r) for r in sharding.load_map(spark, folder, 0).collect()} == {tuple(r) for r in first.collect()}
+    placed = sharding.place(sharding.records(docs, 256), sharding.load_map(spark, folder))
+    assert all(r["shard"] == latest[r["vslot"]][1] for r in placed.collect())
+    with pytest.raises(Exception, match="(?i)already exists"):
+        sharding.save_map(first, folder)
+
+
 def test_growing_moves_slots_into_the_new_shard_only(docs):
     rows = sharding.records(docs, 256)
     slots = sharding.slot_bytes(rows, 256)

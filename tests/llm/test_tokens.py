@@ -53,21 +53,31 @@ def test_packing(docs, ids):
     assert len(rows) <= 1.02 * sum(len(x) for _, x in ids) / 2048 + 2
 
 
-@pytest.mark.parametrize("n", [1, 40, 3000])
+@pytest.mark.parametrize("n", [1, 40, 3000, 200_000])
 def test_plan_covers_the_histogram_once(n):
     x = np.clip(np.exp(np.random.default_rng(n).normal(6, 1.2, n)).astype(int), 1, 2048)
     want, got = Counter(x.tolist()), Counter()
-    plan = packing.solve(dict(want))
-    for holds, m in plan:
+    by_program, by_best_fit, bound = packing.solve(dict(want))
+    for holds, m in by_program + by_best_fit:
         assert m > 0 and sum(k * c for k, c in holds.items()) <= 2048
         for k, c in holds.items():
             got[k] += c * m
     assert got == want
-    assert sum(m for _, m in plan) <= 1.01 * x.sum() / 2048 + 2
+    n_sequences = sum(m for _, m in by_program + by_best_fit)
+    assert -(-int(x.sum()) // 2048) <= bound <= n_sequences <= 1.002 * bound + 2
+    if n >= 3000:  # the program places the bulk
+        assert sum(m for _, m in by_best_fit) <= 0.1 * n_sequences
 
 
 def test_plan_of_a_tiny_capacity_is_the_best():
-    assert sum(m for _, m in packing.solve({6: 4, 4: 4, 3: 6, 2: 6, 5: 2}, 10)) == 8
+    first, second, bound = packing.solve({6: 4, 4: 4, 3: 6, 2: 6, 5: 2}, 10)
+    assert sum(m for _, m in first + second) == bound == 8
+
+
+def test_bound_is_more_than_the_sum_over_the_capacity():
+    """Pieces of more than half a sequence are one each, whatever their sum."""
+    first, second, bound = packing.solve({1100: 50, 1500: 20}, 2048)
+    assert sum(m for _, m in first + second) == 70 and 70 >= bound >= 65 > (1100 * 50 + 1500 * 20) / 2048
 
 
 def test_id_files(spark, docs, ids):
@@ -85,11 +95,11 @@ def test_planes_round_trip():
         assert (binary.unpack_planes(n, *binary.pack_planes(x)[1:]) == x).all()
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(1 << 16, 1 << 9), (300, 40), (64, 8)])
-def test_chunked_encoding(docs, texts, chunk, overlap):
+@pytest.mark.parametrize(("chunk", "overlap", "spread"), [(bpe.CHUNK, bpe.OVERLAP, bpe.SPREAD), (300, 40, 1 << 16), (300, 40, 500), (64, 8, 0)])
+def test_chunked_encoding(docs, texts, chunk, overlap, spread):
     use = bpe.codec(queries.RANKS, P.PATTERN)
     some = docs.where("doc_id >= 995 or doc_id < 20")
-    found = bpe.round_trip(some, queries.RANKS, P.PATTERN, chunk, overlap).collect()
+    found = bpe.round_trip(some, queries.RANKS, P.PATTERN, chunk, overlap, spread).collect()
     want = Counter()
     for i, x in texts:
         if i >= 995 or i < 20:
@@ -98,12 +108,23 @@ def test_chunked_encoding(docs, texts, chunk, overlap):
     assert Counter(map(tuple, found)) == want
 
 
-def test_chunks_of_hard_texts(spark):
+def test_ordinary_documents_are_chunked(spark):
+    import regex
+
+    match = regex.compile(P.PATTERN)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    pieces = [len(bpe.piece_starts(r["text"], match, bpe.CHUNK, bpe.OVERLAP)) for r in rows]
+    chunks = [len(bpe.chunk_places(len(r["text"]), bpe.CHUNK, bpe.OVERLAP)) for r in rows]
+    assert sum(n > 1 for n in pieces) >= 300 and pieces == chunks
+
+
+@pytest.mark.parametrize("spread", [0, 1 << 16])
+def test_chunks_of_hard_texts(spark, spread):
     r = random.Random(9)
     parts = ["'", "'re", "'v", "e", " ", "  ", "\n", "x" * 70, "9" * 90, "é", "!?", " " * 50, "l", "d"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 120))) for _ in range(150)]
     use = bpe.codec(queries.RANKS, P.PATTERN)
-    found = bpe.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.RANKS, P.PATTERN, 32, 12).collect()
+    found = bpe.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.RANKS, P.PATTERN, 32, 12, spread).collect()
     got = {x["doc_id"]: (x["n_tokens"], x["ids_sha256"]) for x in found}
     for i, x in enumerate(texts):
         y = use.encode_ordinary(x)
