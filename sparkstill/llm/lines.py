@@ -2,7 +2,8 @@
 
 A line is the set of its five-word shingles (a line of fewer words: the whole of it). A
 line is removed if an earlier one (by document id, then line number) has a Jaccard
-similarity of THRESHOLD or more with it; lines without words stay.
+similarity of THRESHOLD or more with it; lines without words stay. The position of a line is
+its document's id, its number, and between them, where texts share an id, the text's hash.
 
 Lines of equal sets are one class, represented by its first line; all others of the class
 go. Tokens are ordered by rarity: by the count of their first word, which bounds their own
@@ -15,8 +16,8 @@ settle are compared with the others of their lists, a pair once, at its first co
 and after one more bound: a token of one set only changes one bit of the sets' parities.
 All of it is DataFrame operations.
 
-Nulls: a null text stays null; a null id counts as the first. Rows that repeat an id share
-its positions, and keep or lose lines alike. An empty table gives no rows.
+Nulls: a null text stays null; a null id counts as the first. Rows that repeat an id and a
+text share their positions, and keep or lose lines alike. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .common import SPACE, cut, drop, let, small, unpacked, whole_row
 
 SHINGLE, THRESHOLD, BUCKETS = 5, 0.8, 8192
 WORD = r"[^\x20\x09-\x0D]"
-_POSITION = ["doc_id", "line_no"]
+_POSITION = ["doc_id", "t", "line_no"]
 
 
 def line_words(line: Column) -> Column:
@@ -68,19 +69,19 @@ def rarity(docs: DataFrame, buckets: int = BUCKETS) -> Column:
 
 
 def line_sets(docs: DataFrame, scale: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, line_no, a, b (hashes of the set), size and prefix of every line of docs (doc_id, text) that has a word.
+    """doc_id, t, line_no, a, b (hashes of the set), size and prefix of every line of docs (doc_id, t, text) that has a word.
 
     Lines are chosen by their text, since a filter on the keys would be pushed below and compute them twice.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD))
-    keyed = lines.select("doc_id", "line_no", line_words(F.col("line")).alias("w")).select("doc_id", "line_no", shingles(F.col("w"), scale).alias("keys"))
+    lines = docs.select("doc_id", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD))
+    keyed = lines.select(*_POSITION, line_words(F.col("line")).alias("w")).select(*_POSITION, shingles(F.col("w"), scale).alias("keys"))
     size = F.size("keys")
     prefix = F.slice("keys", 1, size - F.ceil(threshold * size - 1e-9).cast("int") + 1)
     return keyed.select(*_POSITION, F.xxhash64("keys").alias("a"), F.hash("keys").alias("b"), size.alias("size"), prefix.alias("prefix"))
 
 
 def representatives(rows: DataFrame) -> DataFrame:
-    """doc_id, line_no, size and prefix of the first line of each class of equal sets."""
+    """doc_id, t, line_no, size and prefix of the first line of each class of equal sets."""
     first = F.min(F.struct(*_POSITION)).alias("p")
     return rows.groupBy("a", "b", "size").agg(first, F.first("prefix").alias("prefix")).select("p.*", "size", "prefix")
 
@@ -116,13 +117,24 @@ def parity(tokens: Column, shift: int) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(bit(t)))
 
 
+def listed(positions: DataFrame, name: str) -> DataFrame:
+    """id, u and the line numbers (`name`) of positions, by document."""
+    return cut(positions.groupBy(F.col("doc_id").alias("id"), F.col("t").alias("u")).agg(F.collect_set("line_no").alias(name)), f"line-{name}")
+
+
+def _of(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
+    """docs with the lists of their line numbers."""
+    return docs.join(small(lists), docs["doc_id"].eqNullSafe(lists["id"]) & (docs["t"] == lists["u"]), how)
+
+
 def tokens_of(docs: DataFrame, positions: DataFrame) -> DataFrame:
-    """p (a position), tokens and two parities of the lines at some positions."""
-    wanted = cut(positions.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("line_no").alias("n")), "line-wanted")
-    some = docs.join(small(wanted), docs["doc_id"].eqNullSafe(wanted["id"])).select("doc_id", F.split("text", "\n").alias("l"), F.explode("n").alias("line_no"))
-    split_ = some.select(F.struct("doc_id", "line_no").alias("p"), line_words(F.get("l", F.col("line_no"))).alias("w"))
-    with_parity = let(shingles(F.col("w")), lambda t: F.struct(t.alias("tokens"), parity(t, 0).alias("even"), parity(t, 8).alias("odd")))
-    found = cut(split_.select("p", with_parity.alias("t")).select("p", "t.*"), "line-tokens")
+    """p (a position), tokens and two parities of the lines at some positions, once for rows that are repeated."""
+    wanted = listed(positions, "wanted")
+    once = docs.where("not again").union(docs.where("again").dropDuplicates(["doc_id", "t"]))
+    some = _of(once, wanted).select("doc_id", "t", F.split("text", "\n").alias("l"), F.explode("wanted").alias("line_no"))
+    split_ = some.select(F.struct(*_POSITION).alias("p"), line_words(F.get("l", F.col("line_no"))).alias("w"))
+    with_parity = let(shingles(F.col("w")), lambda v: F.struct(v.alias("tokens"), parity(v, 0).alias("even"), parity(v, 8).alias("odd")))
+    found = cut(split_.select("p", with_parity.alias("v")).select("p", "v.*"), "line-tokens")
     drop(wanted)
     return found
 
@@ -139,7 +151,7 @@ def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFram
 def similar_to_earlier(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """x: positions of the representatives that have an earlier similar line."""
     shared = shared_postings(reps)
-    tokens = tokens_of(docs, shared.select("p.doc_id", "p.line_no"))
+    tokens = tokens_of(docs, shared.select("p.*"))
     place = lambda v: v.bitwiseAND((1 << 32) - 1)
     at_most = F.least(place(F.col("one")), place(F.col("first_one")))
     star = shared.where((F.col("p") != F.col("first")) & _may_match(F.col("one"), F.col("first_one"), at_most, threshold))
@@ -161,17 +173,29 @@ def similar_to_earlier(docs: DataFrame, reps: DataFrame, threshold: float = THRE
     return found.union(more).distinct()
 
 
+def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (all columns), doc_id, t, again and text.
+
+    t tells texts that share an id apart: a hash of the text, 0 where an id has one text only;
+    again: whether there are more rows of the id.
+    """
+    base = whole_row(docs, doc_id=id_col, text=text_col)
+    h = F.xxhash64("text")
+    ids = base.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(h).alias("a"), F.max(h).alias("b")).where("n > 1")
+    ids = small(cut(ids.select(F.col("doc_id").alias("id"), F.lit(True).alias("again"), (F.col("a") != F.col("b")).alias("many")), "line-shared-ids"))
+    found = base.join(ids, base["doc_id"].eqNullSafe(ids["id"]), "left")
+    return found.select("row", "doc_id", F.when(F.col("many"), h).otherwise(0).alias("t"), F.coalesce("again", F.lit(False)).alias("again"), "text")
+
+
 def _rebuilt(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """row (all columns), doc_id, text as it was, and lines: the text that is left, n_lines and n_removed."""
-    base = whole_row(docs, doc_id=id_col, text=text_col)
-    texts = base.select("doc_id", "text")
+    base = placed(docs, id_col, text_col)
+    texts = base.select("doc_id", "t", "again", "text")
     reps = cut(representatives(line_sets(texts, rarity(texts), threshold)), "line-representatives")
-    gone = similar_to_earlier(base.select("doc_id", "text"), reps, threshold).select("x.*")
-    firsts = reps.select(*_POSITION)
-    kept = firsts.join(gone, firsts["doc_id"].eqNullSafe(gone["doc_id"]) & (firsts["line_no"] == gone["line_no"]), "left_anti")
-    kept = cut(kept.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("line_no").alias("kept")), "line-kept")
+    gone = similar_to_earlier(texts, reps, threshold).select(F.col("x").alias("p"))
+    kept = listed(reps.select(F.struct(*_POSITION).alias("p")).join(gone, "p", "left_anti").select("p.*"), "kept")
     drop(reps)
-    joined = base.join(small(kept), base["doc_id"].eqNullSafe(kept["id"]), "left")
+    joined = _of(base, kept, "left")
     blank = r"^[\x20\x09-\x0D]*$"
 
     def rebuilt(lines: Column) -> Column:
