@@ -1,4 +1,4 @@
-"""Command line: prepare and learn (fit), predict, validate, library export."""
+"""Command line: each stage on its own, all of them as fit, and predict, validate, library and export-library."""
 
 from __future__ import annotations
 
@@ -9,45 +9,90 @@ from pyspark.sql import SparkSession
 from .functions.schema import parse_columns
 
 
-def main(argv: list[str] | None = None) -> None:
+def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sparkstill")
     sub = p.add_subparsers(dest="command", required=True)
-    fit = sub.add_parser("fit", help="learn a model from a teacher's table and, perhaps, measured labels")
-    for name in ("--library", "--soft-labels", "--run-dir", "--model"):
-        fit.add_argument(name, required=True)
-    fit.add_argument("--hard-labels")
-    fit.add_argument("--columns")
-    fit.add_argument("--max-samples", type=int)
-    fit.add_argument("--val-frac", type=float, default=0.1)
-    fit.add_argument("--rounds", type=int, default=20)
-    predict = sub.add_parser("predict", help="score a table")
-    for name in ("--model", "--input", "--output"):
-        predict.add_argument(name, required=True)
+
+    def command(name: str, text: str, *needed: str):
+        c = sub.add_parser(name, help=text)
+        for x in needed:
+            c.add_argument(x, required=True)
+        return c
+
+    for name, text, needed in (
+        ("prepare", "align, split and write a run folder", ("--library", "--soft-labels", "--run-dir")),
+        ("fit", "all stages, from a teacher's table and, perhaps, measured labels, to a model", ("--library", "--soft-labels", "--run-dir", "--model")),
+    ):
+        c = command(name, text, *needed)
+        c.add_argument("--hard-labels")
+        c.add_argument("--columns")
+        c.add_argument("--hard-columns")
+        c.add_argument("--key-column")
+        c.add_argument("--max-samples", type=int)
+        c.add_argument("--val-frac", type=float, default=0.1)
+        c.add_argument("--width", type=int, default=256)
+        if name == "fit":
+            c.add_argument("--rounds", type=int, default=20)
+            c.add_argument("--tune", type=int, default=0, help="settings to try for each column")
+    tune = command("tune", "find settings for each column of a run", "--run-dir")
+    tune.add_argument("--trials", type=int, default=10)
+    soft = command("learn-soft", "learn the students of a run", "--run-dir")
+    soft.add_argument("--rounds", type=int, default=20)
+    soft.add_argument("--weighting", default="auto")
+    hard = command("learn-hard", "learn heads and gates of a run", "--run-dir")
+    hard.add_argument("--rounds", type=int, default=10)
+    hard.add_argument("--epochs", type=int, default=15)
+    command("export", "write a run's models as one model", "--run-dir", "--model")
+    command("clean", "delete a run folder", "--run-dir")
+    predict = command("predict", "score a table", "--model", "--input", "--output")
     predict.add_argument("--key-column")
-    check = sub.add_parser("validate", help="metrics against held-out tables")
-    check.add_argument("--model", required=True)
+    check = command("validate", "metrics against held-out tables", "--model", "--output")
     for name in ("--soft-labels", "--hard-labels", "--library"):
         check.add_argument(name)
-    check.add_argument("--output", required=True)
-    dump = sub.add_parser("library", help="write the library's texts in its order")
-    dump.add_argument("--library", required=True)
-    dump.add_argument("--output", required=True)
-    a = p.parse_args(argv)
+    build = command("library", "build a library from a table of texts", "--input", "--output")
+    build.add_argument("--key-column")
+    build.add_argument("--distinct", action="store_true")
+    build.add_argument("--limit", type=int)
+    dump = command("export-library", "write the library's texts in its order", "--library", "--output")
+    dump.add_argument("--header", default="text")
+    return p
+
+
+def main(argv: list[str] | None = None) -> None:
+    a = _parser().parse_args(argv)
 
     from .plans import workflow
     from .plans.artifact import Artifact
+    from .sources import tables
     from .sources.reports import write_report
-    from .sources.tables import read_library
 
     spark = SparkSession.builder.appName("sparkstill").getOrCreate()
-    if a.command == "fit":
-        workflow.fit(spark, a.run_dir, a.library, a.soft_labels, a.hard_labels, a.model, a.rounds, values=parse_columns(a.columns), max_samples=a.max_samples, val_frac=a.val_frac)
+    if a.command in ("prepare", "fit"):
+        options = dict(values=parse_columns(a.columns), hard_values=parse_columns(a.hard_columns), key=a.key_column, max_samples=a.max_samples, val_frac=a.val_frac, width=a.width)
+        if a.command == "prepare":
+            workflow.prepare(spark, a.run_dir, a.library, a.soft_labels, a.hard_labels, **options)
+        else:
+            workflow.fit(spark, a.run_dir, a.library, a.soft_labels, a.hard_labels, a.model, a.rounds, a.tune, **options)
+    elif a.command in ("tune", "learn-soft", "learn-hard", "export", "clean"):
+        run = workflow.Run.open(spark, a.run_dir)
+        if a.command == "tune":
+            workflow.tune_columns(run, a.trials)
+        elif a.command == "learn-soft":
+            workflow.learn_soft(run, a.rounds, a.weighting)
+        elif a.command == "learn-hard":
+            workflow.learn_hard(run, a.rounds, a.epochs)
+        elif a.command == "export":
+            workflow.export(run, a.model)
+        else:
+            print(f"{workflow.clean(run)} bytes freed")
     elif a.command == "predict":
         workflow.predict(spark, Artifact.load(spark, a.model), a.input, a.output, a.key_column)
     elif a.command == "validate":
-        write_report(workflow.validate(spark, Artifact.load(spark, a.model), a.soft_labels, a.hard_labels, a.library), a.output)
+        write_report(spark, workflow.validate(spark, Artifact.load(spark, a.model), a.soft_labels, a.hard_labels, a.library), a.output)
+    elif a.command == "library":
+        tables.build_library(spark, a.input, a.output, a.key_column, a.distinct, a.limit)
     else:
-        read_library(spark, a.library).orderBy("row_id").select("text").write.csv(a.output, header=True)
+        tables.export_library(spark, a.library, a.output, a.header)
 
 
 if __name__ == "__main__":

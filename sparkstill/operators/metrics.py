@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
-from .order import average_ranks, quantiles, row_numbers, running
+from .order import average_ranks, group_quantile, quantiles, row_numbers, running
 
 FRACTIONS = (0.01, 0.05, 0.1)
 
@@ -26,9 +26,9 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = Non
     by = by or []
     rows = df.select(*by, F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p"))
     ranked = average_ranks(average_ranks(rows, "y", "ry", by), "p", "rp", by)
-    means = rows.groupBy(*by).agg(F.avg("y").alias("my"), F.avg("p").alias("mp"), F.count("*").alias("nn"), *([F.percentile("y", 0.9).alias("q9")] if by else []))
+    means = rows.groupBy(*by).agg(F.avg("y").alias("my"), F.avg("p").alias("mp"), F.count("*").alias("nn"))
     if by:
-        joined = ranked.join(means, by)
+        joined = ranked.join(means.join(group_quantile(rows, "y", 0.9, by, "q9"), by), by)
     else:
         m = means.first().asDict() | {"q9": quantiles(rows, "y", [0.9])[0]}
         joined = ranked.select("*", *(F.lit(m[c]).cast("double").alias(c) for c in ("my", "mp", "nn", "q9")))

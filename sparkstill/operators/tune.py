@@ -9,10 +9,9 @@ import time
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .split import proportional_sample
-from .student import SETTINGS
+from .student import SETTINGS, leaf_rows
 
 #: Fixed ranges of the search.
 RATE, GAIN = (0.05, 0.3), (0.0, 5.0)
@@ -30,11 +29,12 @@ def tune(df: DataFrame, y: str, n: int = 10, rounds: int = 10, most_rows: int =
     """The best settings on a sample that keeps the share of validation rows; stops after `patience` trials without a gain or `seconds`."""
     rows = proportional_sample(df, "is_val", "row_id", most_rows).cache()
     train, val = rows.where("not is_val"), rows.where("is_val")
+    fixed = SETTINGS | {"minInstancesPerNode": leaf_rows(train.count())} | settings
     judge = RegressionEvaluator(labelCol=y, metricName="rmse")
     best: dict = {"rmse": float("inf")}
     waited, began = 0, time.monotonic()
     for trial in trials(n):
-        model = GBTRegressor(featuresCol="features", labelCol=y, maxIter=rounds, **(SETTINGS | settings | trial)).fit(train)
+        model = GBTRegressor(featuresCol="features", labelCol=y, maxIter=rounds, **(fixed | trial)).fit(train)
         rmse = judge.evaluate(model.transform(val))
         if rmse < best["rmse"] - 1e-12:
             best, waited = {"rmse": rmse, **{k: round(v, 6) for k, v in trial.items()}}, 0
@@ -44,9 +44,3 @@ def tune(df: DataFrame, y: str, n: int = 10, rounds: int = 10, most_rows: int =
             break
     rows.unpersist()
     return best
-
-
-def sample_profile(df: DataFrame, group: str) -> DataFrame:
-    """Rows and share per group of a sample."""
-    n = max(1, df.count())
-    return df.groupBy(group).agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.lit(float(n)))

@@ -1,36 +1,56 @@
-"""Writers of validation results: strict JSON, a flat table, and a plain page."""
+"""Writers of validation results: strict JSON, a flat table, and a plain page with a section for each kind of label."""
 
 from __future__ import annotations
 
-import csv
 import html
-import os
+from functools import reduce
 
-from .tables import json_safe, write_json
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_COLUMNS = ("mae", "rmse", "r2", "pearson", "spearman", "top_decile_rmse", "n_positive", "hit_rate", "auroc", "average_precision")
+from .tables import json_safe, save_json
 
+#: Fixed column names of the table.
+FIRST = ["task", "labels", "n"]
+METRICS = ["mae", "rmse", "r2", "pearson", "spearman", "top_decile_rmse", "n_positive", "hit_rate", "auroc", "average_precision"]
 
-def performance_rows(report: dict) -> list[dict]:
-    """One row per task and kind of label."""
-    return [{"task": task, "labels": kind, **values} for kind in ("soft", "hard") for task, values in report.get(kind, {}).items()]
 
+def performance(spark: SparkSession, report: dict) -> DataFrame:
+    """One row per kind of label and task; metrics that a kind lacks are null, further ones follow by name."""
+    parts = []
+    for kind in ("soft", "hard"):
+        for task, found in json_safe(report.get(kind, {})).items():
+            values = {"task": task, "labels": kind, "n": found.get("n"), **{k: None if v is None else float(v) for k, v in found.items() if k != "n"}}
+            types = {"task": "string", "labels": "string", "n": "long"}
+            parts.append(spark.createDataFrame([tuple(values.values())], ", ".join(f"`{k}` {types.get(k, 'double')}" for k in values)))
+    if not parts:
+        return spark.createDataFrame([], "task string, labels string, n long")
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    known = [c for c in METRICS if c in every.columns]
+    return every.select(*(F.col(f"`{c}`") for c in [*FIRST, *known, *sorted(set(every.columns) - {*FIRST, *known})]))
+
+
+def page(report: dict, rows: list[dict]) -> str:
+    """The notes, and a table for each kind of label with the metrics that it has."""
+
+    def cell(v) -> str:
+        return "—" if v is None else f"{v:.4g}" if isinstance(v, float) else html.escape(str(v))
+
+    def section(kind: str) -> str:
+        own = [r for r in rows if r["labels"] == kind]
+        names = [c for c in (own[0] if own else {}) if any(r[c] is not None for r in own) and c != "labels"]
+        head = "".join(f"<th>{html.escape(c)}</th>" for c in names)
+        body = "".join("<tr>" + "".join(f"<td>{cell(r[c])}</td>" for c in names) + "</tr>" for r in own)
+        return f"<h2>{kind} labels</h2><table><tr>{head}</tr>{body}</table>" if own else ""
 
-def write_report(report: dict, folder: str) -> None:
-    """metrics.json, performance_table.csv and report.html."""
-    os.makedirs(folder, exist_ok=True)
-    report = json_safe(report)
-    write_json(f"{folder}/metrics.json", report)
-    rows = performance_rows(report)
-    extra = sorted({k for r in rows for k in r} - {"task", "labels", "n", *_COLUMNS})
-    names = ["task", "labels", "n", *_COLUMNS, *extra]
-    with open(f"{folder}/performance_table.csv", "w", newline="", encoding="utf-8") as f:
-        out = csv.DictWriter(f, names, restval="")
-        out.writeheader()
-        out.writerows(rows)
-    cell = lambda v: "—" if v is None else f"{v:.4g}" if isinstance(v, float) else html.escape(str(v))
-    table = "".join("<tr>" + "".join(f"<td>{cell(r.get(n))}</td>" for n in names) + "</tr>" for r in rows)
-    head = "".join(f"<th>{n}</th>" for n in names)
     notes = "".join(f"<li>{html.escape(x)}</li>" for x in report.get("notes", []))
-    with open(f"{folder}/report.html", "w", encoding="utf-8") as f:
-        f.write(f"<!doctype html><meta charset=utf-8><title>Validation</title><h1>Validation</h1><ul>{notes}</ul><table><tr>{head}</tr>{table}</table>")
+    return f"<!doctype html><meta charset=utf-8><title>Validation</title><h1>Validation</h1><ul>{notes}</ul>{section('soft')}{section('hard')}"
+
+
+def write_report(spark: SparkSession, report: dict, folder: str) -> None:
+    """metrics.json, performance_table.csv and report.html, each a table of one file wherever Spark writes."""
+    save_json(spark, f"{folder}/metrics.json", report)
+    table = performance(spark, report)
+    table.coalesce(1).write.mode("overwrite").csv(f"{folder}/performance_table.csv", header=True)
+    text = page(json_safe(report), [r.asDict() for r in table.collect()])  # a row a task
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/report.html")

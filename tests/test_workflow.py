@@ -66,7 +66,7 @@ def test_a_stream_scores_as_a_batch_does(spark, made, tmp_path):
     model, width = artifact.columns[0], artifact.width
     from sparkstill.functions import features
 
-    score = lambda df: model.student.transform(features.vectors(df, "text", "features", width)).select("row_id", "prediction")
+    score = lambda df: model.student.transform(features.featurized(df, "text", width)).select("row_id", "prediction")
     score_stream(spark, f"{tmp_path}/in", rows.schema, score, f"{tmp_path}/out", f"{tmp_path}/state")
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.join(score(rows.where("row_id < 30")).withColumnRenamed("prediction", "p"), "row_id").where("prediction = p").count() == 30
@@ -99,11 +99,29 @@ def test_readers(spark, tmp_path):
     assert tables.read_table(spark, f"{tmp_path}/a.parquet").count() == 5
     with pytest.raises(ValueError):
         tables.read_table(spark, f"{tmp_path}/a.xyz", strict=True)
-    numbered = tables.with_row_id(spark.range(100).repartition(7))
-    assert sorted(r["row_id"] for r in numbered.collect()) == list(range(100))
+    with pytest.raises(ValueError, match="files"):
+        tables.with_row_id(spark.range(100).repartition(7))
+    with pytest.raises(ValueError, match="shuffle"):
+        tables.with_row_id(spark.read.parquet(f"{tmp_path}/a.parquet").repartition(3))
     assert tables.json_safe({"a": float("nan"), "b": [1.5, float("inf")]}) == {"a": None, "b": [1.5, None]}
 
 
+def test_rows_are_numbered_in_the_order_of_the_files(spark, tmp_path):
+    """Files of unequal size: Spark reads large ones first and packs small ones together."""
+    sizes = {"a": 3, "b": 30_000, "c": 1, "d": 5000}
+    for name, n in sizes.items():
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.csv").write_text("key,v\n" + "".join(f"{name}{k},{k}\n" for k in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        rows = tables.with_row_id(spark.read.csv(f"{tmp_path}/in", header=True).select("key"))
+        got = [r["key"] for r in rows.orderBy("row_id").collect()]
+        assert sorted(r["row_id"] for r in rows.collect()) == list(range(len(got)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"{name}{k}" for name, n in sizes.items() for k in range(n)]
+
+
 def test_degenerate_metrics(spark):
     flat = spark.createDataFrame([(k, 1.0, float(k)) for k in range(5)], "row_id long, y double, p double")
     row = metrics.regression_metrics(flat, "y", "p").first()
@@ -133,13 +151,205 @@ def test_thinned_maps_stay_close(spark):
     assert calibrate.IsotonicMap.from_json(small.to_json()) == small
 
 
-def test_report_files(tmp_path):
+def _file(folder, name):
+    (found,) = glob.glob(f"{folder}/{name}/part-*")
+    return open(found, encoding="utf-8")
+
+
+def test_report_files(spark, tmp_path):
     from sparkstill.sources.reports import write_report
 
-    write_report({"soft": {"a": {"n": 3, "mae": float("nan"), "r2": 0.5}}, "hard": {"a": {"n": 3, "auroc": 1.0, "ef_top_0.1": 2.0}}, "notes": ["<b>"]}, str(tmp_path))
-    rows = list(csv.DictReader(open(tmp_path / "performance_table.csv")))
+    write_report(spark, {"soft": {"a": {"n": 3, "mae": float("nan"), "r2": 0.5}}, "hard": {"a": {"n": 3, "auroc": 1.0, "ef_top_0.1": 2.0}}, "notes": ["<b>"]}, str(tmp_path))
+    rows = list(csv.DictReader(_file(tmp_path, "performance_table.csv")))
     assert [r["labels"] for r in rows] == ["soft", "hard"] and rows[0]["mae"] == "" and rows[1]["ef_top_0.1"] == "2.0"
-    assert "&lt;b&gt;" in (tmp_path / "report.html").read_text()
+    text = _file(tmp_path, "report.html").read()
+    assert "&lt;b&gt;" in text and "<h2>soft labels</h2>" in text and "<h2>hard labels</h2>" in text
+    write_report(spark, {}, f"{tmp_path}/empty")
+    assert tables.load_json(spark, f"{tmp_path}/metrics.json")["soft"]["a"]["mae"] is None
+
+
+@pytest.fixture(scope="module")
+def staged(spark, made):
+    """A run whose stages are started one by one, each from the folder."""
+    folder, _, _ = made
+    at = f"{folder}/stages"
+    workflow.prepare(spark, at, f"{folder}/library.parquet", f"{folder}/soft.csv", f"{folder}/hard.tsv")
+    with pytest.raises(ValueError, match="not trained"):
+        workflow.export(workflow.Run.open(spark, at), f"{folder}/early")
+    with pytest.raises(ValueError, match="students"):
+        workflow.learn_hard(workflow.Run.open(spark, at))
+    found = workflow.tune_columns(workflow.Run.open(spark, at), 2, 2)
+    workflow.learn_soft(workflow.Run.open(spark, at), 3, maxDepth=3)
+    run = workflow.Run.open(spark, at)
+    assert run.column("c0")["settings"]["stepSize"] == found["activity_probability"]["stepSize"] and run.column("c0")["settings"]["maxDepth"] == 3
+    workflow.learn_hard(run, 3, 15)
+    return folder, at
+
+
+def test_stages_start_from_the_folder(spark, staged):
+    folder, at = staged
+    run = workflow.Run.open(spark, at)
+    c = run.column("activity_probability")
+    assert c["status"] == "blended" and c["n_train"] + c["n_val"] == c["n_finite"] == 160
+    assert run.manifest["hard_labels"]["n_rows"] == 54 and run.manifest["hard_labels"]["n_dropped"] == 0
+    assert {"r2", "rmse", "recall", "precision"} == set(c["gate"]) and "share_full" in c["similarity"]
+    with pytest.raises(ColumnError):
+        run.column("other")
+    with pytest.raises(FileExistsError):
+        workflow.prepare(spark, at, f"{folder}/library.parquet", f"{folder}/soft.csv")
+    made = workflow.export(run, f"{folder}/staged-model")
+    assert made.describe()["run"]["id"] == run.manifest["id"] and made.columns[0].trained["n_measured"] == 54
+    again = workflow.Run.open(spark, at)
+    again.manifest["id"] = "other"
+    with pytest.raises(ArtifactError, match="another run"):
+        workflow.export(again, f"{folder}/stale-model")
+    with pytest.raises(FileNotFoundError):
+        workflow.Run.open(spark, f"{folder}/nothing")
+
+
+def test_artifact_tells_about_itself(spark, made):
+    _, artifact, texts = made
+    assert len(artifact) == 1 and artifact.tasks == ["activity_probability"]
+    assert artifact.heads_for("activity_probability") == ["student", "hard"] and artifact.task_for("activity") == "activity_probability"
+    with pytest.raises(KeyError):
+        artifact.heads_for("x")
+    c = artifact.columns[0]
+    kinds = {r["curve"] for r in c.curves(spark).select("curve").distinct().collect()}
+    assert kinds == {"student", "head", "share"}
+    assert c.trees(spark).where("head = 'student'").count() == c.student.getNumTrees
+    rows = artifact.run(spark, [texts[0], "?", None]).orderBy("row_id").collect()
+    assert rows[0][2] == rows[0][2] and all(r[2] != r[2] for r in rows[1:])
+
+
+def test_prediction_moves_no_rows(spark, made):
+    _, artifact, texts = made
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, key string")
+    plan = artifact.transform(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_artifacts_of_other_fingerprints_or_without_models_are_refused(spark, made, tmp_path):
+    _, artifact, _ = made
+    artifact.save(spark, f"{tmp_path}/m")
+    meta = tables.load_json(spark, f"{tmp_path}/m/metadata")
+    for change, match in (({"featurizer": {"kind": "other", "width": 256}}, "fingerprints"), ({"featurizer": meta["featurizer"] | {"width": 128}}, "features"), ({"schema": "x"}, "schema"), ({"columns": [meta["columns"][0] | {"heads": ["student"]}]}, "heads"), ({"columns": meta["columns"] * 2}, "cannot be read")):
+        tables.save_json(spark, f"{tmp_path}/m/metadata", meta | change)
+        with pytest.raises(ArtifactError, match=match):
+            Artifact.load(spark, f"{tmp_path}/m")
+
+
+def test_a_gate_that_never_opens_is_an_error(spark, made):
+    import dataclasses
+
+    from sparkstill.plans.artifact import check_export
+
+    _, artifact, texts = made
+    shut = dataclasses.replace(artifact.columns[0], gate=dataclasses.replace(artifact.columns[0].gate, weights=[w * 0 for w in artifact.columns[0].gate.weights]), a_max=0.5)
+    rows = spark.createDataFrame(list(enumerate(texts[:5])), "row_id long, key string")
+    with pytest.raises(ArtifactError, match="never opens"):
+        check_export(dataclasses.replace(artifact, columns=[shut]), dataclasses.replace(artifact, columns=[shut]), rows)
+    with pytest.raises(ArtifactError, match="differ"):
+        check_export(artifact, dataclasses.replace(artifact, columns=[dataclasses.replace(artifact.columns[0], isotonic=calibrate.IsotonicMap([0.0], [7.0]))]), rows)
+
+
+def test_notes_on_what_a_table_says(spark, made, tmp_path):
+    folder, artifact, texts = made
+    (tmp_path / "none.csv").write_text("smiles,activity\n" + "".join(f"{t},\n" for t in texts[:4]))
+    report = workflow.validate(spark, artifact, None, f"{tmp_path}/none.csv")
+    assert not report["hard"] and any("no rows" in x for x in report["notes"])
+    again = workflow.validate(spark, artifact, None, f"{folder}/hard.tsv")
+    assert any("as many rows and positives" in x for x in again["notes"])
+
+
+def test_library_is_built_and_written(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("smiles,x\n" + "".join(f"t{k % 700},{k}\n" for k in range(1000)) + ",1\n")
+    found = tables.build_library(spark, f"{tmp_path}/in.csv", f"{tmp_path}/lib", distinct=True, limit=600)
+    assert [tuple(r) for r in found.orderBy("row_id").collect()] == [(k, f"t{k}") for k in range(600)]
+    assert tables.build_library(spark, f"{tmp_path}/in.csv", f"{tmp_path}/all").count() == 1000
+    tables.export_library(spark, f"{tmp_path}/lib", f"{tmp_path}/out", "smiles")
+    lines = [x for p in sorted(glob.glob(f"{tmp_path}/out/part-*")) for x in open(p).read().split()]
+    assert lines[0] == "smiles" and [x for x in lines if x != "smiles"] == [f"t{k}" for k in range(600)]
+
+
+def test_commands(spark, staged, tmp_path):
+    from sparkstill import cli
+
+    folder, _ = staged
+    for line in (
+        f"prepare --library {folder}/library.parquet --soft-labels {folder}/soft.csv --run-dir {tmp_path}/run",
+        f"learn-soft --run-dir {tmp_path}/run --rounds 2",
+        f"export --run-dir {tmp_path}/run --model {tmp_path}/model",
+        f"validate --model {tmp_path}/model --soft-labels {folder}/soft.csv --output {tmp_path}/report",
+        f"clean --run-dir {tmp_path}/run",
+    ):
+        cli.main(line.split())
+    assert not (tmp_path / "run").exists() and (tmp_path / "report" / "metrics.json").exists()
+    for bad in ("learn-soft", "unknown --run-dir x", "export --run-dir x"):
+        with pytest.raises(SystemExit):
+            cli.main(bad.split())
+
+
+def test_isotonic_fit_against_pooled_violators(spark):
+    """Ties in x, weights, and a falling map; the plain version pools neighbours until none falls."""
+    r = random.Random(8)
+    rows = [(float(r.randint(0, 60)), r.random() * 20, r.random() + 0.1) for _ in range(400)]
+    rows = [(x, y + x * 0.2, w) for x, y, w in rows]
+
+    def plain(points):
+        pools: list[list] = []
+        for x in sorted({p[0] for p in points}):
+            own = [p for p in points if p[0] == x]
+            pools.append([[x], sum(p[1] * p[2] for p in own), sum(p[2] for p in own)])
+            while len(pools) > 1 and pools[-2][1] / pools[-2][2] > pools[-1][1] / pools[-1][2]:
+                xs, s, w = pools.pop()
+                pools[-1] = [pools[-1][0] + xs, pools[-1][1] + s, pools[-1][2] + w]
+        return {x: s / w for xs, s, w in pools for x in xs}
+
+    df = spark.createDataFrame(rows, "x double, y double, w double")
+    for sign, given in ((1, rows), (-1, [(-x, y, w) for x, y, w in rows])):
+        found = calibrate.fit(df.withColumn("x", F.col("x") * sign), "x", "y", "w", sign="auto")
+        assert found.sign == sign
+        want = plain([(x * sign, y, w) for x, y, w in given])
+        got = {q["x"]: q["f"] for q in spark.createDataFrame([(x * sign,) for x in want], "x double").select("x", found.apply(F.col("x")).alias("f")).collect()}
+        assert all(abs(got[x * sign] - v) < 1e-3 for x, v in want.items())
+
+
+def test_long_maps_are_looked_up_in_two_steps(spark):
+    import numpy as np
+
+    xs = [float(x) for x in np.cumsum(np.random.default_rng(1).random(3000) + 1e-3)]
+    found = calibrate.IsotonicMap(xs, [x**0.5 for x in xs])
+    asked = [xs[0] - 1, xs[0], xs[1], (xs[63] + xs[64]) / 2, xs[-1], xs[-1] + 1, *np.linspace(xs[0], xs[-1], 500).tolist()]
+    got = [r["y"] for r in spark.createDataFrame([(k, float(x)) for k, x in enumerate(asked)], "k long, x double").select("k", found.apply(F.col("x")).alias("y")).orderBy("k").collect()]
+    assert np.allclose(got, np.interp(asked, xs, found.y))
+
+
+def test_row_numbers_of_tied_values(spark):
+    from sparkstill.operators.order import group_quantile, row_numbers
+
+    df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 10 < 9, 1.0).otherwise(F.col("id").cast("double")).alias("v"))
+    got = [r["id"] for r in row_numbers(df, "v", ["id"], descending=True).orderBy("rn").collect()]
+    assert got == sorted(range(3000), key=lambda k: (-(1.0 if k % 10 < 9 else float(k)), k))
+    q = {r["g"]: r["q"] for r in group_quantile(df.withColumn("g", F.col("id") % 3), "v", 0.93, ["g"], "q").collect()}
+    want = {r["g"]: r["q"] for r in df.withColumn("g", F.col("id") % 3).groupBy("g").agg(F.percentile("v", 0.93).alias("q")).collect()}
+    assert q.keys() == want.keys() and all(abs(q[k] - want[k]) < 1e-9 for k in q)
+
+
+def test_neighbours_against_brute_force(spark, monkeypatch):
+    from sparkstill.operators import similarity
+
+    r = random.Random(2)
+    sets = {k: sorted(r.sample(range(40), r.choice([0, 1, 3, 6]))) for k in range(300)}
+    labelled = [k for k in sets if k % 4 == 0]
+    df = spark.createDataFrame(list(sets.items()), "id long, bits array<int>")
+    want = set()
+    for q, x in sets.items():
+        found = sorted((-len(set(x) & set(sets[k])) / len(set(x) | set(sets[k])), k) for k in labelled if set(x) & set(sets[k]))[:3]
+        want |= {(q, k, -s, rank) for rank, (s, k) in enumerate(found, 1)}
+    for bytes_, rows in ((1 << 20, 2048), (500, 7)):
+        monkeypatch.setattr(similarity, "BYTES", bytes_)
+        monkeypatch.setattr(similarity, "ROWS", rows)
+        assert {tuple(x) for x in similarity.neighbours(df, df.where("id % 4 = 0"), 3).collect()} == want
 
 
 def test_samples_keep_their_shares(spark):
@@ -169,7 +379,7 @@ def test_weighting_modes(spark, mode, want):
         weights.strategy(flat, "y", "other")
 
 
-def test_inputs_of_a_prediction(spark):
+def test_inputs_of_a_prediction(spark, tmp_path):
     from pyspark.ml.linalg import Vectors
 
     from sparkstill.functions.inputs import as_queries, assert_library
@@ -179,7 +389,8 @@ def test_inputs_of_a_prediction(spark):
             as_queries(spark, bad)
     rows = as_queries(spark, (x for x in ["b", None, "a"])).orderBy("row_id").collect()
     assert [tuple(r) for r in rows] == [(0, "b"), (1, None), (2, "a")]
-    assert as_queries(spark, spark.createDataFrame([("x",)], ["t"])).first()["key"] == "x"
+    spark.createDataFrame([("x",)], ["t"]).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+    assert as_queries(spark, spark.read.parquet(f"{tmp_path}/t.parquet")).first()["key"] == "x"
     lib = spark.createDataFrame([(k, Vectors.sparse(4, [k], [1.0])) for k in range(3)], ["row_id", "features"])
     assert_library(lib, 3, 4)
     assert_library(lib.where("row_id < 2"), 3, 4, 2)
