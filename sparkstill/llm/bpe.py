@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 CHUNK, OVERLAP, SPREAD = 1 << 10, 1 << 7, 1 << 16
 _CODECS: dict = {}
@@ -129,6 +129,7 @@ def _digest_rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, chu
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(raw)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+@tidy
 def encode_pieces(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, row, k, n, ids (decimal, by commas) and decoded bytes of each piece of each text of docs (doc_id, text), dealt over tasks."""
     spark = docs.sparkSession
@@ -147,6 +148,7 @@ def encode_pieces(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK,
     return coded.join(rows.select("row", "doc_id"), "row")
 
 
+@tidy
 def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

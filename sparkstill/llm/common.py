@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +30,57 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: The tables that are cut, of each function that tidies up and is running, innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and return the table: its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession, paths: list[str], unless_read_by: tuple = ()) -> list[str]:
+    """Delete tables that none of some DataFrames reads; returns the others."""
+    files = [f for x in unless_read_by if isinstance(x, DataFrame) for f in x.inputFiles()]
+    left = []
+    for path in paths:
+        if any(f"/{path.rsplit('/', 1)[1]}/" in f for f in files):
+            left.append(path)
+        else:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return left
+
+
+@contextmanager
+def scope():
+    """The paths of the tables that are cut inside."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        _SCOPES.pop()
+
+
+def tidy(f):
+    """f, whose first argument is a DataFrame, with the tables deleted that it cuts and that what it returns does not read."""
+
+    @wraps(f)
+    def run(df: DataFrame, *args, **options):
+        with scope() as paths:
+            found = f(df, *args, **options)
+        left = free(df.sparkSession, paths, found if isinstance(found, tuple) else (found,))
+        if _SCOPES:
+            _SCOPES[-1].extend(left)
+        return found
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -67,15 +113,6 @@ def small(table: DataFrame, most: int = 64 << 20) -> DataFrame:
     return F.broadcast(table) if (table.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else table
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete cut tables that nothing will read again."""
-    for table in tables:
-        spark = table.sparkSession
-        for folder in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def whole_row(docs: DataFrame, **named: str) -> DataFrame:
     """A struct `row` of all columns of docs, and the named ones beside it, so that no name clashes."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(F.col(f"`{c}`").alias(k) for k, c in named.items()))

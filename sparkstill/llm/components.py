@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 
+@tidy
 def components(edges: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
     """`node`, `root`: of each node in `edges` (a, b) the smallest node it reaches, itself included.
 

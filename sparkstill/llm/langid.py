@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held
+from .common import cut, held, tidy
 
 ORDER, PER_LANG, UNKNOWN = 3, 1500, "und"
 #: Of a stage's cut-offs: share of the median rate, quartile distances, share of the median lead.
@@ -228,6 +228,7 @@ def cutoffs(found: DataFrame) -> DataFrame:
     return one.select("known", (r[0] + F.greatest(SLACK * r[0], SPREAD * (r[1] - r[0]))).alias("most"), (LEAD * F.col("l")).alias("least"))
 
 
+@tidy
 def accept(docs: DataFrame, model: dict, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents in a learned language, with their own columns.
 

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, drop, let, small, unpacked, whole_row
+from .common import SPACE, cut, let, small, tidy, unpacked, whole_row
 
 SHINGLE, THRESHOLD, BUCKETS = 5, 0.8, 8192
 WORD = r"[^\x20\x09-\x0D]"
@@ -94,6 +94,7 @@ def _may_match(x: Column, y: Column, before: Column, threshold: float) -> Column
     return (F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9) & (before + 1 + F.least(a - place(x) - 1, b - place(y) - 1) >= overlap)
 
 
+@tidy
 def shared_postings(reps: DataFrame) -> DataFrame:
     """token, a line's position, one (its size and the token's place, as size << 32 | place) and first (position and one of the token's first line), for tokens of two lines or more.
 
@@ -104,10 +105,8 @@ def shared_postings(reps: DataFrame) -> DataFrame:
     postings = reps.select(*_POSITION, one.alias("one"), F.posexplode("prefix").alias("i", "token")).select("token", *_POSITION, (F.col("one") + F.col("i")).alias("one"))
     shared = cut(postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "line-shared")
     listed = cut(postings.join(small(shared), "token"), "line-listed")
-    drop(shared)
     first = listed.groupBy("token").agg(F.min(F.struct(*_POSITION, "one")).alias("first"))
     found = cut(listed.join(first, "token").select("token", F.struct(*_POSITION).alias("p"), "one", F.struct(*(f"first.{c}" for c in _POSITION)).alias("first"), F.col("first.one").alias("first_one")), "line-postings")
-    drop(listed)
     return found
 
 
@@ -127,6 +126,7 @@ def _of(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
     return docs.join(small(lists), docs["doc_id"].eqNullSafe(lists["id"]) & (docs["t"] == lists["u"]), how)
 
 
+@tidy
 def tokens_of(docs: DataFrame, positions: DataFrame) -> DataFrame:
     """p (a position), tokens and two parities of the lines at some positions, once for rows that are repeated."""
     wanted = listed(positions, "wanted")
@@ -135,7 +135,6 @@ def tokens_of(docs: DataFrame, positions: DataFrame) -> DataFrame:
     split_ = some.select(F.struct(*_POSITION).alias("p"), line_words(F.get("l", F.col("line_no"))).alias("w"))
     with_parity = let(shingles(F.col("w")), lambda v: F.struct(v.alias("tokens"), parity(v, 0).alias("even"), parity(v, 8).alias("odd")))
     found = cut(split_.select("p", with_parity.alias("v")).select("p", "v.*"), "line-tokens")
-    drop(wanted)
     return found
 
 
@@ -148,6 +147,7 @@ def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFram
     return cut(found, "line-found")
 
 
+@tidy
 def similar_to_earlier(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """x: positions of the representatives that have an earlier similar line."""
     shared = shared_postings(reps)
@@ -169,8 +169,7 @@ def similar_to_earlier(docs: DataFrame, reps: DataFrame, threshold: float = THRE
     once = F.array_min(F.array_intersect("x.mine", "y.mine")) == F.col("x.token")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & may & once).select(F.col("x.p").alias("x"), F.col("y.p").alias("y"))
     more = _verified(cut(rest, "line-pairs"), tokens, threshold)
-    drop(shared, tokens, others)
-    return found.union(more).distinct()
+    return cut(found.union(more).distinct(), "line-gone")
 
 
 def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -194,7 +193,6 @@ def _rebuilt(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> D
     reps = cut(representatives(line_sets(texts, rarity(texts), threshold)), "line-representatives")
     gone = similar_to_earlier(texts, reps, threshold).select(F.col("x").alias("p"))
     kept = listed(reps.select(F.struct(*_POSITION).alias("p")).join(gone, "p", "left_anti").select("p.*"), "kept")
-    drop(reps)
     joined = _of(base, kept, "left")
     blank = r"^[\x20\x09-\x0D]*$"
 
@@ -207,12 +205,14 @@ def _rebuilt(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> D
     return joined.select("row", "doc_id", "text", let(F.split(F.coalesce("text", F.lit("")), "\n"), rebuilt).alias("lines"))
 
 
+@tidy
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with later similar lines removed from the text."""
     text = F.when(F.col("text").isNotNull(), F.col("lines.text"))
     return unpacked(_rebuilt(docs, threshold, id_col, text_col), docs, **{text_col: text})
 
 
+@tidy
 def dedup_counts(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the text that is left, n_lines and n_removed."""
     rows = _rebuilt(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), threshold, "doc_id", "text")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 from .tokens import encoded
 
 #: SALTED: pieces of one length that are ranked together, about.
@@ -222,6 +222,7 @@ def _salts(histogram: dict[int, int]) -> dict[int, int]:
     return {k: -(-n // SALTED) for k, n in histogram.items()}
 
 
+@tidy
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, **columns: str) -> DataFrame:
     """The pieces of docs with sequence_id and offset (gapless from 0 in each sequence)."""
     rows = cut(pieces(docs, vocabulary, capacity, **columns).withColumn("draw", F.xxhash64(F.rand(42))), "pieces")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held
+from .common import cut, held, tidy
 
 NAMES = ["words", "word_length", "upper", "symbols", "marks", "bars", "digits", "new_words", "runs", "line_words", "short_words"]
 SHRINK_POOLED, SHRINK_DIAGONAL, RIDGE, TEMPER = 0.1, 0.05, 0.02, 0.25
@@ -113,6 +113,7 @@ def scores(model: dict, x):
     return 1 / (1 + np.exp(-np.clip(gap, -700, 700)))
 
 
+@tidy
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     rows = cut(features(docs, id_col, text_col), "quality-features")

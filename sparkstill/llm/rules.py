@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let, unpacked, whole_row, words
+from .common import cut, let, tidy, unpacked, whole_row, words
 
 SYMBOLS, MARKS = "#*$%&|<>", "!"
 #: Share of rows that an estimate rests on, concentration steps, and the share that fits in the last one.
@@ -190,6 +190,7 @@ def distance(mu: Column, inv: Column, x: list[Column]) -> Column:
     return sum((inv[i][j] * off[i] * off[j] for i in range(len(x)) for j in range(len(x))), F.lit(0.0))
 
 
+@tidy
 def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
     """lang, source, mu, inv for every group of rows (lang, source, base_failed, x0..x5) that has one, and how many groups there are."""
     table = cut(groups(rows), "rule-groups")
@@ -229,12 +230,14 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col
     return with_stats(base).select("doc_id", "lang", "source", "stats.*")
 
 
+@tidy
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, the statistics, base_failed and kept of every document; texts are read once."""
     rows = cut(_rows(docs, id_col, text_col, lang_col, source_col), "rule-stats")
     return _verdict(rows, *estimates(rows)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@tidy
 def accept(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns: texts are read once, and written with their statistics."""
     rows = cut(with_stats(whole_row(docs, text="text", lang="lang", source="source")).drop("text"), "rule-rows")

@@ -22,12 +22,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, small
+from .common import cut, shared_dir, small, tidy
 
 #: Bytes that a record takes besides its text.
 ROW_BYTES = 16
 
 
+@tidy
 def records(docs: DataFrame, n_slots: int = 4096, n_cells: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, vslot and cell (a fixed part of a slot, so that no slot is counted in one task)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -119,6 +120,7 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("place")).cast("long").alias("slot"), "vslot", "version")
 
 
+@tidy
 def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = 4096, n_cells: int = 16, folder: str | None = None, **columns: str) -> tuple[DataFrame, DataFrame]:
     """The records with their shard and place in it, and the map that was used: the first version, kept in `folder`."""
     rows = cut(records(docs, n_slots, n_cells, **columns), "shard-records")
