@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 from .common import cut, held, tidy
 
 NAMES = ["words", "word_length", "upper", "symbols", "marks", "bars", "digits", "new_words", "runs", "line_words", "short_words"]
-SHRINK_POOLED, SHRINK_DIAGONAL, RIDGE, TEMPER = 0.1, 0.05, 0.02, 0.25
+#: Shares of the pooled covariance and of its diagonal in a class's own, and a standard deviation that is added to each statistic.
+SHRINK_POOLED, SHRINK_DIAGONAL, RIDGE = 0.1, 0.05, 0.02
+#: The statistics are not independent and not quite normal, which makes log densities differ too much: this share of the difference counts.
+TEMPER = 0.25
 _SYMBOLS, _MARKS, _BARS = b"#*$%&<>~^_=\\@", b"!?", b"|"
 
 
@@ -99,7 +102,8 @@ def fit(labelled: DataFrame) -> dict:
     scale = np.diag(np.diag(pooled) + RIDGE**2)
     cov = (1 - SHRINK_POOLED - SHRINK_DIAGONAL) * cov + SHRINK_POOLED * pooled + SHRINK_DIAGONAL * scale + RIDGE**2 * np.eye(d)
     factor = np.linalg.cholesky(cov)
-    return {"share": float(n[1] / n.sum()), "mean": mean, "factor": factor, "log_det": 2 * np.log(np.diagonal(factor, axis1=1, axis2=2)).sum(1)}
+    # the factors are triangular and inverted once; a batch is multiplied by the inverse
+    return {"share": float(n[1] / n.sum()), "mean": mean, "inverse": np.linalg.inv(factor), "log_det": 2 * np.log(np.diagonal(factor, axis1=1, axis2=2)).sum(1)}
 
 
 def scores(model: dict, x):
@@ -108,7 +112,7 @@ def scores(model: dict, x):
 
     if "mean" not in model:
         return np.full(len(x), model["share"])
-    density = [-0.5 * (np.linalg.solve(model["factor"][c], (x - model["mean"][c]).T) ** 2).sum(0) - 0.5 * model["log_det"][c] for c in (0, 1)]
+    density = [-0.5 * (((x - model["mean"][c]) @ model["inverse"][c].T) ** 2).sum(1) - 0.5 * model["log_det"][c] for c in (0, 1)]
     gap = TEMPER * (density[1] - density[0]) + np.log(model["share"] / (1 - model["share"]))
     return 1 / (1 + np.exp(-np.clip(gap, -700, 700)))
 

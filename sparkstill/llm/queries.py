@@ -59,10 +59,33 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read(spark, binary.write(documents(spark, sf_dir), VOCABULARY))
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2's base rules count in every text."""
+    found = rules.with_stats(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", *(f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")))
+
+
+def shard_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes that op8 deals."""
+    return sharding.records(documents(spark, sf_dir)).select("doc_id", "size")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_bpe, op6_winnowing, op7_language, op8_sharding, op9_simhash, op10_bit_planes)
+    for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_bpe, op6_winnowing, op7_language, op8_sharding, op9_simhash, op10_bit_planes, quality_statistics, shard_records)
 }
 
-#: None of the ten has an oracle in SQL: each rests on hashes, libraries or iterations that SQL has no functions for, or is too slow there over whole tables.
-ORACLE_SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]"
+
+#: None of the ten as a whole has an oracle in SQL: each rests on hashes, libraries or iterations that SQL has no functions for, or is too slow there over whole tables. Two of their parts have.
+ORACLE_SQL: dict[str, str] = {
+    "quality_statistics": rf"""with d as (select row_number() over () k, doc_id, coalesce(text, '') t from documents),
+w as (select *, regexp_extract_all(t, '{_WORD}+') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) l from d),
+g as (select k, unnest(range(1, len(w) - 1)) i, w from w where len(w) >= 3),
+h as (select k, i, count(*) over (partition by k, w[i], w[i + 1], w[i + 2]) n from g),
+r as (select k, count(distinct i + j) n from h, (select unnest([0, 1, 2]) j) where n > 1 group by k),
+s as (select doc_id, cast(len(w) as bigint) n_words, cast(length(array_to_string(w, '')) as bigint) word_chars, cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) n_symbols,
+  cast(len(l) - len(list_distinct(l)) as bigint) n_dup_lines, coalesce(r.n, 0) n_repeat_words from w left join r using (k))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from s""",
+    "shard_records": "select doc_id, cast(octet_length(encode(coalesce(text, ''))) + 16 as bigint) size from documents",
+}

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GRAM, WINDOW = 24, 40
+#: Texts that share a run of GRAM + WINDOW - 1 = 35 code points share a chosen hash; a hash in 12 or 13 code points is chosen.
+GRAM, WINDOW = 12, 24
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 TYPE = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from xxhash import xxh64_intdigest
 
-from sparkstill.llm import langid, lines, quality, rules, sharding, simhash, winnowing
+from sparkstill.llm import langid, lines, quality, queries, rules, sharding, simhash, winnowing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BIG = "/root/testdata/sf0.01"
@@ -111,6 +111,30 @@ def test_quality_on_held_out_labels(spark):
     assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.93 * len(rows)
 
 
+def test_quality_against_plain_numpy(spark):
+    """Scores of every document from densities that are computed one by one."""
+    import numpy as np
+
+    docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
+    x = {r["doc_id"]: np.array(quality.statistics(r["text"])) for r in docs.collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    taught = [(r["doc_id"], r["quality"]) for r in labels.collect() if r["quality"] in (0, 1) and r["doc_id"] in x and not held(r["doc_id"])]
+    sets = [np.array([x[i] for i, y in taught if y == c]) for c in (0, 1)]
+    own = [np.cov(s.T, bias=True) for s in sets]
+    pooled = sum(len(s) * c for s, c in zip(sets, own, strict=True)) / len(taught)
+    d = len(quality.NAMES)
+    classes = []
+    for s, c in zip(sets, own, strict=True):
+        c = (1 - quality.SHRINK_POOLED - quality.SHRINK_DIAGONAL) * c + quality.SHRINK_POOLED * pooled
+        c += quality.SHRINK_DIAGONAL * np.diag(np.diag(pooled) + quality.RIDGE**2) + quality.RIDGE**2 * np.eye(d)
+        classes.append((s.mean(0), np.linalg.inv(c), np.linalg.slogdet(c)[1]))
+    share = len(sets[1]) / len(taught)
+    for r in quality.classify(docs, labels).collect():
+        low, high = (-0.5 * (x[r["doc_id"]] - m) @ i @ (x[r["doc_id"]] - m) - 0.5 * g for m, i, g in classes)
+        want = 1 / (1 + np.exp(-np.clip(quality.TEMPER * (high - low) + np.log(share / (1 - share)), -700, 700)))
+        assert r["score"] == pytest.approx(want, abs=1e-6) and r["held_out"] == held(r["doc_id"]) and r["predicted"] == (r["score"] >= 0.7)
+
+
 def test_quality_edges(spark, docs, nothing):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (5, 7)], "doc_id long, quality int")
     found = quality.classify(docs, labels).collect()
@@ -158,6 +182,16 @@ def test_lines_against_brute_force(spark):
     assert sorted(map(tuple, got)) == _brute_lines(rows)
 
 
+def test_line_counts_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    found = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup_counts(docs).collect()}
+    for i, left in _brute_lines(rows):
+        n = len(dict(rows)[i].split("\n"))
+        n_left = 0 if found[i][2] == n else len(left.split("\n"))
+        assert found[i] == (left, n, n - n_left)
+
+
 def test_lines_edges(docs, texts, nothing):
     out = lines.dedup(docs)
     assert out.columns == docs.columns and out.count() == len(texts)
@@ -210,17 +244,32 @@ def test_simhash_links_are_complete(spark):
 
 
 def test_winnowing(docs, texts):
-    found = winnowing.next_edits(docs.where("doc_id <> 1004")).collect()
-    rows = sorted(((i, x or "") for i, x in texts if i != 1004), reverse=True)
-    assert len(found) == len(rows)
-    got = {r["doc_id"]: r for r in found}
+    """Every column against a plain version; one id is there twice, with one text."""
+    found = winnowing.next_edits(docs).collect()
+    rows = sorted(((i, x or "") for i, x in texts), reverse=True)
+    chosen = lambda x: {y.split(":")[1] for y in winnowing.fingerprint(x)[0].split()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want = Counter()
     for k, (i, x) in enumerate(rows):
         other = rows[(k + 1) % len(rows)][1]
         half = len(x) // 2
         edited = x[: len(x) - half] + other[:half]
-        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert got[i]["fingerprint"] == winnowing.fingerprint(x)[0]
-        assert got[i]["n_chars"] == len(x)
+        near = (round(like(chosen(x), chosen(edited)), 9), round(like(chosen(x), chosen(other)), 9))
+        want[i, len(x), hashlib.sha256(edited.encode()).hexdigest(), winnowing.fingerprint(x)[0], winnowing.fingerprint(edited)[0], *near] += 1
+    assert Counter((*tuple(r)[:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in found) == want
+
+
+def test_winnowing_guarantee():
+    """A run of GRAM + WINDOW - 1 code points in two texts gives a chosen hash that both have."""
+    import random
+
+    r = random.Random(5)
+    make = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    for _ in range(200):
+        run = make(winnowing.GRAM + winnowing.WINDOW - 1)
+        a, b = (make(r.randint(0, 200)) + run + make(r.randint(0, 200)) for _ in range(2))
+        (_, x), (_, y) = winnowing.fingerprint(a), winnowing.fingerprint(b)
+        assert winnowing.likeness(x, y) > 0
 
 
 @pytest.mark.parametrize("text", ["", "a", "abcdef" * 3, "abc " * 200, "".join(chr(97 + k * k % 26) for k in range(700))])
@@ -369,3 +418,16 @@ def test_growing_moves_slots_into_the_new_shard_only(docs):
 
 def test_sharding_of_nothing(nothing):
     assert sharding.shard(nothing, 5, 256)[0].count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_parts_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{BIG}/documents.parquet'")
+    got, want = queries.QUERIES[name](spark, BIG), con.sql(queries.ORACLE_SQL[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(tuple(r[k] for k in at) for r in want.fetchall())
