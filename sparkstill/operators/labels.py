@@ -73,3 +73,11 @@ def library_overlap(queries: DataFrame, library: DataFrame, key: str) -> DataFra
     """share of the query rows (repeats count) whose key is in the library."""
     known = library.select(key).distinct().withColumn("_in", F.lit(1.0))
     return queries.select(key).join(known, key, "left").agg(F.avg(F.coalesce("_in", F.lit(0.0))).alias("share"))
+
+
+def align_scores(scores: DataFrame, targets: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Scores with the target of the same row; targets may go on after them, scores of rows without a target are an error."""
+    beyond = scores.join(targets.select(row_id), row_id, "left_anti").limit(1).count()
+    if beyond:
+        raise ValueError("there are scores of rows that have no target")
+    return scores.join(targets, row_id)

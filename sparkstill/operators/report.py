@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import digitize, equal_width_bin, normal_quantile
@@ -72,3 +72,14 @@ def enrichment_sweep(df: DataFrame, y: str, score: str, row_id: str, points: int
     sums = rows.agg(*(F.coalesce(F.sum(F.when(F.col("rn") <= k, F.col("y"))), F.lit(0)).alias(f"h{i}") for i, k in enumerate(ks)))
     table = sums.select(F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.col(f"h{i}").alias("hits")) for i, k in enumerate(ks)))).alias("e")).select("e.*")
     return table.withColumn("ef", F.try_divide(F.col("hits") / F.col("k"), F.lit(positive / n if n else 0.0)))
+
+
+def residual_density(df: DataFrame, y: str, p: str, n_bins: int = 45) -> DataFrame:
+    """bx, by_, n: counts over rectangles of the prediction and its residual; empty ones are left out."""
+    return density_grid(df.select(F.col(p).alias("_x"), (F.col(p) - F.col(y)).alias("_r")), "_x", "_r", n_bins)
+
+
+def calibration_map(spark: SparkSession, found) -> DataFrame | None:
+    """x, y: the anchors of a monotone map; None for fewer than two."""
+    rows = [(float(a), float(b)) for a, b in zip(found.x, found.y, strict=True)]
+    return spark.createDataFrame(rows, "x double, y double") if len(rows) > 1 else None

@@ -15,6 +15,8 @@ from .student import SETTINGS, leaf_rows
 
 #: Fixed ranges of the search.
 RATE, GAIN = (0.05, 0.3), (0.0, 5.0)
+#: Settings that a search may give.
+TUNED = ("stepSize", "minInfoGain")
 
 
 def trials(n: int, seed: int = 42) -> list[dict]:

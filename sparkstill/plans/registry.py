@@ -16,6 +16,7 @@ from ..functions import features, scalars, schema
 from ..operators import calibrate, labels, metrics, order, report, similarity, split, student, weights
 from ..operators.gate import fit_gate
 from ..operators.order import average_ranks
+from ..sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -224,9 +225,9 @@ def isotonic_apply(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.round(found.apply(v), 6).alias("y"))
 
 
-@query("select cast(o_custkey as double) x, round(avg(o_totalprice),4) y, cast(count(*) as double) w from orders group by 1")
+@query("select cast(o_custkey as double) x, round(avg(o_totalprice),8) y, cast(count(*) as double) w from orders group by 1")
 def tied_group_mean(spark, sf_dir):
-    return rounded(calibrate.tied_means(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice"), 4)
+    return rounded(calibrate.tied_means(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice"), 8)
 
 
 BITS = """f as (select vec_id id, label, i from (select vec_id, label, unnest(embedding) e, generate_subscripts(embedding,1) i from embeddings) where e > 0),
@@ -533,3 +534,63 @@ def artifact_roundtrip(spark, sf_dir):
     loaded = Artifact.load(spark, folder)
     check_parity(made.transform(docs), loaded.transform(docs), ["chars"])
     return loaded.transform(docs).select("row_id", "chars")
+
+
+DRAW = "('0x'||substr(md5('42|'||{}),1,8))::bigint/4294967296e0"
+
+
+@query(f"""with r as (select o_orderkey row_id, {DRAW.format('o_orderkey')} u from orders), n as (select count(*) n, least(50000, greatest(1, count(*)//10)) k from r)
+select row_id, u < k/n::double is_val from r, n""")
+def hold_out(spark, sf_dir):
+    return split.hold_out(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id")), "row_id")
+
+
+@query(f"with {TEACHER}, r as (select *, {DRAW.format('row_id')} u from b) select row_id, round(y,6) y, round(p,6) p from r where u < 1000e0/(select count(*) from r) or (select count(*) from r) <= 1000")
+def joint_sample(spark, sf_dir):
+    """About 1000 orders, with value and prediction sampled alike."""
+    return rounded(split.joint_sample(teacher(spark, sf_dir).select("row_id", "y", "p"), "row_id", 1000))
+
+
+@query(f"with {TEACHER}, h as (select o_custkey row_id, avg(o_totalprice)/1000e0 g from orders group by 1) select row_id, round(g,10) g, round(y,10) y from h join b using (row_id)")
+def align_scores(spark, sf_dir):
+    """A score for the customers that are order ids too, paired with the teacher's value of that row."""
+    scores = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("row_id")).agg((F.avg("o_totalprice") / F.lit(1000.0)).alias("g"))
+    targets = teacher(spark, sf_dir).select("row_id", "y")
+    return rounded(labels.align_scores(scores.join(targets.select("row_id"), "row_id", "left_semi"), targets), 10)
+
+
+@query(f"with {TEACHER}, r as (select p, p-y e from b), m as (select min(p) a, max(p) b, min(e) c, max(e) d from r) select {_bin_sql('p', 'a', 'm.b', 45)} bx, {_bin_sql('e', 'c', 'd', 45)} by_, count(*) n from r, m group by 1, 2")
+def residual_density(spark, sf_dir):
+    return report.residual_density(teacher(spark, sf_dir), "y", "p")
+
+
+@query("select row_number() over () - 1 row_id, l_orderkey, l_linenumber from lineitem")
+def positional_ids(spark, sf_dir):
+    """The rows of the largest table, numbered as they stand in its files."""
+    return tables.with_row_id(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
+
+
+@query("select cast(o_orderkey as varchar) as key, case when o_orderkey % 7 <> 0 then round(o_totalprice,2) end score from orders")
+def prediction_sink(spark, sf_dir):
+    """Predictions written as comma-separated text, with empty cells for NaN, and read again."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderkey").cast("string").alias("key"), F.when(F.col("o_orderkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.round("o_totalprice", 2)).alias("score"))
+    folder = tables.shared_folder(spark, "predictions")
+    tables.write_predictions(rows, folder)
+    return spark.read.schema("key string, score double").csv(folder, header=True)
+
+
+@query("select row_number() over () - 1 row_id, c_name as key, round(cast(c_acctbal as float)::double,2) c_acctbal from customer")
+def label_scan(spark, sf_dir):
+    """A label table written as tab-separated text, read by its suffix with row ids, key and values."""
+    path = tables.shared_folder(spark, "labels") + ".tsv"
+    table(spark, sf_dir, "customer").select(F.col("c_name").alias("smiles"), "c_acctbal", "c_mktsegment").coalesce(1).write.csv(path, header=True, sep="\t")
+    return rounded(tables.read_labels(spark, path, None, ["c_acctbal"]).withColumn("c_acctbal", F.col("c_acctbal").cast("double")), 2)
+
+
+@query("with t as (select p_type t, min(rn) rn from (select p_type, row_number() over () rn from part) group by 1) select row_number() over (order by rn) - 1 row_id, t as text from t")
+def library_build(spark, sf_dir):
+    """A library of the distinct part types in the order in which they come first."""
+    folder = tables.shared_folder(spark, "parts")
+    table(spark, sf_dir, "part").select(F.col("p_type").alias("smiles")).coalesce(1).write.parquet(f"{folder}.parquet")
+    return tables.build_library(spark, f"{folder}.parquet", f"{folder}-library", "smiles", distinct=True)
+

@@ -120,9 +120,10 @@ def tune_columns(run: Run, n: int = 10, rounds: int = 10, **settings) -> dict[st
     return {c["name"]: c["tuned"] for c in run.manifest["columns"]}
 
 
-def tuned_settings(c: dict, given: dict) -> dict:
-    """Settings of a column's trees: what is given goes before what was tuned."""
-    return {k: v for k, v in c.get("tuned", {}).items() if k != "rmse"} | given
+def tuned_settings(run: Run, c: dict, given: dict) -> dict:
+    """Settings of a column's trees: what is given goes before what was tuned for the column, or else for the run; other keys are dropped."""
+    found = c.get("tuned") or run.manifest.get("tuned") or {}
+    return {k: v for k, v in found.items() if k in tune.TUNED} | given
 
 
 def learn_soft(run: Run, rounds: int = 20, weighting: str = "auto", **settings) -> None:
@@ -133,7 +134,7 @@ def learn_soft(run: Run, rounds: int = 20, weighting: str = "auto", **settings)
         weight = None
         if chosen != "none":
             rows, weight = (weights.apply_bin_weights(rows, "y") if chosen == "bins" else _with_density(rows)), "weight"
-        used = tuned_settings(c, settings)
+        used = tuned_settings(run, c, settings)
         fitted = student.fit_student(rows, "y", "is_val", weight, rounds, **used)
         raw = fitted.raw(rows.where("is_val"), "p")
         c |= {"metrics": json_safe(metrics.regression_metrics(raw, "y", "p").first().asDict()), "best_iteration": fitted.best_iteration, "weighting": chosen, "settings": used}
@@ -165,7 +166,8 @@ def learn_hard(run: Run, rounds: int = 10, epochs: int = 15, **settings) -> None
         column, measured = _trained(run, c), run.measured(c)
         column.head = student.fit_head(measured, "label", rounds, **settings)
         rows = run.rows(c).where(F.size("pairs") > 0)
-        scored = student.head_score(column.head, rows, "g").where(finite(F.col("g")) & finite(F.col("y"))).cache()
+        heads = student.head_score(column.head, rows.drop("y"), "g")
+        scored = labels.align_scores(heads, rows.select("row_id", "y")).where(finite(F.col("g")) & finite(F.col("y"))).cache()
         column.head_map = student.fit_head_map(scored, "g", "y")
         mapped = scored.withColumn("p", column.head_map.apply(F.col("g")))
         fit = metrics.regression_metrics(mapped, "y", "p").first()
