@@ -181,8 +181,10 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = whole_row(docs, doc_id=id_col, text=text_col)
     h = F.xxhash64("text")
     ids = base.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(h).alias("a"), F.max(h).alias("b")).where("n > 1")
-    ids = small(cut(ids.select(F.col("doc_id").alias("id"), F.lit(True).alias("again"), (F.col("a") != F.col("b")).alias("many")), "line-shared-ids"))
-    found = base.join(ids, base["doc_id"].eqNullSafe(ids["id"]), "left")
+    ids = cut(ids.select(F.col("doc_id").alias("id"), F.lit(True).alias("again"), (F.col("a") != F.col("b")).alias("many")), "line-shared-ids")
+    if not ids.limit(1).count():  # no id is repeated: nothing to look up
+        return base.select("row", "doc_id", F.lit(0).cast("long").alias("t"), F.lit(False).alias("again"), "text")
+    found = base.join(small(ids), base["doc_id"].eqNullSafe(ids["id"]), "left")
     return found.select("row", "doc_id", F.when(F.col("many"), h).otherwise(0).alias("t"), F.coalesce("again", F.lit(False)).alias("again"), "text")
 
 
