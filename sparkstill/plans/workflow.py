@@ -174,7 +174,7 @@ def learn_hard(run: Run, rounds: int = 10, epochs: int = 15, **settings) -> None
         near = similarity.nearest(*(x.select(F.col("row_id").alias("id"), features.bits(F.col("pairs")).alias("bits")) for x in (rows, measured))).cache()
         pairs = rows.select("row_id", F.col("pairs").alias("features"))
         sample = split.hold_out(pairs.join(near.withColumnRenamed("id", "row_id"), "row_id"), "row_id").cache()
-        column.gate = fit_gate(sample, "sim", width, (32, 16), epochs)
+        column.gate = fit_gate(sample, "sim", width, epochs=epochs)
         held = sample.where("is_val").select(F.col("sim").alias("y"), column.gate.predict(F.col("features")).alias("p"))
         quality = metrics.regression_metrics(held, "y", "p").first().asDict() | similarity.gate_quality(held, "y", "p").first().asDict()
         reached = similarity.reach(near).first().asDict()
