@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, bpe, langid, lines, packing, quality, rules, sharding, simhash, winnowing
+from . import binary, bpe, langid, lines, merkle, packing, quality, rules, sharding, simhash, winnowing
 from .common import documents, held
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +59,10 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read(spark, binary.write(documents(spark, sf_dir), VOCABULARY))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(merkle.manifest(documents(spark, sf_dir)))
+
+
 def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2's base rules count in every text."""
     found = rules.with_stats(documents(spark, sf_dir).select("doc_id", "text"))
@@ -72,13 +76,40 @@ def shard_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_bpe, op6_winnowing, op7_language, op8_sharding, op9_simhash, op10_bit_planes, quality_statistics, shard_records)
+    for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_bpe, op6_winnowing, op7_language, op8_sharding, op9_simhash, op10_bit_planes, op13_merkle, quality_statistics, shard_records)
 }
 
 _WORD = r"[^\x20\x09-\x0D]"
 
-#: None of the ten as a whole has an oracle in SQL: each rests on hashes, libraries or iterations that SQL has no functions for, or is too slow there over whole tables. Two of their parts have.
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: crc32 of a decimal number, bit by bit.
+_CRC = """list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::bigint * (x & 1))))"""
+
+_MERKLE = f"""with recursive d as (select *, row_number() over () id from documents),
+e as (select id, doc_id, source, {_leaf_sql('text')} leaf, case when xor({_CRC}, 4294967295::bigint) % 2 = 0 then {_leaf_sql("replace(text, chr(10), '')")} else {_leaf_sql('text')} end changed from d),
+r as (select *, row_number() over (partition by source order by doc_id) - 1 k, count(*) over (partition by source) n from e),
+t as (select source, 0 lv, k, n, leaf h from r union all
+  select source, lv + 1, k // 3, max((n + 2) // 3), sha256(string_agg(h, '' order by k)) from t where n > 1 group by source, lv, k // 3),
+s as (select source, h subroot, row_number() over (order by source nulls first) - 1 j, count(*) over () n from t where n = 1),
+u as (select 0 lv, j k, n, subroot h from s union all
+  select lv + 1, k // 3, max((n + 2) // 3), sha256(string_agg(h, '' order by k)) from u where n > 1 group by lv, k // 3),
+p as (select r.id, t.lv, t.k, t.h, r.k // (3 ** t.lv)::bigint own from r join t on t.source is not distinct from r.source and t.n > 1 and t.k // 3 = r.k // (3 ** (t.lv + 1))::bigint
+  union all select r.id, 100 + u.lv, u.k, u.h, s.j // (3 ** u.lv)::bigint from r join s on s.source is not distinct from r.source join u on u.n > 1 and u.k // 3 = s.j // (3 ** (u.lv + 1))::bigint),
+q as (select id, lv, coalesce(string_agg(h, '' order by k) filter (k < own), '') a, coalesce(string_agg(h, '' order by k) filter (k > own), '') b from p group by 1, 2),
+w as (select id, list(struct_pack(a := a, b := b) order by lv) steps, sha256(string_agg(a || b, '' order by lv)) proof_sha256 from q group by id),
+x as (select r.doc_id, r.leaf, s.subroot, (select h from u where n = 1) root, coalesce(w.proof_sha256, sha256('')) proof_sha256,
+  list_reduce(list_prepend(struct_pack(a := r.changed, b := ''), coalesce(w.steps, [])), lambda h, y: struct_pack(a := sha256(y.a || h.a || y.b), b := '')).a folded_root
+  from r join s on s.source is not distinct from r.source left join w on w.id = r.id)
+select *, folded_root = root verified from x"""
+
+#: Of the others none as a whole has an oracle in SQL: each rests on hashes, libraries or iterations that SQL has no functions for, or is too slow there over whole tables. Two of their parts have.
 ORACLE_SQL: dict[str, str] = {
+    "op13_merkle": _MERKLE,
     "quality_statistics": rf"""with d as (select row_number() over () k, doc_id, coalesce(text, '') t from documents),
 w as (select *, regexp_extract_all(t, '{_WORD}+') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) l from d),
 g as (select k, unnest(range(1, len(w) - 1)) i, w from w where len(w) >= 3),
