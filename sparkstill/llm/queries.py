@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, bpe, langid, lines, merkle, packing, quality, rules, sharding, simhash, winnowing
+from . import binary, bpe, langid, lines, merkle, negatives, packing, quality, rules, sharding, simhash, winnowing
 from .common import documents, held
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +59,12 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read(spark, binary.write(documents(spark, sf_dir), VOCABULARY))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    changed = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), changed, vec_id % 50 == 0)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.manifest(documents(spark, sf_dir)))
 
@@ -76,7 +82,7 @@ def shard_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_bpe, op6_winnowing, op7_language, op8_sharding, op9_simhash, op10_bit_planes, op13_merkle, quality_statistics, shard_records)
+    for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_bpe, op6_winnowing, op7_language, op8_sharding, op9_simhash, op10_bit_planes, op12_hard_negatives, op13_merkle, quality_statistics, shard_records)
 }
 
 _WORD = r"[^\x20\x09-\x0D]"
@@ -86,6 +92,14 @@ def _leaf_sql(text: str) -> str:
     return "sha256(" + " || ".join(f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
 
 
+_NEGATIVES = """with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
+  where label is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+s as (select a.vec_id anchor_id, b.vec_id id, a.l = b.l same, list_inner_product(a.v, b.v)::bigint score from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, id positive_id, score positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+n as (select anchor_id, positive_id, positive_score, id negative_id, score negative_score, row_number() over (partition by anchor_id, positive_id order by score desc, id) k
+  from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, k::int "rank", negative_id, positive_score, negative_score from n where k <= 3"""
+
 #: crc32 of a decimal number, bit by bit.
 _CRC = """list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
   lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::bigint * (x & 1))))"""
@@ -109,6 +123,7 @@ select *, folded_root = root verified from x"""
 
 #: Of the others none as a whole has an oracle in SQL: each rests on hashes, libraries or iterations that SQL has no functions for, or is too slow there over whole tables. Two of their parts have.
 ORACLE_SQL: dict[str, str] = {
+    "op12_hard_negatives": _NEGATIVES,
     "op13_merkle": _MERKLE,
     "quality_statistics": rf"""with d as (select row_number() over () k, doc_id, coalesce(text, '') t from documents),
 w as (select *, regexp_extract_all(t, '{_WORD}+') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) l from d),
