@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, bpe, langid, lines, merkle, negatives, packing, quality, rules, sharding, simhash, winnowing
+from . import binary, bpe, langid, lines, merkle, negatives, ngrams, packing, quality, rules, sharding, simhash, winnowing
 from .common import documents, held
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +59,10 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read(spark, binary.write(documents(spark, sf_dir), VOCABULARY))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.near_duplicates(documents(spark, sf_dir))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_id, label = F.col("vec_id"), F.col("label")
     changed = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
@@ -82,7 +86,7 @@ def shard_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_bpe, op6_winnowing, op7_language, op8_sharding, op9_simhash, op10_bit_planes, op12_hard_negatives, op13_merkle, quality_statistics, shard_records)
+    for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_bpe, op6_winnowing, op7_language, op8_sharding, op9_simhash, op10_bit_planes, op11_ngram_join, op12_hard_negatives, op13_merkle, quality_statistics, shard_records)
 }
 
 _WORD = r"[^\x20\x09-\x0D]"
