@@ -14,8 +14,11 @@ fewer deals its tokens to segments once more, by another hash, until it has; a p
 the first hash that serves either of them.
 
 Sets of equal tokens are one class. In the list of a segment's value every class is
-compared with the first and the last one; then classes that the links found do not connect are
-compared among themselves. Pairs are held against whole sketches first, then verified from
+compared with the first and the last one, in two orders; then classes that the links found do
+not connect are compared among themselves. Lists that join many such classes, as the segments of
+passages that many documents share do, are left out for a set of which they hold no more segments
+than it has to spare: similar sets have at least as many equal segments as one of them has
+segments over D. Pairs are held against whole sketches first, then verified from
 their texts, so that each link is exact.
 
 Tokens and classes are known by 64-bit hashes. Nulls: a null text, or one without words, is an empty set, which is linked
@@ -39,8 +42,8 @@ from .near import tokens
 SHINGLE, SEED = 4, 42
 #: The least similarity, in hundredths: 100 * common >= SIMILAR * all.
 SIMILAR = 85
-#: Bits of a segment, as a power of two.
-SEGMENT = 10
+#: Bits of a segment, as a power of two, and unconnected classes beyond which a list is one that many share.
+SEGMENT, LONG = 10, 8
 
 
 @functools.lru_cache(maxsize=None)
@@ -61,7 +64,7 @@ def differing(a: int, b: int, similar: int = SIMILAR) -> int:
 def segments(band: tuple[int, int], similar: int = SIMILAR) -> tuple[int, int]:
     """Segments of a band's sketches, and the most bits in which similar sets' sketches differ (the smaller set is in the band)."""
     d = differing(band[1], 100 * band[1] // similar, similar)
-    return d + 2 + d // 16, d
+    return d + 2 + d // 2, d
 
 
 def mixed(x):
@@ -90,8 +93,12 @@ def parts(t, n_segments: int, turn: int):
     return segment[starts][full], values[full]
 
 
-def signatures(t, similar: int = SIMILAR):
-    """What a set is filed under: values of segments, for its own band and, as the larger of a pair, for the band before."""
+def signatures(t, similar: int = SIMILAR) -> list[tuple]:
+    """What a set is filed under: for its own band and, as the larger of a pair, for the band before, under each hash that is needed: (band and hash, segments to spare, values).
+
+    Sets that are similar share more values than either of them has to spare under the first hash that
+    leaves one of them something to spare; -1 under hashes that do not.
+    """
     import numpy as np
 
     every = bands(1 << max(1, len(t)).bit_length(), similar)
@@ -103,11 +110,12 @@ def signatures(t, similar: int = SIMILAR):
         turn = 0
         while True:
             at, values = parts(t, shape[0], turn)
-            out.append(mixed(values ^ mixed(at | np.uint64((k << 48) | (turn << 32)))))
-            if len(at) > shape[1]:
+            spare = max(-1, len(at) - shape[1] - 1)
+            out.append(((k << 16) | turn, spare, mixed(values ^ mixed(at | np.uint64((k << 48) | (turn << 32))))))
+            if spare >= 0:
                 break
             turn += 1
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return out
 
 
 def sketch(t) -> bytes:
@@ -147,13 +155,20 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), *columns], ["doc_id", "t", "a", "n", "sketch"])
 
 
-def _filed(batches: Iterator[pa.RecordBatch], size: int, similar: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """value, a for each signature; a class that this task has just filed is not filed again."""
+def _filed(batches: Iterator[pa.RecordBatch], size: int, similar: int, whole: bool, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """value and a of each signature, and, as a whole, its band and hash (`part`) and the segments that a has to spare there; a class that this task has just filed is not filed again."""
     import numpy as np
 
     seen: set = set()
+
+    def batch_of(held: list) -> pa.RecordBatch:
+        sizes = np.array([len(v) for _, _, _, v in held])
+        columns = [pa.array(np.concatenate([v for _, _, _, v in held]).view(np.int64))]
+        columns += [pa.array(np.repeat(np.array([h[c] for h in held], kind), sizes)) for c, kind in ((0, np.int64), (1, np.int32), (2, np.int32))[: 3 if whole else 1]]
+        return pa.RecordBatch.from_arrays(columns, ["value", "a", "part", "spare"][: len(columns)])
+
     for batch in batches:
-        held, owners = [], []
+        held: list = []
         for text in batch.column("text"):
             t = tokens(text.as_py(), size)
             if not len(t) or (a := _class(t)) in seen:
@@ -161,11 +176,12 @@ def _filed(batches: Iterator[pa.RecordBatch], size: int, similar: int, most: int
             if len(seen) >= most:
                 seen.clear()
             seen.add(a)
-            held.append(signatures(t, similar))
-            owners.append(np.full(len(held[-1]), a, np.int64))
-        for k in range(0, len(held), 256):
-            values, a = np.concatenate(held[k : k + 256]), np.concatenate(owners[k : k + 256])
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(a)], ["value", "a"])
+            held += [(a, *s) for s in signatures(t, similar)]
+            if len(held) >= 512:
+                yield batch_of(held)
+                held = []
+        if held:
+            yield batch_of(held)
 
 
 def _close(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.RecordBatch]:
@@ -213,23 +229,43 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, si
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(lambda x: _similar(x, size, similar), "a long, b long"), "ngrams-links")
 
 
+def _open(listed: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """The rows of lists that hold classes which the links do not connect: value, a, part, spare, root, and `long` where these are more than LONG."""
+    root = components(found, f"{name}-found").withColumnRenamed("node", "a")
+    named = listed.join(root, "a", "left").select("value", "a", "part", "spare", F.coalesce("root", "a").alias("root"))
+    lists = named.select("value", "root").distinct().groupBy("value").agg(F.count("*").alias("many")).where("many > 1")
+    return cut(named.join(small(cut(lists, f"{name}-lists")), "value").select(*named.columns, (F.col("many") > LONG).alias("long")), f"{name}-open")
+
+
+def _pairs(rows: DataFrame, name: str, *seen: DataFrame) -> DataFrame:
+    """Pairs a < b out of rows of x and y, each once, without those that were seen before."""
+    pairs = rows.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    for before in seen:
+        pairs = pairs.join(before, ["a", "b"], "left_anti")
+    return cut(pairs, name)
+
+
 @tidy
 def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """Pairs a, b of similar classes that connect all that are connected, out of docs (t, text) and classes (a, n, t, sketch)."""
-    filed = docs.select("text").mapInArrow(lambda b: _filed(b, size, similar), "value long, a long")
-    shared = cut(filed.groupBy("value").agg(F.min("a").alias("first"), F.max("a").alias("last")).where("first <> last"), "ngrams-shared")
-    listed = cut(filed.join(small(shared), "value").select("value", "a", "first", "last").distinct(), "ngrams-listed")
-    ends = listed.select(F.explode(F.array("first", "last")).alias("e"), "a").where("a <> e")
-    star = cut(ends.select(F.least("a", "e").alias("a"), F.greatest("a", "e").alias("b")).distinct(), "ngrams-star")
+    filed = lambda whole: docs.select("text").mapInArrow(lambda b: _filed(b, size, similar, whole), "value long, a long" + ", part int, spare int" * whole)
+    shared = cut(filed(False).groupBy("value").agg(F.min("a").alias("first"), F.max("a").alias("last")).where("first <> last"), "ngrams-shared")
+    listed = cut(filed(True).join(small(shared), "value").select("value", "a", "part", "spare", "first", "last").distinct(), "ngrams-listed")
+    star = _pairs(listed.select(F.col("a").alias("x"), F.explode(F.array("first", "last")).alias("y")), "ngrams-star")
     found = _linked(star, docs, classes, size, similar)
-    # classes of one list that are not connected yet
-    root = components(found, "ngrams-found").withColumnRenamed("node", "a")
-    named = listed.join(root, "a", "left").select("value", "a", F.coalesce("root", "a").alias("root"))
-    mixed_ = named.groupBy("value").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("value")
-    open_ = cut(named.join(small(cut(mixed_, "ngrams-mixed")), "value"), "ngrams-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    apart_ = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.a") < F.col("y.a")) & (F.col("x.root") != F.col("y.root")))
-    more = cut(apart_.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "ngrams-pairs")
+    # classes of one list that are not connected yet, with the first and last ones in another order
+    open_ = _open(listed, found, "ngrams-once")
+    turn = F.xxhash64("a", F.lit(1))
+    ends = open_.groupBy("value").agg(F.min_by("a", turn).alias("p"), F.max_by("a", turn).alias("q"))
+    again = _pairs(open_.join(ends, "value").select(F.col("a").alias("x"), F.explode(F.array("p", "q")).alias("y")), "ngrams-again", star)
+    found = cut(found.union(_linked(again, docs, classes, size, similar)), "ngrams-both")
+    # those that are left, among themselves
+    open_ = _open(listed, found, "ngrams-twice")
+    heavy = open_.groupBy("a", "part").agg(F.sum(F.col("long").cast("int")).alias("n"), F.max("spare").alias("spare")).where("n > spare").select("a", "part")
+    left = cut(open_.where("not long").unionByName(open_.where("long").join(heavy, ["a", "part"], "left_semi")).select("value", "a", "root"), "ngrams-left")
+    x, y = left.alias("x"), left.alias("y")
+    rest = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.a") < F.col("y.a")) & (F.col("x.root") != F.col("y.root")))
+    more = _pairs(rest.select(F.col("x.a").alias("x"), F.col("y.a").alias("y")), "ngrams-pairs", star, again)
     return cut(found.union(_linked(more, docs, classes, size, similar)), "ngrams-all-links")
 
 
