@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from .functions.features import WIDTH
 from .functions.schema import parse_columns
 
 
@@ -30,17 +31,20 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--key-column")
         c.add_argument("--max-samples", type=int)
         c.add_argument("--val-frac", type=float, default=0.1)
-        c.add_argument("--width", type=int, default=256)
+        c.add_argument("--width", type=int, default=WIDTH)
         if name == "fit":
             c.add_argument("--rounds", type=int, default=20)
             c.add_argument("--tune", type=int, default=0, help="settings to try for each column")
     tune = command("tune", "find settings for each column of a run", "--run-dir")
     tune.add_argument("--trials", type=int, default=10)
+    tune.add_argument("--rounds", type=int, default=20)
+    tune.add_argument("--max-rows", type=int, default=100_000, help="rows of the study's sample")
+    tune.add_argument("--time-budget", type=float, default=900.0, help="seconds for each column")
     soft = command("learn-soft", "learn the students of a run", "--run-dir")
     soft.add_argument("--rounds", type=int, default=20)
     soft.add_argument("--weighting", default="auto")
     hard = command("learn-hard", "learn heads and gates of a run", "--run-dir")
-    hard.add_argument("--rounds", type=int, default=10)
+    hard.add_argument("--rounds", type=int, default=20)
     hard.add_argument("--epochs", type=int, default=15)
     command("export", "write a run's models as one model", "--run-dir", "--model")
     command("clean", "delete a run folder", "--run-dir")
@@ -76,7 +80,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command in ("tune", "learn-soft", "learn-hard", "export", "clean"):
         run = workflow.Run.open(spark, a.run_dir)
         if a.command == "tune":
-            workflow.tune_columns(run, a.trials)
+            workflow.tune_columns(run, a.trials, a.rounds, a.max_rows, seconds=a.time_budget)
         elif a.command == "learn-soft":
             workflow.learn_soft(run, a.rounds, a.weighting)
         elif a.command == "learn-hard":

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features, scalars, schema
-from ..operators import calibrate, labels, metrics, order, report, similarity, split, student, weights
+from ..operators import calibrate, labels, metrics, order, report, similarity, split, student, tune, weights
 from ..operators.gate import fit_gate
 from ..operators.order import average_ranks
 from ..sources import tables
@@ -446,51 +446,73 @@ def worst_parity(spark, sf_dir):
 # models: no SQL can express them
 
 
-def library(spark: SparkSession, sf_dir: str, width: int = 256) -> DataFrame:
-    """Documents with feature vectors, a teacher value and a split."""
-    d = features.featurized(table(spark, sf_dir, "documents"), "text", width).select(F.col("doc_id").alias("row_id"), "features", F.log1p(F.col("n_chars").cast("double")).alias("y"))
+def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with fingerprints, a teacher value and a split, as a written table: texts are looked at once."""
+    d = features.fingerprint(table(spark, sf_dir, "documents").withColumn("y", F.log1p(F.col("n_chars").cast("double"))), "doc_id", "text", keep=["y"]).withColumnRenamed("features", "pairs")
+    path = tables.shared_folder(spark, "library")
+    d.write.parquet(path)
+    d = spark.read.parquet(path)
     return d.join(split.stratified_split(d, "y", "row_id").select("row_id", "is_val"), "row_id")
 
 
 @query()
 def student_fit_predict(spark, sf_dir):
     rows = library(spark, sf_dir)
-    return student.fit_student(rows, "y", rounds=8, maxDepth=4).predict(rows).select("row_id", "y", "score", "is_val")
+    return student.fit_student(rows, "y", features.WIDTH).predict(rows).select("row_id", "y", "score", "is_val")
 
 
 @query()
 def hard_head_predict(spark, sf_dir):
     rows = library(spark, sf_dir)
     measured = rows.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").cast("double").alias("label")), "row_id")
-    head = student.head_score(student.fit_head(measured, "label", rounds=4, maxDepth=3), rows)
+    head = student.head_score(student.fit_head(measured.drop("is_val"), "label", features.WIDTH).model, rows)
     found = student.fit_head_map(head, "hard", "y")
     return head.select("row_id", "hard", found.apply(F.col("hard")).alias("calibrated"))
 
 
+@query()
+def tuned_settings(spark, sf_dir):
+    """The trials of a study over the library, with the loss of each, the trees it grew, and the rung that stopped it."""
+    study = tune.tune(library(spark, sf_dir), "y", features.WIDTH)
+    rows = [(k, t["learning_rate"], t["min_split_gain"], t["loss"], t["rounds"], t["pruned"]) for k, t in enumerate(study["trials"])]
+    return spark.createDataFrame(rows, "trial int, learning_rate double, min_split_gain double, loss double, rounds int, pruned int")
+
+
 @query()
 def gate_mlp(spark, sf_dir):
-    fp = features.fingerprint(table(spark, sf_dir, "documents"), "doc_id", "text", 256)
-    measured = fp.join(table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("row_id")), "row_id")
-    sets = [x.select(F.col("row_id").alias("id"), features.bits(F.col("features")).alias("bits")) for x in (fp, measured)]
+    rows = library(spark, sf_dir).select("row_id", "pairs")
+    measured = rows.join(table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("row_id")), "row_id")
+    sets = [x.select(F.col("row_id").alias("id"), features.bits(F.col("pairs")).alias("bits")) for x in (rows, measured)]
     near = similarity.nearest(*sets)
-    rows = split.hold_out(fp.join(near.withColumnRenamed("id", "row_id"), "row_id"), "row_id")
-    gate = fit_gate(rows, "sim", 256, (16, 8), epochs=4)
-    return rows.select("row_id", "sim", gate.predict(F.col("features")).alias("estimate"))
+    sample = split.hold_out(rows.withColumnRenamed("pairs", "features").join(near.withColumnRenamed("id", "row_id"), "row_id"), "row_id")
+    gate = fit_gate(sample, "sim", features.WIDTH)
+    return sample.select("row_id", "sim", gate.predict(F.col("features")).alias("estimate"))
+
+
+DRAW = "('0x'||substr(md5('42|'||{}),1,8))::bigint"
+
 
+def _sample_sql(most: int) -> str:
+    """Of each segment its share of `most` customers, by the order of the draws."""
+    return f"""with r as (select c_custkey row_id, c_mktsegment grp, {DRAW.format("c_mktsegment||'|'||c_custkey")} u from customer),
+k as (select row_id, grp, row_number() over (partition by grp order by u, row_id) k, count(*) over (partition by grp) c, count(*) over () n from r)
+select row_id, grp from k where n <= {most} or k <= greatest(1, round_even(c * {most}::double / n, 0))"""
 
-@query("select is_val, count(*) n from (select c_custkey, c_custkey % 10 = 0 is_val from customer) group by is_val")
+
+def _segments(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_mktsegment").alias("grp"))
+
+
+@query(_sample_sql(10**9))
 def sample_below_limit(spark, sf_dir):
     """A sample with a limit above the table's size is the table."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), (F.col("c_custkey") % 10 == 0).alias("is_val"))
-    return split.proportional_sample(rows, "is_val", "row_id", 10**9).groupBy("is_val").agg(F.count("*").alias("n"))
+    return split.proportional_sample(_segments(spark, sf_dir), "grp", "row_id", 10**9)
 
 
-@query("""with r as (select c_custkey row_id, c_mktsegment grp, ('0x'||substr(md5('42|'||c_mktsegment||'|'||c_custkey),1,8))::bigint/4294967296e0 u from customer)
-select row_id, grp from r where u < 500e0/(select count(*) from r) or (select count(*) from r) <= 500""")
+@query(_sample_sql(500))
 def proportional_sample(spark, sf_dir):
-    """About 500 customers with the segments' shares kept."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_mktsegment").alias("grp"))
-    return split.proportional_sample(rows, "grp", "row_id", 500)
+    """500 customers with the segments' shares kept."""
+    return split.proportional_sample(_segments(spark, sf_dir), "grp", "row_id", 500)
 
 
 @query("""with a as (select ps.p_partkey id, cast(p_retailprice as double) v from part ps), q as (select quantile_cont(v,0.25) q25, quantile_cont(v,0.75) q75, quantile_cont(v,0.9) q90, quantile_cont(v,0.99) q99 from a)
@@ -521,33 +543,30 @@ def class_profile_cube(spark, sf_dir):
 
 @query()
 def artifact_roundtrip(spark, sf_dir):
-    """Predictions of a small artifact, saved, loaded and compared with those before."""
-    from ..sources.tables import shared_folder
+    """Predictions of an artifact that is saved and loaded again, after they are compared with those before."""
     from .artifact import Artifact, Column, check_parity
 
     rows = library(spark, sf_dir)
-    fitted = student.fit_student(rows, "y", rounds=3, maxDepth=3)
-    made = Artifact([Column("chars", fitted.model, fitted.isotonic)], 256)
-    folder = shared_folder(spark, "artifact")
+    fitted = student.fit_student(rows, "y", features.WIDTH)
+    made = Artifact([Column("chars", fitted.model, fitted.isotonic)], features.WIDTH)
+    folder = tables.shared_folder(spark, "artifact")
     made.save(spark, folder)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("key"))
     loaded = Artifact.load(spark, folder)
+    tables.delete(spark, folder)  # a model is held as a whole
     check_parity(made.transform(docs), loaded.transform(docs), ["chars"])
     return loaded.transform(docs).select("row_id", "chars")
 
 
-DRAW = "('0x'||substr(md5('42|'||{}),1,8))::bigint/4294967296e0"
-
-
-@query(f"""with r as (select o_orderkey row_id, {DRAW.format('o_orderkey')} u from orders), n as (select count(*) n, least(50000, greatest(1, count(*)//10)) k from r)
-select row_id, u < k/n::double is_val from r, n""")
+@query(f"""with r as (select o_orderkey row_id, row_number() over (order by {DRAW.format('o_orderkey')}, o_orderkey) k, count(*) over () n from orders)
+select row_id, k <= least(50000, greatest(1, n // 10)) is_val from r""")
 def hold_out(spark, sf_dir):
     return split.hold_out(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id")), "row_id")
 
 
-@query(f"with {TEACHER}, r as (select *, {DRAW.format('row_id')} u from b) select row_id, round(y,6) y, round(p,6) p from r where u < 1000e0/(select count(*) from r) or (select count(*) from r) <= 1000")
+@query(f"with {TEACHER}, r as (select *, row_number() over (order by {DRAW.format('row_id')}, row_id) k from b) select row_id, round(y,6) y, round(p,6) p from r where k <= 1000")
 def joint_sample(spark, sf_dir):
-    """About 1000 orders, with value and prediction sampled alike."""
+    """1000 orders, with value and prediction sampled alike."""
     return rounded(split.joint_sample(teacher(spark, sf_dir).select("row_id", "y", "p"), "row_id", 1000))
 
 

@@ -86,7 +86,7 @@ def _measured(spark: SparkSession, folder: str, names: list[str], path: str, key
     return matched, {"path": path, "n_rows": n, "n_dropped": n - n_kept, "task": "binary", "featurizer": {"kind": features.KIND, "width": width}}
 
 
-def prepare(spark: SparkSession, folder: str, library_path: str, soft_path: str, hard_path: str | None = None, *, values=None, hard_values=None, key=None, val_frac: float = 0.1, max_samples: int | None = None, width: int = 256) -> Run:
+def prepare(spark: SparkSession, folder: str, library_path: str, soft_path: str, hard_path: str | None = None, *, values=None, hard_values=None, key=None, val_frac: float = 0.1, max_samples: int | None = None, width: int = features.WIDTH) -> Run:
     """Align the teacher's table with the library, split each column, prepare measured labels, and write all of it."""
     if exists(spark, f"{folder}/manifest"):
         raise FileExistsError(f"{folder} is already prepared")
@@ -111,31 +111,35 @@ def prepare(spark: SparkSession, folder: str, library_path: str, soft_path: str,
     return run
 
 
-def tune_columns(run: Run, n: int = 10, rounds: int = 10, **settings) -> dict[str, dict]:
-    """The best settings found for each column; they are noted in the manifest and used by `learn_soft`."""
+def _weighted(rows: DataFrame, mode: str = "auto") -> tuple[DataFrame, str | None, str]:
+    """rows with a weight against imbalance, its name, and the strategy."""
+    chosen = weights.strategy(rows, "y", mode)["strategy"]
+    if chosen == "none":
+        return rows, None, chosen
+    return (weights.apply_bin_weights(rows, "y") if chosen == "bins" else _with_density(rows)), "weight", chosen
+
+
+def tune_columns(run: Run, n: int = 10, rounds: int = 20, max_rows: int = 100_000, weighting: str = "auto", **settings) -> dict[str, dict]:
+    """The best settings found for each column, and every trial; they are noted in the manifest and used by `learn_soft`."""
     for c in run.manifest["columns"]:
-        found = tune.tune(run.rows(c), "y", n, rounds, **settings)
-        c["tuned"] = json_safe(found)
+        rows, weight, _ = _weighted(run.rows(c), weighting)
+        c["tuned"] = json_safe(tune.tune(rows, "y", run.manifest["library"]["width"], n, rounds, max_rows, weight=weight, **settings))
         run.save()
     return {c["name"]: c["tuned"] for c in run.manifest["columns"]}
 
 
 def tuned_settings(run: Run, c: dict, given: dict) -> dict:
-    """Settings of a column's trees: what is given goes before what was tuned for the column, or else for the run; other keys are dropped."""
-    found = c.get("tuned") or run.manifest.get("tuned") or {}
+    """Settings of a column's trees: what is given goes before what was tuned for the column; other keys are dropped."""
+    found = c.get("tuned") or {}
     return {k: v for k, v in found.items() if k in tune.TUNED} | given
 
 
 def learn_soft(run: Run, rounds: int = 20, weighting: str = "auto", **settings) -> None:
     """A student per column, weighted against imbalance; its validation metrics are of the raw score."""
     for c in run.manifest["columns"]:
-        rows = run.rows(c)
-        chosen = weights.strategy(rows, "y", weighting)["strategy"]
-        weight = None
-        if chosen != "none":
-            rows, weight = (weights.apply_bin_weights(rows, "y") if chosen == "bins" else _with_density(rows)), "weight"
+        rows, weight, chosen = _weighted(run.rows(c), weighting)
         used = tuned_settings(run, c, settings)
-        fitted = student.fit_student(rows, "y", "is_val", weight, rounds, **used)
+        fitted = student.fit_student(rows, "y", run.manifest["library"]["width"], "is_val", weight, rounds, **used)
         raw = fitted.raw(rows.where("is_val"), "p")
         c |= {"metrics": json_safe(metrics.regression_metrics(raw, "y", "p").first().asDict()), "best_iteration": fitted.best_iteration, "weighting": chosen, "settings": used}
         trained = {"run": run.manifest["id"], "n_train": c["n_train"], "n_val": c["n_val"]}
@@ -151,7 +155,7 @@ def _with_density(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_cell", cell).join(F.broadcast(table), "_cell").drop("_cell")
 
 
-def learn_hard(run: Run, rounds: int = 10, epochs: int = 15, **settings) -> None:
+def learn_hard(run: Run, rounds: int = 20, epochs: int = 15, **settings) -> None:
     """A head on measured labels for each column that has them, its map to the teacher's scale, a gate and the earned share.
 
     Students are read from the run folder, so that this stage can start on its own.
@@ -164,7 +168,8 @@ def learn_hard(run: Run, rounds: int = 10, epochs: int = 15, **settings) -> None
     width = run.manifest["library"]["width"]
     for c in wanted:
         column, measured = _trained(run, c), run.measured(c)
-        column.head = student.fit_head(measured, "label", rounds, **settings)
+        chosen = student.fit_head(measured, "label", width, rounds, **settings)
+        column.head = chosen.model
         rows = run.rows(c).where(F.size("pairs") > 0)
         heads = student.head_score(column.head, rows.drop("y"), "g")
         scored = labels.align_scores(heads, rows.select("row_id", "y")).where(finite(F.col("g")) & finite(F.col("y"))).cache()
@@ -184,7 +189,7 @@ def learn_hard(run: Run, rounds: int = 10, epochs: int = 15, **settings) -> None
         column.save(spark, run.model(c))
         explained, correlation = fit["r2"], fit["pearson"]
         shortfall = None if explained is None or correlation is None else correlation**2 - explained
-        c |= {"a_max": column.a_max, "head_r2": explained, "head_shortfall": shortfall, "gate": json_safe({k: quality[k] for k in ("r2", "rmse", "recall", "precision")}), "similarity": json_safe(reached), "status": "blended"}
+        c |= {"a_max": column.a_max, "head": json_safe(chosen.report()), "head_r2": explained, "head_shortfall": shortfall, "gate": json_safe({k: quality[k] for k in ("r2", "rmse", "recall", "precision")}), "similarity": json_safe(reached), "status": "blended"}
         for x in (scored, near, sample):
             x.unpersist()
         run.save()
@@ -226,7 +231,7 @@ def fit(spark: SparkSession, folder: str, library: str, soft: str, hard: str | N
     """
     run = Run.open(spark, folder) if exists(spark, f"{folder}/manifest") else prepare(spark, folder, library, soft, hard, **options)
     if tuning and not all("tuned" in c for c in run.manifest["columns"]):
-        tune_columns(run, tuning, min(rounds, 10))
+        tune_columns(run, tuning, rounds)
     if any(c["status"] == "prepared" for c in run.manifest["columns"]):
         learn_soft(run, rounds)
     if any(c["hard"] and c["status"] != "blended" for c in run.manifest["columns"]):
