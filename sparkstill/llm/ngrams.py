@@ -42,8 +42,8 @@ from .near import tokens
 SHINGLE, SEED = 4, 42
 #: The least similarity, in hundredths: 100 * common >= SIMILAR * all.
 SIMILAR = 85
-#: Bits of a segment, as a power of two, and unconnected classes beyond which a list is one that many share.
-SEGMENT, LONG = 10, 8
+#: Bits of a segment, as a power of two, unconnected classes beyond which a list is one that many share, and bits of the largest table of shared values.
+SEGMENT, LONG, TABLE = 10, 8, 1 << 28
 
 
 @functools.lru_cache(maxsize=None)
@@ -64,7 +64,7 @@ def differing(a: int, b: int, similar: int = SIMILAR) -> int:
 def segments(band: tuple[int, int], similar: int = SIMILAR) -> tuple[int, int]:
     """Segments of a band's sketches, and the most bits in which similar sets' sketches differ (the smaller set is in the band)."""
     d = differing(band[1], 100 * band[1] // similar, similar)
-    return d + 2 + d // 2, d
+    return d + 2 + d // 4, d
 
 
 def mixed(x):
@@ -155,17 +155,25 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), *columns], ["doc_id", "t", "a", "n", "sketch"])
 
 
-def _filed(batches: Iterator[pa.RecordBatch], size: int, similar: int, whole: bool, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """value and a of each signature, and, as a whole, its band and hash (`part`) and the segments that a has to spare there; a class that this task has just filed is not filed again."""
+def _filed(batches: Iterator[pa.RecordBatch], size: int, similar: int, table=None, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """value and a of each signature; a class that this task has just filed is not filed again.
+
+    With a table of bits that shared values set, those values only, with their band and hash (`part`) and the segments that a has to spare there.
+    """
     import numpy as np
 
     seen: set = set()
 
     def batch_of(held: list) -> pa.RecordBatch:
         sizes = np.array([len(v) for _, _, _, v in held])
-        columns = [pa.array(np.concatenate([v for _, _, _, v in held]).view(np.int64))]
-        columns += [pa.array(np.repeat(np.array([h[c] for h in held], kind), sizes)) for c, kind in ((0, np.int64), (1, np.int32), (2, np.int32))[: 3 if whole else 1]]
-        return pa.RecordBatch.from_arrays(columns, ["value", "a", "part", "spare"][: len(columns)])
+        values = np.concatenate([v for _, _, _, v in held])
+        columns = [np.repeat(np.array([h[c] for h in held], kind), sizes) for c, kind in ((0, np.int64), (1, np.int32), (2, np.int32))[: 1 if table is None else 3]]
+        columns = [values.view(np.int64), *columns]
+        if table is not None:
+            at = values & np.uint64(64 * len(table) - 1)
+            met = (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+            columns = [c[met] for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["value", "a", "part", "spare"][: len(columns)])
 
     for batch in batches:
         held: list = []
@@ -229,6 +237,19 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, si
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(lambda x: _similar(x, size, similar), "a long, b long"), "ngrams-links")
 
 
+def _table(shared: DataFrame):
+    """A table of bits, of a size of TABLE at most, with those set that shared values name: it lets few other values pass, and none less."""
+    import numpy as np
+
+    n_bits = min(TABLE, max(1 << 16, 1 << (8 * shared.count()).bit_length()))
+    at = F.col("value").bitwiseAND(n_bits - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    words = shared.select(F.shiftright(at, 6).alias("k"), bit.alias("b")).groupBy("k").agg(F.bit_or("b").alias("b")).toPandas()  # TABLE / 64 rows at most
+    table = np.zeros(n_bits // 64, np.uint64)
+    table[words["k"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    return table
+
+
 def _open(listed: DataFrame, found: DataFrame, name: str) -> DataFrame:
     """The rows of lists that hold classes which the links do not connect: value, a, part, spare, root, and `long` where these are more than LONG."""
     root = components(found, f"{name}-found").withColumnRenamed("node", "a")
@@ -248,24 +269,26 @@ def _pairs(rows: DataFrame, name: str, *seen: DataFrame) -> DataFrame:
 @tidy
 def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """Pairs a, b of similar classes that connect all that are connected, out of docs (t, text) and classes (a, n, t, sketch)."""
-    filed = lambda whole: docs.select("text").mapInArrow(lambda b: _filed(b, size, similar, whole), "value long, a long" + ", part int, spare int" * whole)
-    shared = cut(filed(False).groupBy("value").agg(F.min("a").alias("first"), F.max("a").alias("last")).where("first <> last"), "ngrams-shared")
-    listed = cut(filed(True).join(small(shared), "value").select("value", "a", "part", "spare", "first", "last").distinct(), "ngrams-listed")
+    filed = docs.select("text").mapInArrow(lambda b: _filed(b, size, similar), "value long, a long")
+    shared = cut(filed.groupBy("value").agg(F.min("a").alias("first"), F.max("a").alias("last")).where("first <> last"), "ngrams-shared")
+    bits = docs.sparkSession.sparkContext.broadcast(_table(shared))
+    again = docs.select("text").mapInArrow(lambda b: _filed(b, size, similar, bits.value), "value long, a long, part int, spare int")
+    listed = cut(again.join(small(shared), "value").select("value", "a", "part", "spare", "first", "last").distinct(), "ngrams-listed")
     star = _pairs(listed.select(F.col("a").alias("x"), F.explode(F.array("first", "last")).alias("y")), "ngrams-star")
     found = _linked(star, docs, classes, size, similar)
     # classes of one list that are not connected yet, with the first and last ones in another order
     open_ = _open(listed, found, "ngrams-once")
     turn = F.xxhash64("a", F.lit(1))
     ends = open_.groupBy("value").agg(F.min_by("a", turn).alias("p"), F.max_by("a", turn).alias("q"))
-    again = _pairs(open_.join(ends, "value").select(F.col("a").alias("x"), F.explode(F.array("p", "q")).alias("y")), "ngrams-again", star)
-    found = cut(found.union(_linked(again, docs, classes, size, similar)), "ngrams-both")
+    other = _pairs(open_.join(ends, "value").select(F.col("a").alias("x"), F.explode(F.array("p", "q")).alias("y")), "ngrams-other", star)
+    found = cut(found.union(_linked(other, docs, classes, size, similar)), "ngrams-both")
     # those that are left, among themselves
     open_ = _open(listed, found, "ngrams-twice")
     heavy = open_.groupBy("a", "part").agg(F.sum(F.col("long").cast("int")).alias("n"), F.max("spare").alias("spare")).where("n > spare").select("a", "part")
     left = cut(open_.where("not long").unionByName(open_.where("long").join(heavy, ["a", "part"], "left_semi")).select("value", "a", "root"), "ngrams-left")
     x, y = left.alias("x"), left.alias("y")
     rest = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.a") < F.col("y.a")) & (F.col("x.root") != F.col("y.root")))
-    more = _pairs(rest.select(F.col("x.a").alias("x"), F.col("y.a").alias("y")), "ngrams-pairs", star, again)
+    more = _pairs(rest.select(F.col("x.a").alias("x"), F.col("y.a").alias("y")), "ngrams-pairs", star, other)
     return cut(found.union(_linked(more, docs, classes, size, similar)), "ngrams-all-links")
 
 
