@@ -230,7 +230,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, si
     other = classes.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     close = cut(pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda x: _close(x, similar), "a long, b long"), "ngrams-close")
     nodes = close.select("a").union(close.select(F.col("b").alias("a"))).distinct()
-    wanted = small(cut(classes.join(nodes, "a", "left_semi").select("a", "t"), "ngrams-wanted"))
+    wanted = small(cut(classes.join(nodes, "a", "left_semi").select("a", "t"), "ngrams-wanted"), 16 << 20)
     # one text of each class: rows of one text, however many, are put together before they move
     texts = cut(docs.join(wanted, "t").groupBy("a").agg(F.first("text").alias("text")), "ngrams-texts")
     both = close.join(texts.withColumnRenamed("text", "ta"), "a").join(texts.select(F.col("a").alias("b"), F.col("text").alias("tb")), "b")
@@ -255,7 +255,7 @@ def _open(listed: DataFrame, found: DataFrame, name: str) -> DataFrame:
     root = components(found, f"{name}-found").withColumnRenamed("node", "a")
     named = listed.join(root, "a", "left").select("value", "a", "part", "spare", F.coalesce("root", "a").alias("root"))
     lists = named.select("value", "root").distinct().groupBy("value").agg(F.count("*").alias("many")).where("many > 1")
-    return cut(named.join(small(cut(lists, f"{name}-lists")), "value").select(*named.columns, (F.col("many") > LONG).alias("long")), f"{name}-open")
+    return cut(named.join(lists, "value").select(*named.columns, (F.col("many") > LONG).alias("long")), f"{name}-open")
 
 
 def _pairs(rows: DataFrame, name: str, *seen: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, similar: int
     shared = cut(filed.groupBy("value").agg(F.min("a").alias("first"), F.max("a").alias("last")).where("first <> last"), "ngrams-shared")
     bits = docs.sparkSession.sparkContext.broadcast(_table(shared))
     again = docs.select("text").mapInArrow(lambda b: _filed(b, size, similar, bits.value), "value long, a long, part int, spare int")
-    listed = cut(again.join(small(shared), "value").select("value", "a", "part", "spare", "first", "last").distinct(), "ngrams-listed")
+    listed = cut(again.join(shared, "value").select("value", "a", "part", "spare", "first", "last").distinct(), "ngrams-listed")
     star = _pairs(listed.select(F.col("a").alias("x"), F.explode(F.array("first", "last")).alias("y")), "ngrams-star")
     found = _linked(star, docs, classes, size, similar)
     # classes of one list that are not connected yet, with the first and last ones in another order

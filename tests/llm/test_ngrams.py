@@ -136,11 +136,12 @@ def test_a_large_group_meets_few_times(spark, monkeypatch):
 
 
 def test_a_shared_passage_makes_few_pairs(spark, monkeypatch):
-    """A third of each text is one passage: its segments are in all lists, and are left out."""
+    """A third of each text is one passage: its segments are in all lists, and pairs grow with the texts, not with their square."""
     seen = _counted(monkeypatch)
     r = random.Random(6)
     passage = [f"p{k}" for k in range(60)]
-    rows = [(k, " ".join(passage + [f"w{r.randrange(10**6)}" for _ in range(120)])) for k in range(150)]
-    rows += [(1000 + k, rows[k][1] + " more") for k in range(3)]
-    assert found(spark, rows) == plain(rows)
-    assert sum(seen) < 0.1 * 150 * 150 / 2
+    for n in (60, 240):
+        rows = [(k, " ".join(passage + [f"w{r.randrange(10**6)}" for _ in range(120)])) for k in range(n)]
+        rows += [(1000 + k, rows[k][1] + " more") for k in range(3)]
+        assert found(spark, rows) == plain(rows)
+    assert sum(seen[3:]) <= 7 * sum(seen[:3])
