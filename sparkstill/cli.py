@@ -10,6 +10,13 @@ from .functions.features import WIDTH
 from .functions.schema import parse_columns
 
 
+def _selectors(c: argparse.ArgumentParser) -> None:
+    """Columns of both tables, where they do not follow the convention."""
+    for kind in ("soft", "hard"):
+        c.add_argument(f"--{kind}-key-column")
+        c.add_argument(f"--{kind}-label-columns", help="comma-separated")
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sparkstill")
     sub = p.add_subparsers(dest="command", required=True)
@@ -26,9 +33,8 @@ def _parser() -> argparse.ArgumentParser:
     ):
         c = command(name, text, *needed)
         c.add_argument("--hard-labels")
-        c.add_argument("--columns")
-        c.add_argument("--hard-columns")
-        c.add_argument("--key-column")
+        c.add_argument("--task", choices=("auto", "binary", "regression"), default="auto", help="kind of the hard labels")
+        _selectors(c)
         c.add_argument("--max-samples", type=int)
         c.add_argument("--val-frac", type=float, default=0.1)
         c.add_argument("--width", type=int, default=WIDTH)
@@ -53,10 +59,14 @@ def _parser() -> argparse.ArgumentParser:
     check = command("validate", "metrics against held-out tables", "--model", "--output")
     for name in ("--soft-labels", "--hard-labels", "--library"):
         check.add_argument(name)
+    _selectors(check)
     build = command("library", "build a library from a table of texts", "--input", "--output")
     build.add_argument("--key-column")
     build.add_argument("--distinct", action="store_true")
     build.add_argument("--limit", type=int)
+    build.add_argument("--fingerprints", action="store_true", help="with fingerprints, block by block; a build that was cut off goes on")
+    build.add_argument("--width", type=int, default=WIDTH)
+    build.add_argument("--block-rows", type=int, default=1_000_000)
     dump = command("export-library", "write the library's texts in its order", "--library", "--output")
     dump.add_argument("--header", default="text")
     return p
@@ -67,12 +77,12 @@ def main(argv: list[str] | None = None) -> None:
 
     from .plans import workflow
     from .plans.artifact import Artifact
-    from .sources import tables
+    from .sources import library, tables
     from .sources.reports import write_report
 
     spark = SparkSession.builder.appName("sparkstill").getOrCreate()
     if a.command in ("prepare", "fit"):
-        options = dict(values=parse_columns(a.columns), hard_values=parse_columns(a.hard_columns), key=a.key_column, max_samples=a.max_samples, val_frac=a.val_frac, width=a.width)
+        options = dict(values=parse_columns(a.soft_label_columns), hard_values=parse_columns(a.hard_label_columns), key=a.soft_key_column, hard_key=a.hard_key_column, task=a.task, max_samples=a.max_samples, val_frac=a.val_frac, width=a.width)
         if a.command == "prepare":
             workflow.prepare(spark, a.run_dir, a.library, a.soft_labels, a.hard_labels, **options)
         else:
@@ -92,9 +102,13 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "predict":
         workflow.predict(spark, Artifact.load(spark, a.model), a.input, a.output, a.key_column)
     elif a.command == "validate":
-        write_report(spark, workflow.validate(spark, Artifact.load(spark, a.model), a.soft_labels, a.hard_labels, a.library), a.output)
+        columns = dict(soft_key=a.soft_key_column, soft_values=parse_columns(a.soft_label_columns), hard_key=a.hard_key_column, hard_values=parse_columns(a.hard_label_columns))
+        write_report(spark, workflow.validate(spark, Artifact.load(spark, a.model), a.soft_labels, a.hard_labels, a.library, **columns), a.output)
     elif a.command == "library":
-        tables.build_library(spark, a.input, a.output, a.key_column, a.distinct, a.limit)
+        if a.fingerprints:
+            library.build(spark, a.input, a.output, a.key_column, a.distinct, a.limit, a.width, a.block_rows)
+        else:
+            tables.build_library(spark, a.input, a.output, a.key_column, a.distinct, a.limit)
     else:
         tables.export_library(spark, a.library, a.output, a.header)
 

@@ -16,6 +16,7 @@ from ..functions import features, scalars, schema
 from ..operators import calibrate, labels, metrics, order, report, similarity, split, student, tune, weights
 from ..operators.gate import fit_gate
 from ..operators.order import average_ranks
+from ..sources import library as library_source
 from ..sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -416,10 +417,16 @@ def performance_table(spark, sf_dir):
     return rounded(r.unionByName(h, allowMissingColumns=True))
 
 
-@query("""with s(s) as (values ('activity_probability'),('solubility-p'),('tox')), h(h) as (values ('activity'),('solubility'),('tox'))
-select h hard, s soft from h join s on s = h or (starts_with(s, h || '_') or starts_with(s, h || '-')) and not exists (select 1 from s x where x.s = h)""")
+@query("""with n as (select lower(n_name) h, case when n_nationkey % 3 = 0 then lower(n_name) when n_nationkey % 3 = 1 then lower(n_name) || '_' || lower(r_name) else lower(n_name) || '-' || n_nationkey end s
+  from nation join region on n_regionkey = r_regionkey), m as (select h.h hard, s.s soft, h.h = s.s exact, count(*) over (partition by h.h, h.h = s.s) n from n h join n s on s.s = h.h or starts_with(s.s, h.h || '_') or starts_with(s.s, h.h || '-'))
+select hard, soft from m where exact or n = 1 and not exists (select 1 from n where n.s = m.hard)""")
 def column_matching(spark, sf_dir):
-    found = schema.match_columns(["activity_probability", "solubility-p", "tox"], ["activity", "solubility", "tox"])
+    """The nations as label columns: teacher columns have the same name, or one with a suffix."""
+    n, name = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")), F.lower("n_name")
+    k = F.col("n_nationkey") % 3
+    soft = F.when(k == 0, name).when(k == 1, F.concat(name, F.lit("_"), F.lower("r_name"))).otherwise(F.concat(name, F.lit("-"), F.col("n_nationkey").cast("string")))
+    rows = n.select(name.alias("hard"), soft.alias("soft")).collect()  # names of columns
+    found = schema.match_columns([r["soft"] for r in rows], [r["hard"] for r in rows])
     return spark.createDataFrame(sorted(found.items()), "hard string, soft string")
 
 
@@ -436,11 +443,14 @@ def finite_filter(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(v.alias("v")).agg(F.count("*").alias("n"), F.count(F.when(scalars.finite(F.col("v")), 1)).alias("n_finite"))
 
 
-@query("select max(abs(x-y)) worst, max(abs(x-y)) > 1e-4 failed from (select round(o_totalprice,2) x, round(o_totalprice,2)+(o_orderkey%3)*0.5e0 y from orders)")
+@query("select round(max(abs(y - cast(cast(y as float) as double))),12) worst, 0::bigint failed from (select o_totalprice / 1000e0 y from orders)")
 def worst_parity(spark, sf_dir):
-    x = F.round("o_totalprice", 2)
-    d = F.abs(x - (x + (F.col("o_orderkey") % 3) * F.lit(0.5)))
-    return table(spark, sf_dir, "orders").agg(F.max(d).alias("worst"), (F.max(d) > 1e-4).alias("failed"))
+    """Values against themselves in single precision, which is within the tolerance."""
+    from .artifact import check_parity
+
+    rows = teacher(spark, sf_dir)
+    worst = check_parity(rows.select("row_id", "y"), rows.select("row_id", F.col("y").cast("float").cast("double").alias("y")), ["y"])
+    return spark.createDataFrame([(round(worst, 12), 0)], "worst double, failed long")
 
 
 # models: no SQL can express them
@@ -606,6 +616,16 @@ def label_scan(spark, sf_dir):
     return rounded(tables.read_labels(spark, path, None, ["c_acctbal"]).withColumn("c_acctbal", F.col("c_acctbal").cast("double")), 2)
 
 
+@query(f"with {SHINGLES.replace('from documents', 'from (select n doc_id, text from (select row_number() over () - 1 n, text from documents where length(trim(text)) > 0))')} select n row_id, i, c from (select row_number() over () - 1 n from documents where length(trim(text)) > 0) join f on row_id = n")
+def library_fingerprints(spark, sf_dir):
+    """A library with the fingerprints of the documents in the order of their file, built in three blocks or more, as bins and counts."""
+    folder = tables.shared_folder(spark, "library")
+    table(spark, sf_dir, "documents").select(F.col("text").alias("smiles")).coalesce(1).write.parquet(f"{folder}.parquet")
+    found = library_source.build(spark, f"{folder}.parquet", folder, "smiles", block_rows=max(300, table(spark, sf_dir, "documents").count() // 3))
+    tables.delete(spark, f"{folder}.parquet")
+    return found.select("row_id", F.inline("pairs"))
+
+
 @query("with t as (select p_type t, min(rn) rn from (select p_type, row_number() over () rn from part) group by 1) select row_number() over (order by rn) - 1 row_id, t as text from t")
 def library_build(spark, sf_dir):
     """A library of the distinct part types in the order in which they come first."""

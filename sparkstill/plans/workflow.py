@@ -69,8 +69,17 @@ class Run:
         return self.spark.read.parquet(f"{self.folder}/hard").where(finite(label)).withColumn("label", label)
 
 
-def _measured(spark: SparkSession, folder: str, names: list[str], path: str, key, values, width: int) -> tuple[dict[str, str], dict]:
-    """Write the measured rows that have a feature; which label belongs to which column, and how many rows and drops there are."""
+#: Kinds of measured labels: found out from the values, or given.
+TASKS = ("auto", "binary", "regression")
+
+
+def _measured(spark: SparkSession, folder: str, names: list[str], path: str, key, values, width: int, task: str = "auto") -> tuple[dict[str, str], dict]:
+    """Write the measured rows that have a feature; which label belongs to which column, and how many rows and drops there are.
+
+    task: "binary" refuses other values than 0 and 1 at once; "regression" cannot be learned.
+    """
+    if task not in TASKS:
+        raise ValueError(f"task {task!r} is none of {TASKS}")
     table = read_table(spark, path)
     hard_key, hard_names = resolve(table.columns, key, values)
     matched = {s: h for h, s in match_columns(names, hard_names).items()}
@@ -79,15 +88,21 @@ def _measured(spark: SparkSession, folder: str, names: list[str], path: str, key
     kept = spark.read.parquet(f"{folder}/hard")
     n, n_kept = rows.count(), kept.count()
     for s, h in matched.items():
-        if labels.detect_task(kept, f"h_{h}") != "binary":
+        found = labels.detect_task(kept, f"h_{h}")
+        if task == "binary" and found != "binary":
+            raise ValueError(f"{h}: labels other than 0 and 1, though the task is binary")
+        if "regression" in (task, found):
             raise NotImplementedError(f"{h}: only binary labels can be learned")
         if not labels.class_balance(kept, [f"h_{h}"]).first()["enough"]:
             raise ValueError(f"{h}: too few rows or classes for {s}")
     return matched, {"path": path, "n_rows": n, "n_dropped": n - n_kept, "task": "binary", "featurizer": {"kind": features.KIND, "width": width}}
 
 
-def prepare(spark: SparkSession, folder: str, library_path: str, soft_path: str, hard_path: str | None = None, *, values=None, hard_values=None, key=None, val_frac: float = 0.1, max_samples: int | None = None, width: int = features.WIDTH) -> Run:
-    """Align the teacher's table with the library, split each column, prepare measured labels, and write all of it."""
+def prepare(spark: SparkSession, folder: str, library_path: str, soft_path: str, hard_path: str | None = None, *, values=None, hard_values=None, key=None, hard_key=None, task: str = "auto", val_frac: float = 0.1, max_samples: int | None = None, width: int = features.WIDTH) -> Run:
+    """Align the teacher's table with the library, split each column, prepare measured labels, and write all of it.
+
+    key, values: columns of the teacher's table; hard_key, hard_values: of the measured one (both by convention where not given).
+    """
     if exists(spark, f"{folder}/manifest"):
         raise FileExistsError(f"{folder} is already prepared")
     whole = read_library(spark, library_path)
@@ -97,7 +112,7 @@ def prepare(spark: SparkSession, folder: str, library_path: str, soft_path: str,
     features.featurized(split.prefix(whole, "row_id", max_samples), "text", width).write.mode("overwrite").parquet(f"{folder}/library")
     soft.drop("key").write.mode("overwrite").parquet(f"{folder}/targets")
     soft = spark.read.parquet(f"{folder}/targets")
-    matched, hard = _measured(spark, folder, names, hard_path, key, hard_values, width) if hard_path else ({}, None)
+    matched, hard = _measured(spark, folder, names, hard_path, hard_key, hard_values, width, task) if hard_path else ({}, None)
     found = {p["name"]: p for p in labels.profile(soft, names).collect()}  # a row a column
     columns = []
     for k, name in enumerate(names):
@@ -253,23 +268,42 @@ def predict(spark: SparkSession, artifact: Artifact, path: str, out: str, key: s
     return rows
 
 
-def _notes(artifact: Artifact, kind: str, task: str, n: int, positive: int | None) -> list[str]:
-    """What a table's size says: no rows, or as many as a head was learned from."""
-    trained = artifact.column(task).trained
+def _notes(artifact: Artifact, kind: str, task: str, n: int) -> list[str]:
+    """What a table's size says: no rows, as many as a head was learned from, or another number, some of which it may know."""
+    learned = artifact.column(task).trained.get("n_measured")
     if not n:
         return [f"{kind}: {task} has no rows with a value and a prediction, skipped"]
-    if kind == "hard" and (n, positive) == (trained.get("n_measured"), trained.get("n_positive")):
-        return [f"{task}: as many rows and positives as the head was learned from; if they are the same, this is fit, not generalisation"]
-    return []
+    if kind != "hard" or not learned:
+        return []
+    if n == learned:
+        return [f"{task}: as many rows as the head was learned from ({n}); if they are the same, this is fit, not generalisation"]
+    return [f"{task}: the head was learned from {learned} rows; those of them that are here are scored in-sample"]
+
+
+def _internals(spark: SparkSession, artifact: Artifact) -> dict:
+    """Of each task: trees, nodes and depth of its heads, the presets and losses of its fits, and the ends of its maps."""
+    out = {}
+    for c in artifact.columns:
+        models = {"student": (c.student, c.isotonic)} | ({"hard": (c.head, c.head_map)} if c.has_hard else {})
+        out[c.name] = {
+            head: {"trees": len(m.trees), "nodes": sum(t.numNodes for t in m.trees), "depth": max((t.depth for t in m.trees), default=0), "losses": m.losses, "settings": m.settings, "anchors": len(f.x), "map": [f.points()[0], f.points()[-1]]}
+            for head, (m, f) in models.items()
+        } | {"a_max": c.a_max}
+    return out
 
 
-def validate(spark: SparkSession, artifact: Artifact, soft: str | None = None, hard: str | None = None, library: str | None = None) -> dict:
-    """Metrics per task against held-out tables, with notes on what they mean."""
-    report: dict = {"model": artifact.describe(), "soft": {}, "hard": {}, "n_unparseable": {}, "notes": []}
-    for kind, path in (("soft", soft), ("hard", hard)):
+def validate(spark: SparkSession, artifact: Artifact, soft: str | None = None, hard: str | None = None, library: str | None = None, *, soft_key=None, soft_values=None, hard_key=None, hard_values=None) -> dict:
+    """Metrics per task against held-out tables, with notes on what they mean; without tables, the model's own figures.
+
+    *_key, *_values: columns of the tables, by convention where not given.
+    """
+    report: dict = {"model": artifact.describe(), "soft": {}, "hard": {}, "n_unparseable": {}, "notes": [], "data": {}, "internals": _internals(spark, artifact)}
+    if not soft and not hard:
+        report["notes"].append("no labels are given: the model's internals only")
+    for kind, path, key, values in (("soft", soft, soft_key, soft_values), ("hard", hard, hard_key, hard_values)):
         if not path:
             continue
-        rows = read_labels(spark, path)
+        rows = read_labels(spark, path, key, values)
         found, ignored = match_tasks([c for c in rows.columns if c not in ("row_id", "key")], artifact.tasks)
         if not found:
             raise ValueError(f"{path}: no column for the tasks {artifact.tasks}")
@@ -284,8 +318,9 @@ def validate(spark: SparkSession, artifact: Artifact, soft: str | None = None, h
         for t in found.values():
             y, p = F.col(f"`y_{t}`"), F.col(f"`{t}`")
             pair = scored.where(finite(y) & finite(p)).select("row_id", y.alias("y"), p.alias("p"))
-            counted = pair.agg(F.count("*").alias("n"), F.sum((F.col("y") == 1).cast("long")).alias("positive")).first()
-            report["notes"] += _notes(artifact, kind, t, counted["n"], counted["positive"])
+            counted = pair.agg(F.count("*").alias("n"), F.min("y").alias("least"), F.max("y").alias("largest"), F.avg("y").alias("mean")).first()
+            report["data"][f"{kind} {t}"] = {"file": path, **counted.asDict()}
+            report["notes"] += _notes(artifact, kind, t, counted["n"])
             if not counted["n"]:
                 continue
             if kind == "soft":

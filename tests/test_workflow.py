@@ -142,15 +142,6 @@ def test_ranks_share_ties(spark):
     assert [r["r"] for r in average_ranks(df, "v", "r").orderBy("i").collect()] == [4, 0.5, 0.5, 2, 4, 4]
 
 
-def test_thinned_maps_stay_close(spark):
-    found = calibrate.IsotonicMap([k / 100 for k in range(500)], [(k / 500) ** 2 for k in range(500)])
-    small = calibrate.thin(found, 1e-3)
-    assert len(small.x) < 60
-    df = spark.range(500).select((F.col("id") / 100).alias("x"))
-    assert df.agg(F.max(F.abs(found.apply(F.col("x")) - small.apply(F.col("x"))))).first()[0] < 1.1e-3
-    assert calibrate.IsotonicMap.from_json(small.to_json()) == small
-
-
 def _file(folder, name):
     (found,) = glob.glob(f"{folder}/{name}/part-*")
     return open(found, encoding="utf-8")
