@@ -44,6 +44,8 @@ SHINGLE, SEED = 4, 42
 SIMILAR = 85
 #: Bits of a segment, as a power of two, unconnected classes beyond which a list is one that many share, and bits of the largest table of shared values.
 SEGMENT, LONG, TABLE = 10, 8, 1 << 28
+#: Words of a short sketch, which is held against others inside the join.
+SHORT = 8
 
 
 @functools.lru_cache(maxsize=None)
@@ -127,6 +129,14 @@ def sketch(t) -> bytes:
     return np.packbits((np.bincount(at, minlength=n_bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def short(t) -> list[int]:
+    """A sketch of SHORT words of 64 bits, whatever the size of the set."""
+    import numpy as np
+
+    odd = np.bincount(((t >> np.uint64(37)) & np.uint64(64 * SHORT - 1)).astype(np.int64), minlength=64 * SHORT) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def apart(x: bytes, y: bytes) -> int:
     """In how many bits two sketches differ; the longer one is folded."""
     import numpy as np
@@ -150,9 +160,10 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         found = []
         for text in batch.column("text"):
             t = tokens(text.as_py(), size)
-            found.append((_class(t), len(t), sketch(t) if len(t) else None))
-        columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)] if found else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), *columns], ["doc_id", "t", "a", "n", "sketch"])
+            found.append((_class(t), len(t), sketch(t) if len(t) else None, short(t) if len(t) else None))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), *columns], ["doc_id", "t", "a", "n", "sketch", "short"])
 
 
 def _filed(batches: Iterator[pa.RecordBatch], size: int, similar: int, table=None, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -285,9 +296,15 @@ def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, similar: int
     # those that are left, among themselves
     open_ = _open(listed, found, "ngrams-twice")
     heavy = open_.groupBy("a", "part").agg(F.sum(F.col("long").cast("int")).alias("n"), F.max("spare").alias("spare")).where("n > spare").select("a", "part")
-    left = cut(open_.where("not long").unionByName(open_.where("long").join(heavy, ["a", "part"], "left_semi")).select("value", "a", "root"), "ngrams-left")
+    words = [F.col("short")[k].alias(f"k{k}") for k in range(SHORT)]
+    left = open_.where("not long").unionByName(open_.where("long").join(heavy, ["a", "part"], "left_semi")).select("value", "a", "root").distinct()
+    left = cut(left.join(classes.select("a", "n", *words), "a"), "ngrams-left")
+    # sizes and short sketches are held against each other inside the join, so that only pairs that may be similar leave it
     x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.a") < F.col("y.a")) & (F.col("x.root") != F.col("y.root")))
+    m, n = F.col("x.n"), F.col("y.n")
+    differ = functools.reduce(lambda p, q: p + q, (F.bit_count(F.col(f"x.k{k}").bitwiseXOR(F.col(f"y.k{k}"))) for k in range(SHORT)))
+    may = (100 * F.least(m, n) >= similar * F.greatest(m, n)) & ((100 + similar) * differ <= (100 - similar) * (m + n))
+    rest = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.a") < F.col("y.a")) & (F.col("x.root") != F.col("y.root")) & may)
     more = _pairs(rest.select(F.col("x.a").alias("x"), F.col("y.a").alias("y")), "ngrams-pairs", star, other)
     return cut(found.union(_linked(more, docs, classes, size, similar)), "ngrams-all-links")
 
@@ -311,9 +328,9 @@ def joined(rows: DataFrame, table: DataFrame, key: str, many: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable over links) of every document."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("t", F.xxhash64("text"))
-    rows = cut(base.mapInArrow(lambda b: _sets(b, size), "doc_id long, t long, a long, n long, sketch binary"), "ngrams-sets")
+    rows = cut(base.mapInArrow(lambda b: _sets(b, size), "doc_id long, t long, a long, n long, sketch binary, short array<long>"), "ngrams-sets")
     filled = rows.where("n > 0")
-    classes = cut(filled.groupBy("a").agg(F.min("doc_id").alias("least"), F.count("*").alias("many"), F.min("t").alias("t"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "ngrams-classes")
+    classes = cut(filled.groupBy("a").agg(F.min("doc_id").alias("least"), F.count("*").alias("many"), F.min("t").alias("t"), *(F.first(c).alias(c) for c in ("n", "sketch", "short"))), "ngrams-classes")
     root = components(links(base.select("t", "text"), classes, size, similar), "ngrams-components")
     rooted = cut(classes.join(root.withColumnRenamed("node", "a"), "a", "left").select("a", "many", "least", F.coalesce("root", "a").alias("root")), "ngrams-rooted")
     sizes = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
