@@ -250,7 +250,7 @@ def fit(spark: SparkSession, folder: str, library: str, soft: str, hard: str | N
     if any(c["status"] == "prepared" for c in run.manifest["columns"]):
         learn_soft(run, rounds)
     if any(c["hard"] and c["status"] != "blended" for c in run.manifest["columns"]):
-        learn_hard(run)
+        learn_hard(run, rounds)
     made = export(run, out)
     clean(run)
     return made

@@ -29,7 +29,7 @@ def made(spark, tmp_path_factory):
         csv.writer(f, delimiter="\t").writerows([["smiles", "activity"], *((t, int(v > 0.2)) for t, v in zip(texts[::3], value[::3], strict=True))])
     with open(folder / "queries.csv", "w", newline="") as f:
         csv.writer(f).writerows([["smiles"], *([t] for t in texts[:20]), ["?"]])
-    artifact = workflow.fit(spark, f"{folder}/run", f"{folder}/library.parquet", f"{folder}/soft.csv", f"{folder}/hard.tsv", f"{folder}/model", rounds=4)
+    artifact = workflow.fit(spark, f"{folder}/run", f"{folder}/library.parquet", f"{folder}/soft.csv", f"{folder}/hard.tsv", f"{folder}/model", rounds=4, width=128)
     return folder, artifact, texts
 
 
@@ -150,11 +150,11 @@ def _file(folder, name):
 def test_report_files(spark, tmp_path):
     from sparkstill.sources.reports import write_report
 
-    write_report(spark, {"soft": {"a": {"n": 3, "mae": float("nan"), "r2": 0.5}}, "hard": {"a": {"n": 3, "auroc": 1.0, "ef_top_0.1": 2.0}}, "notes": ["<b>"]}, str(tmp_path))
+    write_report(spark, {"soft": {"a": {"n": 3, "mae": float("nan"), "r2": 0.5}}, "hard": {"a": {"n": 3, "auroc": 1.0, "ef_top_0.1": 2.0}}, "notes": ["<b>"], "model": {"schema": "s", "columns": [{"name": "a", "heads": ["student"], "a_max": 0.0, "trained": {"n_train": 9}}]}, "data": {"soft a": {"file": "f.csv", "n": 3}}, "internals": {"a": {"student": {"trees": 2, "nodes": 6, "depth": 1, "anchors": 4, "map": [[0.0, 1.0], [2.0, 3.0]], "losses": [1.0]}, "a_max": 0.0}}}, str(tmp_path))
     rows = list(csv.DictReader(_file(tmp_path, "performance_table.csv")))
     assert [r["labels"] for r in rows] == ["soft", "hard"] and rows[0]["mae"] == "" and rows[1]["ef_top_0.1"] == "2.0"
     text = _file(tmp_path, "report.html").read()
-    assert "&lt;b&gt;" in text and "<h2>soft labels</h2>" in text and "<h2>hard labels</h2>" in text
+    assert "&lt;b&gt;" in text and all(f"<h2>{x}</h2>" in text for x in ("Configuration", "Tasks", "Data", "Teacher: soft labels", "Ranking: hard labels", "Internals"))
     write_report(spark, {}, f"{tmp_path}/empty")
     assert tables.load_json(spark, f"{tmp_path}/metrics.json")["soft"]["a"]["mae"] is None
 
@@ -164,15 +164,15 @@ def staged(spark, made):
     """A run whose stages are started one by one, each from the folder."""
     folder, _, _ = made
     at = f"{folder}/stages"
-    workflow.prepare(spark, at, f"{folder}/library.parquet", f"{folder}/soft.csv", f"{folder}/hard.tsv")
+    workflow.prepare(spark, at, f"{folder}/library.parquet", f"{folder}/soft.csv", f"{folder}/hard.tsv", width=128, task="binary")
     with pytest.raises(ValueError, match="not trained"):
         workflow.export(workflow.Run.open(spark, at), f"{folder}/early")
     with pytest.raises(ValueError, match="students"):
         workflow.learn_hard(workflow.Run.open(spark, at))
     found = workflow.tune_columns(workflow.Run.open(spark, at), 2, 2)
-    workflow.learn_soft(workflow.Run.open(spark, at), 3, maxDepth=3)
+    workflow.learn_soft(workflow.Run.open(spark, at), 3, max_depth=3)
     run = workflow.Run.open(spark, at)
-    assert run.column("c0")["settings"]["stepSize"] == found["activity_probability"]["stepSize"] and run.column("c0")["settings"]["maxDepth"] == 3
+    assert run.column("c0")["settings"]["learning_rate"] == found["activity_probability"]["learning_rate"] and run.column("c0")["settings"]["max_depth"] == 3
     workflow.learn_hard(run, 3, 15)
     return folder, at
 
@@ -268,7 +268,7 @@ def test_artifacts_of_other_fingerprints_or_without_models_are_refused(spark, ma
     _, artifact, _ = made
     artifact.save(spark, f"{tmp_path}/m")
     meta = tables.load_json(spark, f"{tmp_path}/m/metadata")
-    for change, match in (({"featurizer": {"kind": "other", "width": artifact.width}}, "fingerprints"), ({"featurizer": meta["featurizer"] | {"width": 128}}, "features"), ({"schema": "x"}, "schema"), ({"columns": [meta["columns"][0] | {"heads": ["student"]}]}, "heads"), ({"columns": meta["columns"] * 2}, "cannot be read")):
+    for change, match in (({"featurizer": {"kind": "other", "width": artifact.width}}, "fingerprints"), ({"featurizer": meta["featurizer"] | {"width": 64}}, "features"), ({"schema": "x"}, "schema"), ({"columns": [meta["columns"][0] | {"heads": ["student"]}]}, "heads"), ({"columns": meta["columns"] * 2}, "cannot be read")):
         tables.save_json(spark, f"{tmp_path}/m/metadata", meta | change)
         with pytest.raises(ArtifactError, match=match):
             Artifact.load(spark, f"{tmp_path}/m")
@@ -294,7 +294,13 @@ def test_notes_on_what_a_table_says(spark, made, tmp_path):
     report = workflow.validate(spark, artifact, None, f"{tmp_path}/none.csv")
     assert not report["hard"] and any("no rows" in x for x in report["notes"])
     again = workflow.validate(spark, artifact, None, f"{folder}/hard.tsv")
-    assert any("as many rows and positives" in x for x in again["notes"])
+    assert any("as many rows as" in x for x in again["notes"])
+    lines = (folder / "hard.tsv").read_text().splitlines(keepends=True)
+    (tmp_path / "part.tsv").write_text("".join(lines[:30]))
+    part = workflow.validate(spark, artifact, None, f"{tmp_path}/part.tsv", hard_key="smiles", hard_values=["activity"])
+    assert any("scored in-sample" in x for x in part["notes"]) and not any("as many rows as" in x for x in part["notes"])
+    alone = workflow.validate(spark, artifact)
+    assert any("internals only" in x for x in alone["notes"]) and alone["internals"]["activity_probability"]["student"]["trees"] >= 1
 
 
 def test_library_is_built_and_written(spark, tmp_path):
@@ -312,10 +318,12 @@ def test_commands(spark, staged, tmp_path):
 
     folder, _ = staged
     for line in (
-        f"prepare --library {folder}/library.parquet --soft-labels {folder}/soft.csv --run-dir {tmp_path}/run",
+        f"prepare --library {folder}/library.parquet --soft-labels {folder}/soft.csv --run-dir {tmp_path}/run --width 128 --soft-label-columns activity_probability --soft-key-column smiles",
+        f"tune --run-dir {tmp_path}/run --trials 2 --rounds 2 --max-rows 100",
         f"learn-soft --run-dir {tmp_path}/run --rounds 2",
         f"export --run-dir {tmp_path}/run --model {tmp_path}/model",
-        f"validate --model {tmp_path}/model --soft-labels {folder}/soft.csv --output {tmp_path}/report",
+        f"validate --model {tmp_path}/model --soft-labels {folder}/soft.csv --soft-label-columns activity_probability --output {tmp_path}/report",
+        f"library --input {folder}/queries.csv --output {tmp_path}/lib --fingerprints --width 32",
         f"clean --run-dir {tmp_path}/run",
     ):
         cli.main(line.split())
@@ -371,23 +379,6 @@ def test_row_numbers_of_tied_values(spark):
     assert q.keys() == want.keys() and all(abs(q[k] - want[k]) < 1e-9 for k in q)
 
 
-def test_neighbours_against_brute_force(spark, monkeypatch):
-    from sparkstill.operators import similarity
-
-    r = random.Random(2)
-    sets = {k: sorted(r.sample(range(40), r.choice([0, 1, 3, 6]))) for k in range(300)}
-    labelled = [k for k in sets if k % 4 == 0]
-    df = spark.createDataFrame(list(sets.items()), "id long, bits array<int>")
-    want = set()
-    for q, x in sets.items():
-        found = sorted((-len(set(x) & set(sets[k])) / len(set(x) | set(sets[k])), k) for k in labelled if set(x) & set(sets[k]))[:3]
-        want |= {(q, k, -s, rank) for rank, (s, k) in enumerate(found, 1)}
-    for bytes_, rows in ((1 << 20, 2048), (500, 7)):
-        monkeypatch.setattr(similarity, "BYTES", bytes_)
-        monkeypatch.setattr(similarity, "ROWS", rows)
-        assert {tuple(x) for x in similarity.neighbours(df, df.where("id % 4 = 0"), 3).collect()} == want
-
-
 @pytest.mark.parametrize(("mode", "want"), [("off", "none"), ("kde", "kde"), ("bins", "bins"), ("on", "bins"), ("auto", "none")])
 def test_weighting_modes(spark, mode, want):
     from sparkstill.operators import weights
