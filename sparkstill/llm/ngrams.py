@@ -234,12 +234,26 @@ def _similar(batches: Iterator[pa.RecordBatch], size: int, similar: int) -> Iter
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _short(classes: DataFrame) -> DataFrame:
+    """a, n and the words k0, k1, ... of the short sketch."""
+    return classes.select("a", "n", *(F.col("short")[k].alias(f"k{k}") for k in range(SHORT)))
+
+
+def _may(similar: int):
+    """Whether sizes and short sketches of x and y allow the similarity."""
+    m, n = F.col("x.n"), F.col("y.n")
+    differ = functools.reduce(lambda p, q: p + q, (F.bit_count(F.col(f"x.k{k}").bitwiseXOR(F.col(f"y.k{k}"))) for k in range(SHORT)))
+    return (100 * F.least(m, n) >= similar * F.greatest(m, n)) & ((100 + similar) * differ <= (100 - similar) * (m + n))
+
+
 @tidy
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame:
-    """The pairs a, b of classes that are similar: sketches first, then texts."""
-    one = classes.select("a", F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    other = classes.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    close = cut(pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda x: _close(x, similar), "a long, b long"), "ngrams-close")
+    """The pairs a, b of classes that are similar: sizes and short sketches first, then whole sketches, then texts."""
+    x, y = _short(classes).alias("x"), _short(classes).alias("y")
+    first = pairs.alias("p").join(x, F.col("p.a") == F.col("x.a"))
+    may = cut(first.join(y, (F.col("p.b") == F.col("y.a")) & _may(similar)).select("p.a", "p.b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")), "ngrams-may")
+    sketched = may.join(classes.select("a", F.col("sketch").alias("sa")), "a").join(classes.select(F.col("a").alias("b"), F.col("sketch").alias("sb")), "b")
+    close = cut(sketched.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda b: _close(b, similar), "a long, b long"), "ngrams-close")
     nodes = close.select("a").union(close.select(F.col("b").alias("a"))).distinct()
     wanted = small(cut(classes.join(nodes, "a", "left_semi").select("a", "t"), "ngrams-wanted"), 16 << 20)
     # one text of each class: rows of one text, however many, are put together before they move
@@ -296,15 +310,11 @@ def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, similar: int
     # those that are left, among themselves
     open_ = _open(listed, found, "ngrams-twice")
     heavy = open_.groupBy("a", "part").agg(F.sum(F.col("long").cast("int")).alias("n"), F.max("spare").alias("spare")).where("n > spare").select("a", "part")
-    words = [F.col("short")[k].alias(f"k{k}") for k in range(SHORT)]
     left = open_.where("not long").unionByName(open_.where("long").join(heavy, ["a", "part"], "left_semi")).select("value", "a", "root").distinct()
-    left = cut(left.join(classes.select("a", "n", *words), "a"), "ngrams-left")
+    left = cut(left.join(_short(classes), "a"), "ngrams-left")
     # sizes and short sketches are held against each other inside the join, so that only pairs that may be similar leave it
     x, y = left.alias("x"), left.alias("y")
-    m, n = F.col("x.n"), F.col("y.n")
-    differ = functools.reduce(lambda p, q: p + q, (F.bit_count(F.col(f"x.k{k}").bitwiseXOR(F.col(f"y.k{k}"))) for k in range(SHORT)))
-    may = (100 * F.least(m, n) >= similar * F.greatest(m, n)) & ((100 + similar) * differ <= (100 - similar) * (m + n))
-    rest = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.a") < F.col("y.a")) & (F.col("x.root") != F.col("y.root")) & may)
+    rest = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.a") < F.col("y.a")) & (F.col("x.root") != F.col("y.root")) & _may(similar))
     more = _pairs(rest.select(F.col("x.a").alias("x"), F.col("y.a").alias("y")), "ngrams-pairs", star, other)
     return cut(found.union(_linked(more, docs, classes, size, similar)), "ngrams-all-links")
 
