@@ -4,7 +4,7 @@ Values are dealt to parts by cut points (approximate quantiles), a window runs i
 part, and the totals of the parts before are added from a table of one row per part (and
 group). Rows are numbered through a range partitioning by value and ties together, so that
 a value that most rows share is split as well. Parts are as many as the session's shuffle
-partitions, which grow with the data.
+partitions, a setting that has to be raised with the data.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def row_numbers(df: DataFrame, value: str, ties: list[str], out: str = "rn", des
     """1-based numbers in the order of value, then ties.
 
     Rows are range-partitioned, sorted and written once; a row's number is its place in its
-    partition and the rows of those before.
+    partition and the rows of those before. The table is deleted when the session's driver ends.
     """
     spark, keys = df.sparkSession, [F.col(value).desc() if descending else F.col(value).asc(), *ties]
     ranged = df.repartitionByRange(n_parts(df), *keys).sortWithinPartitions(*keys)

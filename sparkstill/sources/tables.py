@@ -103,11 +103,20 @@ def delete(spark: SparkSession, path: str) -> int:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    """A new folder below spark.checkpoint.dir; a local session without one gets a temporary folder.
+
+    All of a session's folders are in one folder, which is deleted when its driver ends: a table
+    that a lazy result reads cannot be deleted earlier.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
+    own = f"{base or tempfile.mkdtemp(prefix='spark-')}/session-{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def json_safe(x):
