@@ -7,7 +7,7 @@ alike. Statistics are frozen after learning, so the code length of a text is a s
 costs, one for each byte; the language with the shortest code is predicted.
 
 Learning takes a bounded sample of labelled documents per language (`per_lang`, chosen by
-a hash of id and language so that every document may be in it); scoring covers every whole text.
+a hash of id and language so that every document may be in it; of the text where there is no id); scoring covers every whole text.
 
 Nulls and texts without a letter are `und` with score 0; rows without a language do not
 teach; repeated rows count each. An empty table gives no rows. Only the named columns are
@@ -56,17 +56,23 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([size] * len(keys), pa.int32()), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "size", "gram", "n"])
 
 
-def learn(labelled: DataFrame, order: int = ORDER, per_lang: int = PER_LANG) -> dict:
-    """Cost tables from labelled (doc_id, text, lang): what the driver gets is bounded by the sample's distinct grams."""
-    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+def sample(rows: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+    """text and lang of about per_lang documents of each language, out of (doc_id, text, lang) without nulls in text and lang; a language of fewer is taken whole."""
     counts = {x["lang"]: x["n"] for x in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return {"langs": [], "order": order}
+        return rows.select("text", "lang")
     share = F.element_at(F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_lang / n)))), F.col("lang"))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "lang"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(draw < share).select("text", "lang")
-    found = sample.mapInArrow(lambda b: _count(b, order), "lang string, size int, gram long, n long")
-    return costs(found.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).toPandas(), order)
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # rows without an id do not share one draw
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "lang", own), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.where(draw < share).select("text", "lang")
+
+
+def learn(labelled: DataFrame, order: int = ORDER, per_lang: int = PER_LANG) -> dict:
+    """Cost tables from labelled (doc_id, text, lang): what the driver gets is bounded by the sample's distinct grams."""
+    drawn = sample(labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()), per_lang)
+    found = drawn.mapInArrow(lambda b: _count(b, order), "lang string, size int, gram long, n long")
+    counts = found.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).toPandas()
+    return costs(counts, order) if len(counts) else {"langs": [], "order": order}
 
 
 def costs(counts, order: int) -> dict:

@@ -368,6 +368,13 @@ def test_code_lengths_are_those_of_the_trees():
         assert langid._batch_lengths(model, ["zz", text])[1] == pytest.approx(want, rel=1e-4)
 
 
+def test_rows_without_an_id_are_sampled_one_by_one(spark):
+    rows = spark.range(4000).selectExpr("cast(null as long) doc_id", "concat('text ', id) text", "if(id % 4 = 0, 'a', 'b') lang")
+    got = {r["lang"]: r["count"] for r in langid.sample(rows, 300).groupBy("lang").count().collect()}
+    assert got.keys() == {"a", "b"} and all(200 < n < 400 for n in got.values())
+    assert langid.sample(rows, 5000).count() == 4000 and langid.sample(rows.where("false")).count() == 0
+
+
 def test_sharding(docs, texts):
     rows, slot_map = sharding.shard(docs, n_shards=5, n_slots=256)
     found = rows.collect()
