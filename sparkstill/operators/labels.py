@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from ..sources.tables import shared_folder
 
 #: A binary column needs so many rows, and so many of each class.
 LEAST_ROWS, LEAST_CLASS = 4, 2
@@ -41,7 +42,10 @@ def class_balance(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def prepare_binary(df: DataFrame, library: DataFrame, key: str, column: str, task: str = "auto") -> DataFrame:
     """Rows of one label column that can be learned from: value known, library row parsed. Errors for other tasks and too few rows."""
-    rows = df.where(finite(F.col(column))).join(library, key).where(F.size("features") > 0).select(key, "features", F.col(column).cast("double").alias("y"))
+    found = df.where(finite(F.col(column))).join(library, key).where(F.size("features") > 0).select(key, "features", F.col(column).cast("double").alias("y"))
+    path = shared_folder(df.sparkSession, "prepared")  # texts are looked at once
+    found.write.parquet(path)
+    rows = df.sparkSession.read.schema(found.schema).parquet(path)
     found = detect_task(rows, "y")
     if task == "regression" or (task == "auto" and found == "regression"):
         raise NotImplementedError("only binary label columns can be learned")
