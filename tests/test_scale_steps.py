@@ -41,3 +41,23 @@ def test_a_library_of_several_files_keeps_their_order(spark, tmp_path):
         next((tmp_path / f"part-{k}").glob("part-*.parquet")).rename(tmp_path / "documents.parquet" / f"{k}.parquet")
     found = registry.library_fingerprints(spark, str(tmp_path)).groupBy("row_id").agg(F.sum("c").alias("n")).collect()
     assert {r["row_id"]: r["n"] for r in found} == {2: 39, 3: 39, 4: 399, 5: 399}  # texts of one word have no pair
+
+
+def test_many_anchors_are_looked_up_in_batches(spark):
+    """By a search over batches (the plan has no filter over the anchors), with the values of the plain formula."""
+    import numpy as np
+
+    from sparkstill.functions.scalars import interpolate
+
+    xs = np.sort(np.random.default_rng(5).normal(size=200))
+    ys = np.sort(np.random.default_rng(6).normal(size=200))
+    asked = [None, float("nan"), float("inf"), -float("inf"), *xs[[0, 7, 199]].tolist(), *np.linspace(-4, 4, 50).tolist()]
+    for sign in (1, -1):
+        df = spark.createDataFrame([(x,) for x in asked], "x double").withColumn("y", interpolate(F.col("x"), xs.tolist(), ys.tolist(), sign))
+        assert "ArrowEvalPython" in df._jdf.queryExecution().toString()
+        for r in df.collect():
+            if r["x"] is None:
+                assert r["y"] is None
+            else:
+                want = ys[-1] if r["x"] != r["x"] else np.interp(sign * r["x"], xs, ys)
+                assert abs(r["y"] - want) < 1e-12
