@@ -77,7 +77,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
     if distance > 2:
         raise ValueError("cells one step away cover distances up to 2")
     left, right = cells(prints, segments), cells(prints, segments)
-    pair = left.select("cell", F.col("fp").alias("a")).join(right.select("cell", F.col("fp").alias("b")), "cell")
+    # by a shuffle: Spark takes exploded rows to be no more than those before, and would gather up to 33 a fingerprint for a broadcast
+    pair = left.select("cell", F.col("fp").alias("a")).join(right.select("cell", F.col("fp").alias("b")).hint("merge"), "cell")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     return pair.where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
 
