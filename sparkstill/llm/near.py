@@ -1,11 +1,16 @@
-"""Near-duplicate documents by an exact set-similarity join.
+"""Near-duplicate documents by SimHash, and an exact set-similarity join for what it leaves open.
 
 A document is the set of its five-word shingles (of fewer words: the whole of it; words as
 in `simhash.fingerprint`). Documents with a Jaccard similarity of THRESHOLD or more are
-linked. At 0.8 SimHash fingerprints differ in about 10 of 64 bits, and in up to 20 now and
-then, where unlike texts begin: no radius finds all pairs, so that pairs are found from the sets.
+linked. Equal sets are one class.
 
-Equal sets are one class. Similar sets share a token of their prefixes (rare tokens first,
+Each class has a SimHash fingerprint of its shingles. Fingerprints that differ in few bits are
+found by the grid of segment popcounts (`simhash.links`), and candidates are verified by their
+Jaccard similarity. At 0.8 fingerprints differ in about 10 of 64 bits, and in up to 20 now and
+then, where unlike texts begin: no radius finds all pairs, so that classes which these links do
+not connect are compared further, exactly.
+
+Similar sets share a token of their prefixes (rare tokens first,
 by counts per hash bucket, a table of fixed size; any order is exact). Each class is
 compared with the first of each token's list; only pairs in lists of three or more that
 these links do not connect are compared further, a pair once, at its first common token.
@@ -26,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import cut, small, tidy, unpacked, whole_row
 from .components import components
 
@@ -79,7 +85,7 @@ def _sets(batches: Iterator[pa.RecordBatch], scale, size: int, threshold: float)
     from xxhash import xxh64_intdigest
 
     for batch in batches:
-        sets, sizes, prefixes, parities = [], [], [], []
+        sets, sizes, prefixes, parities, prints = [], [], [], [], []
         for text in batch.column("text"):
             t = tokens(text.as_py(), size)
             keys = (scale[t & np.uint64(BUCKETS - 1)].astype(np.uint64) << np.uint64(56)) | (t >> np.uint64(8))
@@ -90,8 +96,9 @@ def _sets(batches: Iterator[pa.RecordBatch], scale, size: int, threshold: float)
             sizes.append(len(t))
             prefixes.append(np.sort(keys)[:n].view(np.int64))
             parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-        columns = [pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column("n"), *columns], ["n", "a", "size", "prefix", "parity"])
+            prints.append(simhash.majority(t))
+        columns = [pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column("n"), *columns], ["n", "a", "size", "prefix", "parity", "fp"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], size: int, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -151,17 +158,35 @@ def shared_postings(classes: DataFrame) -> DataFrame:
     return cut(listed.join(first, "token").where(F.col("a") != F.col("first.a")), "near-postings")
 
 
+def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """The pairs a, b whose ends are not in one component of root (node, root)."""
+    ends = [root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")]
+    return pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*(F.col(c) for c in pairs.columns))
+
+
+@tidy
+def simhash_links(texts: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs a, b of similar classes that SimHash finds: of equal fingerprints each class with the first one, of fingerprints that differ in few bits the first ones."""
+    prints = cut(classes.groupBy("fp").agg(F.min("a").alias("first"), F.count("*").alias("n")), "near-prints")
+    same = classes.select("a", "fp").join(prints.where("n > 1"), "fp").where("a <> first").select("a", F.col("first").alias("b"))
+    ends = [prints.select(F.col("fp").alias(c), F.col("first").alias(f"f{c}")) for c in ("a", "b")]
+    close = cut(simhash.links(prints.select("fp")), "near-close").join(ends[0], "a").join(ends[1], "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    return _verified(same.union(close), texts, classes, size, threshold)
+
+
 @tidy
 def links(texts: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs a, b of similar classes that connect all that are connected, out of texts (n, text) and classes (a, n, size, prefix, parity)."""
+    """Pairs a, b of similar classes that connect all that are connected, out of texts (n, text) and classes (a, n, size, prefix, parity, fp)."""
+    hashed = simhash_links(texts, classes, size, threshold)
     shared = shared_postings(classes)
     place = lambda v: v.bitwiseAND((1 << 32) - 1)
     before = F.least(place(F.col("at")), place(F.col("first.at")))
     may = shared.where(_may_match(F.col("at"), F.col("first.at"), before, threshold))
     star = may.groupBy("a", F.col("first.a").alias("b")).agg(F.max(_most(F.col("at"), F.col("first.at"), threshold)).alias("most"))
     parity = classes.select("a", "parity")
+    star = apart(star, components(hashed, "near-simhash"))
     star = star.join(parity, "a").join(parity.select(F.col("a").alias("b"), F.col("parity").alias("other")), "b")
-    found = _verified(star.where(_differ("parity", "other") <= F.col("most")).select("a", "b"), texts, classes, size, threshold)
+    found = cut(hashed.union(_verified(star.where(_differ("parity", "other") <= F.col("most")).select("a", "b"), texts, classes, size, threshold)), "near-first")
     root = components(found, "near-star")
     # classes that are not connected yet, against the others of their lists; both sides have the same columns, so that they share a shuffle
     # (two that are not the first of a list meet in lists of three or more only)
@@ -172,15 +197,13 @@ def links(texts: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold:
     x, y = others.alias("x"), others.alias("y")
     near = _may_match(F.col("x.at"), F.col("y.at"), F.lit(0), threshold) & (_differ("x.parity", "y.parity") <= _most(F.col("x.at"), F.col("y.at"), threshold))
     once = F.array_min(F.array_intersect("x.mine", "y.mine")) == F.col("x.token")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.a") < F.col("y.a")) & (F.col("x.root") != F.col("y.root")) & near & once)
+    rest = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.a") < F.col("y.a")) & (F.col("x.root") != F.col("y.root")) & near & once)
     pair = [F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.least("x.root", "y.root").alias("u"), F.greatest("x.root", "y.root").alias("v")]
     open_ = cut(rest.select(*pair, _differ("x.parity", "y.parity").alias("d")), "near-open")
     # of the pairs between two groups the one with the least difference first; then those that are not connected by what this found
     best = cut(open_.groupBy("u", "v").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")).select("p.*"), "near-best")
     more = _verified(best, texts, classes, size, threshold)
-    now = components(found.union(more), "near-more")
-    ends = [now.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")]
-    left = open_.join(best, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    left = apart(open_.join(best, ["a", "b"], "left_anti"), components(found.union(more), "near-more"))
     last = _verified(left.select("a", "b"), texts, classes, size, threshold)
     return cut(found.union(more).union(last), "near-all-links")
 
@@ -194,8 +217,8 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def roots(texts: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """n and root (the same for all rows that links connect) of texts (n, text)."""
     scale = texts.sparkSession.sparkContext.broadcast(rarity(texts, size))
-    rows = cut(texts.mapInArrow(lambda b: _sets(b, scale.value, size, threshold), "n long, a long, size int, prefix array<long>, parity array<long>"), "near-sets")
-    classes = cut(rows.groupBy("a").agg(F.min("n").alias("n"), *(F.first(c).alias(c) for c in ("size", "prefix", "parity"))), "near-classes")
+    rows = cut(texts.mapInArrow(lambda b: _sets(b, scale.value, size, threshold), "n long, a long, size int, prefix array<long>, parity array<long>, fp long"), "near-sets")
+    classes = cut(rows.groupBy("a").agg(F.min("n").alias("n"), *(F.first(c).alias(c) for c in ("size", "prefix", "parity", "fp"))), "near-classes")
     root = components(links(texts, classes, size, threshold), "near-components")
     return cut(rows.select("n", "a").join(root.withColumnRenamed("node", "a"), "a", "left").select("n", F.coalesce("root", "a").alias("root")), "near-roots")
 

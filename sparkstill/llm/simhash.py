@@ -26,6 +26,16 @@ from .components import components
 SEGMENTS, DISTANCE, SEED = 16, 2, 42
 
 
+def majority(hashes) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit number; 0 if there are none."""
+    import numpy as np
+
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str | None, size: int = 3) -> int:
     """The fingerprint of one text, as a signed 64-bit number."""
     import numpy as np
@@ -36,11 +46,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
         return 0
     last = max(1, len(words) - size + 1)
     shingles = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
-    hashes = np.fromiter((xxh64_intdigest(x, SEED) for x in shingles), np.uint64, last)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, last, 1 << 16):
-        ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > last, bitorder="little").view(np.int64)[0])
+    return majority(np.fromiter((xxh64_intdigest(x, SEED) for x in shingles), np.uint64, last))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from sparkstill.llm import near, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -72,3 +73,27 @@ def test_near_copies_go_and_the_others_stay(spark):
     want = _brute(rows)
     got = [x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
     assert sorted(got) == sorted(want) and 28 < len(want) < len(rows) - 60
+
+
+def test_simhash_finds_the_links_that_it_can_and_the_join_compares_what_is_left(spark, monkeypatch):
+    """Similar sets within two bits are connected by their fingerprints; the result is that of all links."""
+    r = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"v{r.randrange(10**6)}" for _ in range(400)]
+        texts += [base, base[:399], [*base, "one", "more"], [*base[:200], *(f"u{r.randrange(10**6)}" for _ in range(10)), *base[210:]]]
+    rows = [(k, " ".join(x)) for k, x in enumerate(texts)]
+    prints = [simhash.majority(near.tokens(x)) for _, x in rows]
+    close = {(i, j) for i in range(len(rows)) for j in range(i) if ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 2}
+    seen = []
+    plain = near.simhash_links
+
+    def counted(*a):
+        out = plain(*a)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "simhash_links", counted)
+    got = [x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
+    assert sorted(got) == sorted(_brute(rows))
+    assert len({i for i, _ in close}) >= 12 and len({i for i, _ in close}) <= seen[0] <= len(close)
