@@ -15,10 +15,10 @@ the first hash that serves either of them.
 
 Sets of equal tokens are one class. In the list of a segment's value every class is
 compared with the first and the last one, in two orders; then classes that the links found do
-not connect are compared among themselves. Lists that join many such classes, as the segments of
-passages that many documents share do, are left out for a set of which they hold no more segments
-than it has to spare: similar sets have at least as many equal segments as one of them has
-segments over D. Pairs are held against whole sketches first, then verified from
+not connect are compared among themselves. Similar sets have at least as many equal segments as either
+of them has segments over D, so that a set shares more than it has to spare: one that shares fewer, as those
+that have a passage in common do, is left out before its segments move, and again among the lists of classes that are
+not connected, in all of them and in those that join many such classes. Pairs are held against whole sketches first, then verified from
 their texts, so that each link is exact.
 
 Tokens and classes are known by 64-bit hashes. Nulls: a null text, or one without words, is an empty set, which is linked
@@ -169,7 +169,8 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 def _filed(batches: Iterator[pa.RecordBatch], size: int, similar: int, table=None, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """value and a of each signature; a class that this task has just filed is not filed again.
 
-    With a table of bits that shared values set, those values only, with their band and hash (`part`) and the segments that a has to spare there.
+    With a table of bits that shared values set, those values only, with their band and hash (`part`) and the segments that a has to spare there,
+    and none of a band and hash in which a shares no more than that.
     """
     import numpy as np
 
@@ -183,6 +184,8 @@ def _filed(batches: Iterator[pa.RecordBatch], size: int, similar: int, table=Non
         if table is not None:
             at = values & np.uint64(64 * len(table) - 1)
             met = (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+            n_met = np.bincount(np.repeat(np.arange(len(held)), sizes), met, len(held))
+            met &= np.repeat(n_met > np.array([h[2] for h in held]), sizes)
             columns = [c[met] for c in columns]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["value", "a", "part", "spare"][: len(columns)])
 
@@ -309,8 +312,9 @@ def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, similar: int
     found = cut(found.union(_linked(other, docs, classes, size, similar)), "ngrams-both")
     # those that are left, among themselves
     open_ = _open(listed, found, "ngrams-twice")
-    heavy = open_.groupBy("a", "part").agg(F.sum(F.col("long").cast("int")).alias("n"), F.max("spare").alias("spare")).where("n > spare").select("a", "part")
-    left = open_.where("not long").unionByName(open_.where("long").join(heavy, ["a", "part"], "left_semi")).select("value", "a", "root").distinct()
+    counts = open_.groupBy("a", "part").agg(F.count("*").alias("n"), F.sum(F.col("long").cast("int")).alias("n_long"), F.max("spare").alias("spare"))
+    enough = counts.where("n > spare").select("a", "part", F.expr("n_long > spare").alias("heavy"))
+    left = open_.join(enough, ["a", "part"]).where("not long or heavy").select("value", "a", "root").distinct()
     left = cut(left.join(_short(classes), "a"), "ngrams-left")
     # sizes and short sketches are held against each other inside the join, so that only pairs that may be similar leave it
     x, y = left.alias("x"), left.alias("y")

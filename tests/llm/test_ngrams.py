@@ -145,3 +145,24 @@ def test_a_shared_passage_makes_few_pairs(spark, monkeypatch):
         rows += [(1000 + k, rows[k][1] + " more") for k in range(3)]
         assert found(spark, rows) == plain(rows)
     assert sum(seen[3:]) <= 7 * sum(seen[:3])
+
+
+def test_a_set_that_shares_too_little_is_not_listed():
+    """Texts with a passage in common share fewer segments than similar ones must; their segments stay where they are."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(8)
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join(passage + [f"w{r.randrange(10**6)}" for _ in range(240)]) for _ in range(20)]
+    texts.append(texts[0] + " more")
+    batch = lambda: iter([pa.RecordBatch.from_pydict({"text": texts})])
+    filed = pa.Table.from_batches(ngrams._filed(batch(), 4, 85)).to_pandas()
+    many = filed.groupby("value").a.nunique()
+    table = np.zeros(1 << 16, np.uint64)
+    at = many[many > 1].index.to_numpy().view(np.uint64) & np.uint64((1 << 22) - 1)
+    np.bitwise_or.at(table, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    listed = pa.Table.from_batches(ngrams._filed(batch(), 4, 85, table)).to_pandas()
+    of = [ngrams._class(ngrams.tokens(t, 4)) for t in texts]
+    assert filed.a.nunique() == 21 and filed[filed.value.isin(many[many > 1].index)].a.nunique() > 10
+    assert {of[0], of[20]} <= set(listed.a) and listed.a.nunique() <= 4
