@@ -75,7 +75,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for batch in batches:
         if batch.num_rows:
             part = batch.column("part")[0].as_py()
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text").to_pylist(), path), strict=True):
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded((x.as_py() for x in batch.column("text")), path), strict=True):
             held.append(np.append(ids, np.uint32(0)))
             docs.append(doc_id)
             n_ids += len(held[-1])

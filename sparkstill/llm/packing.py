@@ -42,7 +42,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
 
     for batch in batches:
         out: list[tuple] = []
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text").to_pylist(), path), strict=True):
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded((x.as_py() for x in batch.column("text")), path), strict=True):
             whole = np.append(ids, np.uint32(0)).tobytes()
             n = len(whole) // 4
             head = (n - 1) % capacity + 1

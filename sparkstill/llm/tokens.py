@@ -59,7 +59,7 @@ class UnitEncoder:
     most: units kept at a time; longest: characters of a unit that is kept.
     """
 
-    def __init__(self, path: str, most: int = 250_000, longest: int = 40):
+    def __init__(self, path: str, most: int = 60_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         import tiktoken
@@ -148,10 +148,11 @@ def encoder(path: str) -> UnitEncoder:
     return _ENCODERS[path]
 
 
-def encoded(texts: Iterable[str | None], path: str, chars: int = 4_000_000) -> Iterator:
+def encoded(texts: Iterable[str | None], path: str, chars: int = 1_000_000) -> Iterator:
     """Each text's ids as an array of unsigned 32-bit numbers, in order (null: as empty).
 
-    Runs of texts of about `chars` characters are encoded together, which bounds what is held.
+    Runs of texts of about `chars` characters are encoded together, which bounds what is held
+    if texts are made one by one.
     """
     use, run, size = encoder(path), [], 0
     for x in texts:

@@ -35,6 +35,35 @@ def test_ranks_are_those_of_the_rank_file():
         assert tokens.merge_ranks(queries.VOCABULARY) == {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@pytest.mark.parametrize("rows_of", [lambda b: packing._pieces(b, queries.VOCABULARY, 2048), lambda b: binary._chunks(b, queries.VOCABULARY)], ids=["packing", "binary"])
+def test_encoding_holds_few_texts_at_a_time(monkeypatch, rows_of):
+    """Texts of a batch are made one by one and encoded in runs of a million characters."""
+    text, made, runs, encode = "alpha beta gamma delta " * 40, [], [], tokens.UnitEncoder.encode
+
+    class Text:
+        def as_py(self):
+            made.append(1)
+            return text
+
+    class Column(list):
+        def __getitem__(self, k):
+            return Text()
+
+        def to_pylist(self):
+            return [x.as_py() if isinstance(x, Text) else x for x in self]
+
+    class Batch:
+        num_rows = 0
+
+        def column(self, name):
+            return Column([Text() for _ in range(4000)] if name == "text" else range(4000))
+
+    monkeypatch.setattr(tokens.UnitEncoder, "encode", lambda self, texts: (runs.append((len(texts), len(made))), encode(self, texts))[1])
+    assert sum(x.num_rows for x in rows_of(iter([Batch()]))) > 0
+    assert [n for _, n in runs] == np.cumsum([n for n, _ in runs]).tolist() and sum(n for n, _ in runs) == 4000
+    assert max(n for n, _ in runs) * len(text) < 1_100_000
+
+
 def test_packing(docs, ids):
     found = packing.pack(docs, queries.VOCABULARY).collect()
     got = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found)
