@@ -12,8 +12,9 @@ it quick). Similar lines share a
 token of their prefixes, so representatives are joined over prefix tokens, with the length
 and the positional filter, and candidates are verified by their Jaccard similarity. A line
 is first compared with the first line of each token's list; only lines that this does not
-settle are compared with the others of their lists, a pair once, at its first common token,
+settle are compared with the others of their lists (lists of three or more only), a pair once, at its first common token,
 and after one more bound: a token of one set only changes one bit of the sets' parities.
+Only lines of a pair that may match, or of a list with something left, are made tokens of again.
 All of it is DataFrame operations.
 
 Nulls: a null text stays null; a null id counts as the first. Rows that repeat an id and a
@@ -96,7 +97,7 @@ def _may_match(x: Column, y: Column, before: Column, threshold: float) -> Column
 
 @tidy
 def shared_postings(reps: DataFrame) -> DataFrame:
-    """token, a line's position, one (its size and the token's place, as size << 32 | place) and first (position and one of the token's first line), for tokens of two lines or more.
+    """token, a line's position, one (its size and the token's place, as size << 32 | place), first (position and one of the token's first line) and n (the token's lines), for tokens of two lines or more.
 
     Tokens are counted first, with partial sums, so that no list meets in one task and only
     the postings of shared tokens are looked at again.
@@ -105,17 +106,11 @@ def shared_postings(reps: DataFrame) -> DataFrame:
     postings = reps.select(*_POSITION, one.alias("one"), F.posexplode("prefix").alias("i", "token")).select("token", *_POSITION, (F.col("one") + F.col("i")).alias("one"))
     shared = cut(postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "line-shared")
     listed = cut(postings.join(small(shared), "token"), "line-listed")
-    first = listed.groupBy("token").agg(F.min(F.struct(*_POSITION, "one")).alias("first"))
-    found = cut(listed.join(first, "token").select("token", F.struct(*_POSITION).alias("p"), "one", F.struct(*(f"first.{c}" for c in _POSITION)).alias("first"), F.col("first.one").alias("first_one")), "line-postings")
+    first = listed.groupBy("token").agg(F.min(F.struct(*_POSITION, "one")).alias("first"), F.count("*").alias("n"))
+    found = cut(listed.join(first, "token").select("token", F.struct(*_POSITION).alias("p"), "one", F.struct(*(f"first.{c}" for c in _POSITION)).alias("first"), F.col("first.one").alias("first_one"), "n"), "line-postings")
     return found
 
 
-def parity(tokens: Column, shift: int) -> Column:
-    """64 bits: whether an odd number of tokens has each value of six bits of the hash. A token of one set only changes one bit."""
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, shift).bitwiseAND(63).cast("int"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(bit(t)))
-
-
 def listed(positions: DataFrame, name: str) -> DataFrame:
     """id, u and the line numbers (`name`) of positions, by document."""
     return cut(positions.groupBy(F.col("doc_id").alias("id"), F.col("t").alias("u")).agg(F.collect_set("line_no").alias(name)), f"line-{name}")
@@ -128,14 +123,19 @@ def _of(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
 
 @tidy
 def tokens_of(docs: DataFrame, positions: DataFrame) -> DataFrame:
-    """p (a position), tokens and two parities of the lines at some positions, once for rows that are repeated."""
+    """p (a position) and tokens of the lines at some positions, once for rows that are repeated."""
     wanted = listed(positions, "wanted")
     once = docs.where("not again").union(docs.where("again").dropDuplicates(["doc_id", "t"]))
     some = _of(once, wanted).select("doc_id", "t", F.split("text", "\n").alias("l"), F.explode("wanted").alias("line_no"))
     split_ = some.select(F.struct(*_POSITION).alias("p"), line_words(F.get("l", F.col("line_no"))).alias("w"))
-    with_parity = let(shingles(F.col("w")), lambda v: F.struct(v.alias("tokens"), parity(v, 0).alias("even"), parity(v, 8).alias("odd")))
-    found = cut(split_.select("p", with_parity.alias("v")).select("p", "v.*"), "line-tokens")
-    return found
+    return cut(split_.select("p", shingles(F.col("w")).alias("tokens")), "line-tokens")
+
+
+def parities(tokens: DataFrame) -> DataFrame:
+    """p and two parities of each row's tokens, 64 bits: whether an odd number of tokens has each value of six bits of the hash. A token of one set only changes one bit."""
+    bit = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("k", shift).bitwiseAND(63).cast("int"))
+    each = tokens.select("p.*", F.explode("tokens").alias("k"))
+    return each.groupBy(*_POSITION).agg(F.bit_xor(bit(0)).alias("even"), F.bit_xor(bit(8)).alias("odd")).select(F.struct(*_POSITION).alias("p"), "even", "odd")
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
@@ -147,20 +147,33 @@ def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFram
     return cut(found, "line-found")
 
 
+@tidy
+def unsettled(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """token, p, one and settled (1 if p is among `found`) of the lists that have something left to compare: two lines or more after the first, one of them not settled."""
+    settled = found.select(F.col("x").alias("p"), F.lit(1).alias("settled"))
+    rest = cut(shared.where((F.col("n") > 2) & (F.col("p") != F.col("first"))).select("token", "p", "one").join(settled, "p", "left").fillna(0, ["settled"]), "line-rest")
+    open_ = cut(rest.where("settled = 0").select("token").distinct(), "line-open")
+    return cut(rest.join(small(open_), "token"), "line-left")
+
+
 @tidy
 def similar_to_earlier(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """x: positions of the representatives that have an earlier similar line."""
     shared = shared_postings(reps)
-    tokens = tokens_of(docs, shared.select("p.*"))
     place = lambda v: v.bitwiseAND((1 << 32) - 1)
     at_most = F.least(place(F.col("one")), place(F.col("first_one")))
     star = shared.where((F.col("p") != F.col("first")) & _may_match(F.col("one"), F.col("first_one"), at_most, threshold))
-    found = _verified(star.select(F.col("p").alias("x"), F.col("first").alias("y")).distinct(), tokens, threshold)
+    star = cut(star.select(F.col("p").alias("x"), F.col("first").alias("y")).distinct(), "line-star")
+    compared = tokens_of(docs, star.select(F.explode(F.array("x", "y")).alias("p")).select("p.*"))
+    found = _verified(star, compared, threshold)
     # lines not settled by the first of a list, against the others before them; a pair meets in the list of
     # each shared token, and counts in that of the first one only, before which the two have none in common
-    lists = shared.groupBy("p").agg(F.sort_array(F.collect_list("token")).alias("mine")).join(tokens.select("p", "even", "odd"), "p")
-    lists = lists.join(found.select(F.col("x").alias("p"), F.lit(1).alias("settled")), "p", "left").fillna(0, ["settled"])
-    others = cut(shared.where(F.col("p") != F.col("first")).select("token", "p", "one").join(lists, "p"), "line-others")
+    left = unsettled(shared, found)
+    lines = cut(left.select("p").distinct(), "line-compared")
+    more_lines = tokens_of(docs, lines.join(compared.select("p"), "p", "left_anti").select("p.*"))
+    tokens = compared.join(lines, "p", "left_semi").union(more_lines)
+    lists = shared.select("p", "token").join(lines, "p", "left_semi").groupBy("p").agg(F.sort_array(F.collect_list("token")).alias("mine"))
+    others = cut(left.join(lists.join(parities(tokens), "p"), "p"), "line-others")
     # both sides have the same columns and no filter of their own, so that they share a shuffle; only unsettled lines count as x
     x, y = others.alias("x"), others.alias("y")
     differ = F.greatest(*(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("even", "odd")))

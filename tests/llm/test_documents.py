@@ -438,3 +438,20 @@ def test_parts_equal_their_sql(spark, name):
     assert columns == sorted(want.columns)
     at = [want.columns.index(c) for c in columns]
     assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(tuple(r[k] for k in at) for r in want.fetchall())
+
+
+def test_lines_are_made_tokens_of_only_where_pairs_are_left(spark, monkeypatch):
+    """Lines whose lengths are too far apart, and lists that their first line settles, are not read again."""
+    import random
+
+    r, seen, real = random.Random(9), [], lines.tokens_of
+    monkeypatch.setattr(lines, "tokens_of", lambda docs, positions: (seen.append(positions.distinct().count()), real(docs, positions))[1])
+    new = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    base, rows = new(60), []
+    for k in range(8):  # a rare passage alone, and with a long rest: too far apart to be similar
+        passage = new(6)
+        rows += [(k, " ".join(passage)), (50 + k, " ".join(passage + r.sample(base, 40)))]
+    rows += [(100 + k, " ".join([*base, f"end{k}"])) for k in range(30)]  # all settled by the first
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == _brute_lines(rows)
+    assert seen[0] == 30 and sum(seen[1:]) == 0
