@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -43,6 +44,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(table: DataFrame) -> DataFrame:
+    """table, after the shuffle files of what was run before it are given up: Spark deletes them when the driver's garbage is collected, which a small heap may put off for long."""
+    gc.collect()
+    table.sparkSession._jvm.System.gc()
+    return table
+
+
 def free(spark: SparkSession, paths: list[str], unless_read_by: tuple = ()) -> list[str]:
     """Delete tables that none of some DataFrames reads; returns the others."""
     files = [f for x in unless_read_by if isinstance(x, DataFrame) for f in x.inputFiles()]

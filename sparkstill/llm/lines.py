@@ -12,8 +12,9 @@ it quick). Similar lines share a
 token of their prefixes, so representatives are joined over prefix tokens, with the length
 and the positional filter, and candidates are verified by their Jaccard similarity. A line
 is first compared with the first line of each token's list; only lines that this does not
-settle are compared with the others of their lists (lists of three or more only), a pair once, at its first common token,
-and after one more bound: a token of one set only changes one bit of the sets' parities.
+settle are compared with the others of their lists (lists of three or more only), a pair once, at its first common token.
+Pairs are held against one more bound before any tokens are joined: a token of one set only changes one bit of the sets'
+parities, which have a bit for each token of all but the longest lines, so that unlike lines that share a token are told apart.
 Only lines of a pair that may match, or of a list with something left, are made tokens of again.
 All of it is DataFrame operations.
 
@@ -28,9 +29,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, let, small, tidy, unpacked, whole_row
+from .common import SPACE, cut, let, released, small, tidy, unpacked, whole_row
 
 SHINGLE, THRESHOLD, BUCKETS = 5, 0.8, 8192
+#: Longs of a line's parities, a power of two.
+PARITY = 8
 WORD = r"[^\x20\x09-\x0D]"
 _POSITION = ["doc_id", "t", "line_no"]
 
@@ -104,11 +107,11 @@ def shared_postings(reps: DataFrame) -> DataFrame:
     """
     one = F.col("size").cast("long") * F.lit(1 << 32)
     postings = reps.select(*_POSITION, one.alias("one"), F.posexplode("prefix").alias("i", "token")).select("token", *_POSITION, (F.col("one") + F.col("i")).alias("one"))
-    shared = cut(postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "line-shared")
+    shared = released(cut(postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "line-shared"))
     listed = cut(postings.join(small(shared), "token"), "line-listed")
     first = listed.groupBy("token").agg(F.min(F.struct(*_POSITION, "one")).alias("first"), F.count("*").alias("n"))
     found = cut(listed.join(first, "token").select("token", F.struct(*_POSITION).alias("p"), "one", F.struct(*(f"first.{c}" for c in _POSITION)).alias("first"), F.col("first.one").alias("first_one"), "n"), "line-postings")
-    return found
+    return released(found)
 
 
 def listed(positions: DataFrame, name: str) -> DataFrame:
@@ -132,19 +135,34 @@ def tokens_of(docs: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def parities(tokens: DataFrame) -> DataFrame:
-    """p and two parities of each row's tokens, 64 bits: whether an odd number of tokens has each value of six bits of the hash. A token of one set only changes one bit."""
-    bit = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("k", shift).bitwiseAND(63).cast("int"))
+    """p and the parities of each row's tokens, PARITY longs: whether an odd number of tokens has each value of nine bits of the hash. A token of one set only changes one bit."""
     each = tokens.select("p.*", F.explode("tokens").alias("k"))
-    return each.groupBy(*_POSITION).agg(F.bit_xor(bit(0)).alias("even"), F.bit_xor(bit(8)).alias("odd")).select(F.struct(*_POSITION).alias("p"), "even", "odd")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("k", PARITY.bit_length() - 1).bitwiseAND(63).cast("int"))
+    word = F.col("k").bitwiseAND(PARITY - 1)
+    sums = each.groupBy(*_POSITION).agg(*(F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(PARITY)))
+    return cut(sums.select(F.struct(*_POSITION).alias("p"), *(f"s{i}" for i in range(PARITY))), "line-parities")
+
+
+def _near_enough(x: str, y: str, sizes: Column, threshold: float) -> Column:
+    """Whether the parities of x and y (prefixes of their columns) allow a Jaccard similarity of the threshold; sizes: the sum of both."""
+    differ = sum((F.bit_count(F.col(f"{x}s{i}").bitwiseXOR(F.col(f"{y}s{i}"))) for i in range(PARITY)), F.lit(0))
+    return differ <= (1 - threshold) / (1 + threshold) * sizes + 1e-9
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """x and y of the pairs (x, y, sizes) whose parities allow the threshold."""
+    side = lambda c: sketches.select(F.col("p").alias(c), *(F.col(f"s{i}").alias(f"{c}s{i}") for i in range(PARITY)))
+    return cut(pairs.join(side("x"), "x").join(side("y"), "y").where(_near_enough("x", "y", F.col("sizes"), threshold)).select("x", "y"), "line-likely")
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
-    """x of the pairs whose Jaccard similarity is at least the threshold."""
-    left = pairs.join(tokens.select(F.col("p").alias("x"), F.col("tokens").alias("tx")), "x")
-    both = left.join(tokens.select(F.col("p").alias("y"), F.col("tokens").alias("ty")), "y")
-    common = F.size(F.array_intersect("tx", "ty"))
-    found = both.where(common >= threshold * (F.size("tx") + F.size("ty") - common) - 1e-9).select("x").distinct()
-    return cut(found, "line-found")
+    """x of the pairs (a cut table, each pair once) whose Jaccard similarity is at least the threshold; tokens move for lines of a pair only."""
+    sides = cut(pairs.select(F.explode(F.array("x", "y")).alias("p"), "x", "y"), "line-sides")
+    both = tokens.join(small(sides), "p").groupBy("x", "y").agg(F.collect_list("tokens").alias("t"))
+    one, other = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    common = F.size(F.array_intersect(one, other))
+    found = both.where(common >= threshold * (F.size(one) + F.size(other) - common) - 1e-9).select("x").distinct()
+    return released(cut(found, "line-found"))
 
 
 @tidy
@@ -163,25 +181,26 @@ def similar_to_earlier(docs: DataFrame, reps: DataFrame, threshold: float = THRE
     place = lambda v: v.bitwiseAND((1 << 32) - 1)
     at_most = F.least(place(F.col("one")), place(F.col("first_one")))
     star = shared.where((F.col("p") != F.col("first")) & _may_match(F.col("one"), F.col("first_one"), at_most, threshold))
-    star = cut(star.select(F.col("p").alias("x"), F.col("first").alias("y")).distinct(), "line-star")
+    sizes = F.shiftright("one", 32) + F.shiftright("first_one", 32)
+    star = cut(star.select(F.col("p").alias("x"), F.col("first").alias("y"), sizes.alias("sizes")).distinct(), "line-star")
     compared = tokens_of(docs, star.select(F.explode(F.array("x", "y")).alias("p")).select("p.*"))
-    found = _verified(star, compared, threshold)
+    sketches = parities(compared)
+    found = _verified(_likely(star, sketches, threshold), compared, threshold)
     # lines not settled by the first of a list, against the others before them; a pair meets in the list of
     # each shared token, and counts in that of the first one only, before which the two have none in common
     left = unsettled(shared, found)
     lines = cut(left.select("p").distinct(), "line-compared")
     more_lines = tokens_of(docs, lines.join(compared.select("p"), "p", "left_anti").select("p.*"))
-    tokens = compared.join(lines, "p", "left_semi").union(more_lines)
+    tokens, sketches = compared.union(more_lines), sketches.union(parities(more_lines))
     lists = shared.select("p", "token").join(lines, "p", "left_semi").groupBy("p").agg(F.sort_array(F.collect_list("token")).alias("mine"))
-    others = cut(left.join(lists.join(parities(tokens), "p"), "p"), "line-others")
+    others = released(cut(left.join(lists.join(sketches, "p"), "p"), "line-others"))
     # both sides have the same columns and no filter of their own, so that they share a shuffle; only unsettled lines count as x
     x, y = others.alias("x"), others.alias("y")
-    differ = F.greatest(*(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("even", "odd")))
-    most = (1 - threshold) / (1 + threshold) * (F.shiftright("x.one", 32) + F.shiftright("y.one", 32)) + 1e-9
-    may = (F.col("y.p") < F.col("x.p")) & (2 * F.col("x.settled") + F.col("y.settled") < 2) & _may_match(F.col("x.one"), F.col("y.one"), F.lit(0), threshold) & (differ <= most)
+    near = _near_enough("x.", "y.", F.shiftright("x.one", 32) + F.shiftright("y.one", 32), threshold)
+    may = (F.col("y.p") < F.col("x.p")) & (2 * F.col("x.settled") + F.col("y.settled") < 2) & _may_match(F.col("x.one"), F.col("y.one"), F.lit(0), threshold) & near
     once = F.array_min(F.array_intersect("x.mine", "y.mine")) == F.col("x.token")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & may & once).select(F.col("x.p").alias("x"), F.col("y.p").alias("y"))
-    more = _verified(cut(rest, "line-pairs"), tokens, threshold)
+    more = _verified(released(cut(rest, "line-pairs")), tokens, threshold)
     return cut(found.union(more).distinct(), "line-gone")
 
 
@@ -205,10 +224,10 @@ def _rebuilt(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> D
     """row (all columns), doc_id, text as it was, and lines: the text that is left, n_lines and n_removed."""
     base = placed(docs, id_col, text_col)
     texts = base.select("doc_id", "t", "again", "text")
-    reps = cut(representatives(line_sets(texts, rarity(texts), threshold)), "line-representatives")
+    reps = released(cut(representatives(line_sets(texts, rarity(texts), threshold)), "line-representatives"))
     gone = similar_to_earlier(texts, reps, threshold).select(F.col("x").alias("p"))
-    kept = listed(reps.select(F.struct(*_POSITION).alias("p")).join(gone, "p", "left_anti").select("p.*"), "kept")
-    joined = _of(base, kept, "left")
+    kept = released(listed(reps.select(F.struct(*_POSITION).alias("p")).join(gone, "p", "left_anti").select("p.*"), "kept"))
+    joined = _of(base.drop("text"), kept, "left").withColumn("text", F.col("row").getField(text_col))  # a text that is moved is moved once
     blank = r"^[\x20\x09-\x0D]*$"
 
     def rebuilt(lines: Column) -> Column:

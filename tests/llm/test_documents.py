@@ -455,3 +455,19 @@ def test_lines_are_made_tokens_of_only_where_pairs_are_left(spark, monkeypatch):
     got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()
     assert sorted(map(tuple, got)) == _brute_lines(rows)
     assert seen[0] == 30 and sum(seen[1:]) == 0
+
+
+def test_long_unlike_lines_that_share_a_token_are_told_apart_by_their_parities(spark, monkeypatch):
+    """Lines of 200 words with one rare passage in common: no pair of them is joined with tokens, and a similar one is still found."""
+    import random
+
+    r, seen, real = random.Random(5), [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *more: (seen.append(pairs.count()), real(pairs, *more))[1])
+    vocabulary, passage = [f"w{k}" for k in range(50)], [f"rare{k}" for k in range(5)]
+    unlike = [passage + [r.choice(vocabulary) for _ in range(200 + k)] for k in range(12)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(unlike)]
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(rows) and sum(seen) == 0
+    rows += [(50, " ".join([*unlike[7][:-1], "end"]))]
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == _brute_lines(rows) and sum(seen) > 0
